@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _ENTRIES = (
     ("chat", "op1_chat_formatting", "OP1_SQL"),
     ("quality_rules", "op3_quality_rules", None),
+    ("near_dups", "op4_near_duplicates", None),
     ("mixing", "op5_mixing", None),
     ("warc", "op7_warc", "OP7_SQL"),
 )
