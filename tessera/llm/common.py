@@ -135,9 +135,11 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * powers(len(c))[1][start] + (end - start).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and where each text's words begin (with their total added)."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and where each text's words begin (with their total added).
+
+    `solid` marks the bytes of words; without it they are all but ASCII white space."""
+    solid = ~_SPACE[data] if solid is None else solid
     begins, ends = solid.copy(), solid.copy()
     if len(data):
         begins[1:] &= ~solid[:-1]
