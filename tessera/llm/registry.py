@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: (module, query function, SQL constant or None)
 _ENTRIES = (
     ("chat", "op1_chat_formatting", "OP1_SQL"),
+    ("decontamination", "op2_decontamination", None),
     ("quality_rules", "op3_quality_rules", None),
     ("near_dups", "op4_near_duplicates", None),
     ("mixing", "op5_mixing", None),
+    ("toxicity", "op6_toxicity", None),
     ("warc", "op7_warc", "OP7_SQL"),
+    ("quality_classifier", "op8_quality_classifier", None),
+    ("lm_scoring", "op9_lm_scoring", None),
+    ("repeats", "op10_suffix_dedup", None),
 )
 
 

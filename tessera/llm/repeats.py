@@ -66,7 +66,7 @@ def pack(docs: DataFrame, size: int = PACK) -> DataFrame:
     return docs.select("text", *rest).mapInArrow(run, f"pack long, ids array<long>, offs array<long>, texts binary, rows array<struct<{kinds}>>")
 
 
-def _unpack(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.array(b.column("ids")[k].as_py(), np.int64)
     offs = np.array(b.column("offs")[k].as_py(), np.int64)
     return ids, offs, np.frombuffer(zstandard.decompress(b.column("texts")[k].as_py()) if offs[-1] else b"", np.uint8)
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for k in range(b.num_rows):
-                ids, offs, data = _unpack(b, k)
+                ids, offs, data = unpack(b, k)
                 e = Entries(data, offs, ids, buckets, length, anchor)
                 rows = [{"bucket": w, "pack": b.column("pack")[k].as_py(), "n": hi - lo, "blob": _message(e, lo, hi, z)} for w, lo, hi in e.by_bucket()]
                 if rows:
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         out = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("doc", pa.binary()), ("blob", pa.binary())])
         for b in batches:
             for k in range(b.num_rows):
-                ids, offs, data = _unpack(b, k)
+                ids, offs, data = unpack(b, k)
                 e = Entries(data, offs, ids, buckets, length, anchor)
                 said = np.zeros((2, len(e.rep)), np.uint8)
                 answers = {x["bucket"]: x["flags"] for x in b.column("answers")[k].as_py() or ()}
@@ -351,7 +351,7 @@ def digest_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                ids, offs, data = _unpack(b, k)
+                ids, offs, data = unpack(b, k)
                 rows = []
                 for key, (text, own) in zip(ids.tolist(), _cut_pack(data, offs, *_spans_of(b.column("spans")[k].as_py() or ()))):
                     removed = sum(y - x for x, y in own)
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                _, offs, data = _unpack(b, k)
+                _, offs, data = unpack(b, k)
                 texts, removed = [], []
                 for text, own in _cut_pack(data, offs, *_spans_of(b.column("spans")[k].as_py() or ())):
                     own = whole_characters(text, own)
