@@ -1,11 +1,14 @@
 """Operator 4, MinHash near-duplicates with odd sketches.
 
 1. Per document, in numpy: its set of word shingles, a digest of the set, MinHash samples, band
-   keys, and an odd sketch: the samples folded into a parity bitmap.
+   keys, and two odd sketches: the samples, and the whole set, folded into parity bitmaps.
 2. Documents with equal sets are one class, so copies cost a row each and no more.
 3. Candidates are classes that share a band. A bucket of up to SMALL classes gives its pairs, a
-   larger one links each member to its least. The XOR population count of two odd sketches estimates
-   the similarity; only pairs that may reach the threshold go on to the check of the full sets.
+   larger one links each member to its lead, the one whose buckets are largest together: the text
+   that a group of copies derives from, if it is there. The XOR population count of two odd sketches
+   of samples estimates the similarity. That of the sets' bitmaps never exceeds their symmetric
+   difference, so it excludes pairs for certain, and sharply if the sets aren't much larger than the
+   bitmaps. Only pairs that pass both go on to the check of the full sets.
 4. Links become components. Members of a large bucket that are not in one component yet are then
    compared with those of the other components there, so no link is lost, while members of one
    component are never paired with each other.
@@ -25,7 +28,9 @@ from tessera.llm.common import blocks, cut, free_shuffles, gram_hash, mix, owner
 from tessera.llm.components import components
 
 SKETCH_WORDS = 8
+SET_WORDS = 16
 SMALL = 8
+WIDE = ["n_shingles", *(f"s{k}" for k in range(SKETCH_WORDS)), *(f"m{k}" for k in range(SET_WORDS))]
 
 
 def banding(threshold: float, miss: float = 1e-7, most_bands: int = 32) -> tuple[int, int]:
@@ -86,10 +91,23 @@ def min_hashes(values: np.ndarray, firsts: np.ndarray, samples: int, seed: int)
     return out
 
 
+def set_parity(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The odd sketch of each whole set: SET_WORDS numbers whose bits are parities of hash counts."""
+    bits, n = 64 * SET_WORDS, len(firsts) - 1
+    out = np.zeros((n, SET_WORDS), np.uint64)
+    place = (mix(values ^ np.uint64(0x5E7)) & np.uint64(bits - 1)).astype(np.int64)
+    for lo in range(0, n, 256):
+        hi = min(n, lo + 256)
+        who = np.repeat(np.arange(hi - lo), np.diff(firsts[lo : hi + 1]))
+        counts = np.bincount(who * bits + place[firsts[lo] : firsts[hi]], minlength=(hi - lo) * bits).reshape(hi - lo, bits)
+        out[lo:hi] = np.packbits((counts & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    return out
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, d0 and d1 (digest of the set), bands, s0 to s7 (odd sketch) of each row."""
+    """doc_id, n_shingles, d0 and d1 (digest of the set), bands, s0... and m0... (odd sketches of samples and set) of each row."""
     samples = bands * rows
-    longs = ["d0", "d1", *(f"s{k}" for k in range(SKETCH_WORDS))]
+    longs = ["d0", "d1", *WIDE[1:]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,6 +132,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
                     ones = np.uint64(1) << (bit >> np.uint64(58))
                     for k in range(SKETCH_WORDS):
                         out[f"s{k}"][full] = np.bitwise_xor.reduce(np.where(words == k, ones, np.uint64(0)), axis=0)
+                for k, column in enumerate(set_parity(values, firsts).T):
+                    out[f"m{k}"] = np.ascontiguousarray(column)
                 filled = sizes > 0
                 edges = np.r_[0, np.cumsum(np.where(filled, bands, 0))].astype(np.int32)
                 cols = [b.column("doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[filled].ravel().view(np.int64)))]
@@ -123,18 +143,26 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, bands array<long>, " + ", ".join(f"{k} long" for k in longs))
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, threshold: float, samples: int) -> DataFrame:
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int, samples: int) -> DataFrame:
     """Pairs (a, b) of classes whose sizes and odd sketches allow for the threshold."""
-    wide = ["n_shingles", *(f"s{k}" for k in range(SKETCH_WORDS))]
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in wide)), side)
-    return pairs.where(_similar(threshold, samples)).select("a", "b")
+        pairs = pairs.join(classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in WIDE)), side)
+    return pairs.where(_similar(percent, samples)).select("a", "b")
+
 
+def _differing(name: str, words: int) -> Column:
+    counts = [F.bit_count(F.col(f"a_{name}{k}").bitwiseXOR(F.col(f"b_{name}{k}"))) for k in range(words)]
+    return sum(counts[1:], counts[0])
 
-def _similar(threshold: float, samples: int) -> Column:
-    differ = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    fits = F.least("a_n_shingles", "b_n_shingles") >= F.greatest("a_n_shingles", "b_n_shingles") * (threshold - 1e-9)
-    return fits & (differ <= odd_sketch_limit(threshold, samples))
+
+def _similar(percent: int, samples: int) -> Column:
+    """Whether sizes, set bitmaps and sample sketches of a pair allow for the threshold.
+
+    J >= p / 100 means that the symmetric difference is at most (100 - p) / (100 + p) of both sizes' sum.
+    """
+    sizes = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
+    sets = _differing("m", SET_WORDS) * (100 + percent) <= (F.col("a_n_shingles") + F.col("b_n_shingles")) * (100 - percent)
+    return sizes & sets & (_differing("s", SKETCH_WORDS) <= odd_sketch_limit(percent / 100, samples))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -177,33 +205,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, seed: int =
     bands, rows = banding(threshold)
     spark = docs.sparkSession
     sigs = cut(signatures(docs, n, bands, rows, seed), "signatures")
-    rest = [F.first(c).alias(c) for c in ("n_shingles", *(f"s{k}" for k in range(SKETCH_WORDS)), "bands")]
+    rest = [F.first(c).alias(c) for c in (*WIDE, "bands")]
     classes = cut(sigs.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *rest).where("node IS NOT NULL"), "classes")
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(keyed.join(sizes, "key"), "shared")
     few = shared.where(F.col("n") <= SMALL).select("key", "node")
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-    pairs = pairs.union(shared.where((F.col("n") > SMALL) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b")))
-    pairs = _possible(pairs.distinct(), classes, threshold, bands * rows)
+    many = shared.where(F.col("n") > SMALL)
+    central = many.groupBy("node").agg(F.sum("n").alias("weight"))
+    many = cut(many.join(central, "node").select("key", "node", "weight"), "many")
+    leads = many.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"))
+    starred = many.join(leads, "key").where("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    pairs = _possible(pairs.union(starred).distinct(), classes, percent, bands * rows)
     links = cut(verified(pairs, docs, n, percent), "links")
     free_shuffles(spark)
     found = cut(components(links), "components")
 
     # What large buckets still hold apart: rows of components other than the bucket's largest.
-    large = shared.where(F.col("n") > SMALL).select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    large = many.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     parts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     apart = large.join(largest.select("key", F.col("top.component").alias("top")), "key")
-    wide = ["n_shingles", *(f"s{k}" for k in range(SKETCH_WORDS))]
-    apart = cut(apart.join(classes.select("node", *wide), "node"), "apart")
+    apart = cut(apart.join(classes.select("node", *WIDE), "node"), "apart")
     if not apart.isEmpty():
-        a = apart.where("component <> top").select("key", F.col("node").alias("a"), F.col("component").alias("a_component"), *(F.col(c).alias(f"a_{c}") for c in wide))
-        b = apart.select("key", "top", F.col("node").alias("b"), F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in wide))
+        a = apart.where("component <> top").select("key", F.col("node").alias("a"), F.col("component").alias("a_component"), *(F.col(c).alias(f"a_{c}") for c in WIDE))
+        b = apart.select("key", "top", F.col("node").alias("b"), F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in WIDE))
         differ = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("top")) | (F.col("a") < F.col("b")))
-        more = a.join(b, "key").where(differ & _similar(threshold, bands * rows)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(more.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), "more")
+        more = a.join(b, (a["key"] == b["key"]) & differ & _similar(percent, bands * rows)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = cut(more, "more")
         if not more.isEmpty():
             links = links.union(cut(verified(more, docs, n, percent), "links"))
             free_shuffles(spark)
