@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera import catalog
+
+MODULES = ("queries_text",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"tessera.{name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(catalog.PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(catalog.SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
