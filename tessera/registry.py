@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import catalog
 
-MODULES = ("queries_text",)
+MODULES = ("queries_text", "queries_sandbox")
 
 
 def _load() -> None:
