@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import catalog
 
-MODULES = ("queries_text", "queries_sandbox")
+MODULES = ("queries_text", "queries_sandbox", "queries_rank")
 
 
 def _load() -> None:
