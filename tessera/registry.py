@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import catalog
 
-MODULES = ("queries_text", "queries_sandbox", "queries_rank", "queries_search")
+MODULES = ("queries_text", "queries_sandbox", "queries_rank", "queries_search", "queries_plan")
 
 
 def _load() -> None:
