@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import catalog
 
-MODULES = ("queries_text", "queries_sandbox", "queries_rank", "queries_search", "queries_plan", "queries_eval", "queries_state", "queries_sources")
+MODULES = ("queries_text", "queries_sandbox", "queries_rank", "queries_search", "queries_plan", "queries_eval", "queries_state", "queries_sources", "queries_records")
 
 
 def _load() -> None:
