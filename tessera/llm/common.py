@@ -7,6 +7,7 @@ text alone is longer, so memory doesn't depend on how many rows an Arrow batch h
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import ship
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -67,6 +68,15 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def release() -> None:
+    """Gives freed memory back to the system: an executor's idle workers would keep it from its busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # --- UTF-8 blocks ------------------------------------------------------------------------------
 
 
@@ -92,6 +102,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.n
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    release()
 
 
 _SPACE = np.zeros(256, bool)
