@@ -26,8 +26,9 @@ _SYMBOL[list(SYMBOLS.encode())] = True
 class Bands:
     """Limits by length in bytes: (up to, least ratio, most ratio), the last for any length."""
 
+    #: Prose of these lengths has ratios about a tenth below the upper limits; short texts vary more.
     limits: tuple[tuple[float, float, float], ...] = field(
-        default=((128, 0.0, 2.0), (256, 0.9, 2.2), (512, 1.1, 2.4), (1024, 1.2, 2.6), (2048, 1.35, 2.8), (4096, 1.5, 3.0), (8192, 1.6, 3.2), (16384, 1.65, 3.4), (float("inf"), 1.7, 3.8))
+        default=((128, 0.0, 2.0), (256, 0.9, 2.2), (512, 1.1, 2.2), (1024, 1.2, 2.25), (2048, 1.35, 2.35), (4096, 1.5, 2.45), (8192, 1.6, 2.6), (16384, 1.65, 2.7), (float("inf"), 1.7, 2.9))
     )
     chunk: int = 4096
     #: A last chunk shorter than this is judged with the whole text only.
