@@ -100,20 +100,21 @@ def semantic_core(c: Column | str) -> Column:
 
 
 def _words(c: Column | str) -> Column:
-    """White-space tokens without brackets and punctuation at their ends."""
-    inside = "".join("\\" + x if x in "[]().^-" else x for x in STRIPPED)
-    edge = f"^[{inside}]+|[{inside}]+$"
-    return F.filter(F.transform(F.split(normalize_whitespace(c), " "), lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "")
+    """White-space tokens without brackets and punctuation at their ends, which go in one pass over the text."""
+    inside = "".join("\\" + x if x in "[]().^-" else x for x in STRIPPED if x != " ")
+    bare = F.regexp_replace(normalize_whitespace(c), f"(?<![^ ])[{inside}]+|[{inside}]+(?![^ ])", "")
+    return F.filter(F.split(bare, " "), lambda t: t != "")
 
 
 def fact_anchors(c: Column | str, most: int = 24) -> Column:
     """First distinct tokens with a digit or a capital."""
-    return F.slice(F.array_distinct(F.filter(_words(c), lambda t: t.rlike(r"[\p{Nd}\p{Lu}]"))), 1, most)
+    signal = F.regexp_extract_all(F.concat(F.lit(" "), F.array_join(_words(c), " ")), F.lit(r" ([^ ]*[\p{Nd}\p{Lu}][^ ]*)"), F.lit(1))
+    return F.slice(F.array_distinct(signal), 1, most)
 
 
 def keywords(c: Column | str, most: int = 32) -> Column:
     """First distinct lower-cased tokens of two characters or more."""
-    return F.slice(F.array_distinct(F.filter(F.transform(_words(c), F.lower), lambda t: F.length(t) >= 2)), 1, most)
+    return F.slice(F.array_distinct(F.filter(_words(F.lower(text_of(c))), lambda t: F.length(t) >= 2)), 1, most)
 
 
 def hash_embedding(c: Column | str, dimensions: int) -> Column:

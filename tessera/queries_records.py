@@ -59,9 +59,9 @@ def scope_tokens(spark, sf):
     return table(spark, sf, "lineitem").where(F.arrays_overlap(tokens, F.array(*map(F.lit, ("7", "12", "99"))))).select("l_orderkey", "l_linenumber")
 
 
-@query("collection_names", "SELECT p_partkey, left(lower(regexp_replace('rag__' || p_brand || '__' || p_type, '[^A-Za-z0-9_]', '_', 'g')), 200) AS collection FROM part")
+@query("collection_names", "SELECT p_partkey, left(lower(regexp_replace('index__' || p_brand || '__' || p_type, '[^A-Za-z0-9_]', '_', 'g')), 200) AS collection FROM part")
 def collection_names(spark, sf):
-    name = F.concat_ws("__", F.lit("rag"), "p_brand", "p_type")
+    name = F.concat_ws("__", F.lit("index"), "p_brand", "p_type")
     return table(spark, sf, "part").select("p_partkey", F.left(F.lower(F.regexp_replace(name, "[^A-Za-z0-9_]", "_")), F.lit(200)).alias("collection"))
 
 
