@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.runtime import spread
+
+#: Tables whose rows cost much more to work on than to deal out.
+TEXTS = ("documents", "pages", "conversations")
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
@@ -24,4 +28,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df

@@ -39,10 +39,11 @@ def normalize_whitespace(c: Column | str) -> Column:
 
 def search_terms(c: Column | str) -> Column:
     """Distinct terms in the order of their first use: runs of letters and digits, then CJK runs, each followed by its pairs."""
-    low = F.lower(strip(c))
+    low = F.lower(text_of(c))
+    plain = F.regexp_extract_all(low, F.lit(ALNUM), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0))
     pairs = F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.concat(F.array(r), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(ALNUM), F.lit(0)), F.flatten(pairs)))
+    return F.array_distinct(F.when(low.rlike(f"[{CJK}]"), F.concat(plain, F.flatten(pairs))).otherwise(plain))
 
 
 def keyword_overlap(terms: Column, text: Column | str) -> Column:

@@ -34,14 +34,14 @@ windows AS (SELECT b.doc_id, CAST(b.w AS INT) AS window_index, CAST(b.a AS INT)
 
 @query("text_search_terms", f"WITH {_TERMS} SELECT doc_id, count(*) AS n_terms, md5(string_agg(t, ' ' ORDER BY i)) AS terms_md5 FROM terms GROUP BY doc_id")
 def text_search_terms(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.search_terms("text").alias("t"))
-    return d.where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("terms_md5"))
+    d = table(spark, sf, "documents").where(F.col("text").rlike("[A-Za-z0-9]")).select("doc_id", T.search_terms("text").alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("terms_md5"))
 
 
 @query("text_fts_query", f"""WITH {_TERMS} SELECT doc_id, md5(string_agg('"' || t || '"', ' OR ' ORDER BY i)) AS fts_md5 FROM terms GROUP BY doc_id""")
 def text_fts_query(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.fts_query("text").alias("q"))
-    return d.where("q <> ''").select("doc_id", F.md5(F.col("q").cast("binary")).alias("fts_md5"))
+    d = table(spark, sf, "documents").where(F.col("text").rlike("[A-Za-z0-9]")).select("doc_id", T.fts_query("text").alias("q"))
+    return d.select("doc_id", F.md5(F.col("q").cast("binary")).alias("fts_md5"))
 
 
 @query("text_unit_count", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS units FROM documents")
