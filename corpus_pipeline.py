@@ -15,6 +15,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.quality_classifier import score_quality
 from tessera.llm.repeats import remove_repeats
+from tessera.runtime import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without doc_id stay.
     """
-    table(spark, sf_dir, "documents")
+    ship(spark)
     gone = near_duplicates(docs, n=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
@@ -40,6 +41,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which only white space is left goes.
     """
+    ship(spark)
     out = remove_repeats(docs.select(*COLUMNS))
     emptied = (F.col("removed_bytes") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     n_chars = F.when(F.col("removed_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import ship
+from tessera.runtime import ship, spread
 
 BLOCK = 1 << 19
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -46,6 +46,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: later stages neither repeat
     its work nor depend on the executors that did it."""
+    ship(df.sparkSession)
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,7 +61,8 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -17,61 +17,24 @@ same anchor are a segment (about 14 windows).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, buffers, cut, free_shuffles, mix, powers, prefix_hash, span_hash, table
+from tessera.llm.common import cut, free_shuffles, mix, powers, prefix_hash, span_hash, table
+from tessera.llm.packs import LAST, bucketwise, pack, unpack
 from tessera.llm.suffix_sort import sort_suffixes
 
 LENGTH = 50
 ANCHOR = 24
-PACK = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
-_LAST = np.iinfo(np.int64).max
 _FORTY = np.uint64((1 << 40) - 1)
 
 
-# --- packs -------------------------------------------------------------------------------------
-
-
-def pack(docs: DataFrame, size: int = PACK) -> DataFrame:
-    """Rows of packs: pack, ids (null last of all: the largest long), offs, texts (zstandard), rows (all columns but text)."""
-    rest = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = zstandard.ZstdCompressor(level=3), 0
-        for b in batches:
-            ids = b.column("doc_id").cast(pa.int64()).fill_null(_LAST)
-            others = pa.StructArray.from_arrays([b.column(c) for c in rest], fields=[b.schema.field(c) for c in rest])
-            for lo, hi, data, offs in blocks(b.column("text"), size):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([TaskContext.get().partitionId() << 32 | n], pa.int64()),
-                        pa.array([ids[lo:hi].to_pylist()], pa.list_(pa.int64())),
-                        pa.array([offs.tolist()], pa.list_(pa.int64())),
-                        pa.array([z.compress(data.tobytes())], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([others[lo:hi]])),
-                    ],
-                    names=["pack", "ids", "offs", "texts", "rows"],
-                )
-                n += 1
-
-    kinds = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select("text", *rest).mapInArrow(run, f"pack long, ids array<long>, offs array<long>, texts binary, rows array<struct<{kinds}>>")
-
-
-def unpack(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.array(b.column("ids")[k].as_py(), np.int64)
-    offs = np.array(b.column("offs")[k].as_py(), np.int64)
-    return ids, offs, np.frombuffer(zstandard.decompress(b.column("texts")[k].as_py()) if offs[-1] else b"", np.uint8)
-
-
 # --- anchors and segments ----------------------------------------------------------------------
 
 
@@ -183,20 +146,6 @@ def _judge(messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray]
         at += n
 
 
-def _bucketwise(batches: Iterable[pa.RecordBatch], work: Callable[[int, list[dict]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Calls work with all rows of a bucket, from rows that are sorted by bucket."""
-    bucket, held = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["bucket"] != bucket and held:
-                yield from work(bucket, held)
-                held = []
-            bucket = r["bucket"]
-            held.append(r)
-    if held:
-        yield from work(bucket, held)
-
-
 def _merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of half-open spans, as spans that don't touch."""
     if not len(first):
@@ -240,7 +189,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     sent = packs.select("pack", "ids", "offs", "texts").mapInArrow(send, "bucket int, pack long, n int, blob binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "pack")
-    flags = cut(dealt.mapInArrow(lambda it: _bucketwise(it, judge), "pack long, bucket int, flags binary"), "flags")
+    flags = cut(dealt.mapInArrow(lambda it: bucketwise(it, judge), "pack long, bucket int, flags binary"), "flags")
     free_shuffles(spark)
 
     def settle(batches):
@@ -295,7 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     settled = cut(asked.mapInArrow(settle, "pack long, bucket int, first binary, last binary, doc binary, blob binary"), "settled")
     free_shuffles(spark)
     open_ = settled.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket", "pack")
-    ordered = open_.mapInArrow(lambda it: _bucketwise(it, order), "pack long, spans binary")
+    ordered = open_.mapInArrow(lambda it: bucketwise(it, order), "pack long, spans binary")
     spans = cut(settled.where("bucket = -1").select("pack", F.col("blob").alias("spans")).union(ordered), "spans")
     free_shuffles(spark)
     return packs, spans
@@ -355,7 +304,7 @@ def digest_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows = []
                 for key, (text, own) in zip(ids.tolist(), _cut_pack(data, offs, *_spans_of(b.column("spans")[k].as_py() or ()))):
                     removed = sum(y - x for x, y in own)
-                    rows.append((None if key == _LAST else key, len(text), removed, len(own), hashlib.sha256(_without(text, own)).hexdigest()))
+                    rows.append((None if key == LAST else key, len(text), removed, len(own), hashlib.sha256(_without(text, own)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     packs, spans = repeated_spans(docs.select("doc_id", "text"), length)

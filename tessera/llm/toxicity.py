@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,11 @@ from tessera.llm.common import blocks, owner, prefix_hash, span_hash, sum_by, ta
 from tessera.llm.training import held_out, labelled
 from tessera.llm.trees import Boosted, boost, isotonic, sigmoid
 
-LEXICON = (
+LEXICON = tuple(
     "trash pathetic idiot idiots worthless disgusting stupid clown loser losers scum moron morons dumb fool ugly hate garbage jerk vermin filth creep imbecile "
-    "dummkopf arschloch trottel idioten abschaum connard salaud imbécile crétin ordure idiota estúpido imbécil basura asqueroso"
-).split()
-SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros".split()
+    "dummkopf arschloch trottel idioten abschaum connard salaud imbécile crétin ordure idiota estúpido imbécil basura asqueroso".split()
+)
+SECOND_PERSON = tuple("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros".split())
 NAMES = ("lexicon", "log_hits", "obfuscated", "learned", "learned_most", "proximity", "second_person", "capitals", "exclamations", "stops", "marks_inside", "digits_inside", "log_words")
 LEARNED = 200
 
@@ -87,7 +88,8 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> Words:
     return Words(who, np.bincount(who, minlength=len(offs) - 1), plain, skeleton, total(~_PLAIN[data] & ~_DIGIT[data] | sign), total(_DIGIT[data]), start, end)
 
 
-def hashes(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def hashes(words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Plain and skeleton hashes of some words."""
     found = [words_of(d, o) for _, _, d, o in blocks(pa.array([" ".join(words)], pa.string()))]
     return np.unique(found[0].plain), np.unique(found[0].skeleton)
