@@ -12,6 +12,11 @@ same anchor are a segment (about 14 windows).
 4. Of the latter, packs send the bytes. In each bucket deep-shallow sorting orders the suffixes that
    begin at their windows; runs of equal windows give those that an earlier document has.
 5. Spans go back to the packs, which cut them from the texts.
+
+An anchor whose segments differ in very many documents (at the edges of a passage that they share)
+would send them all to one bucket. Packs report anchors with many segments; those that enough packs
+report are heavy, and each of their windows counts as a segment of its own, in a bucket by its own
+hash. The list of heavy anchors is bounded by its rule, whatever the input.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ from tessera.llm.suffix_sort import sort_suffixes
 
 LENGTH = 50
 ANCHOR = 24
+#: A pack reports an anchor with so many different segments or one for every HEAVY_DOCS of its documents, and
+#: an anchor is heavy if HEAVY_PACKS of the packs report it. A pack of 4 MB has under 400,000 segments, so it
+#: reports fewer than 6,250 anchors and there are fewer than 625,000 heavy ones (5 MB).
+HEAVY_SEGMENTS, HEAVY_DOCS, HEAVY_PACKS = 64, 32, 0.01
 _PLACE = np.uint64((1 << 24) - 1)
 _FORTY = np.uint64((1 << 40) - 1)
 
@@ -78,11 +87,50 @@ def _segments(data: np.ndarray, offs: np.ndarray, length: int, anchor: int) -> t
     return first, last, h[at[first]], span_hash(c, first, last + length)
 
 
+def window_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the bytes of each window."""
+    weights = mix(np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = np.zeros(len(start), np.uint64)
+    for k in range(length):
+        out += mix(data[start + k].astype(np.uint64) + np.uint64(1)) * weights[k]
+    return mix(out)
+
+
+def by_window(data: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, seg: np.ndarray, heavy: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The segments, those of heavy anchors (sorted hashes) replaced by one for each window."""
+    if not len(heavy):
+        return first, last, key, seg
+    at = np.searchsorted(heavy, key).clip(0, len(heavy) - 1)
+    hot = heavy[at] == key
+    n = (last - first + 1)[hot]
+    start = np.repeat(first[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = window_hash(data, start, length)
+    return np.r_[first[~hot], start], np.r_[last[~hot], start], np.r_[key[~hot], h], np.r_[seg[~hot], h >> np.uint64(24)]
+
+
+def heavy_anchors(packs: DataFrame, length: int, anchor: int, most: int = HEAVY_SEGMENTS) -> np.ndarray:
+    """Sorted hashes of anchors that would gather very many different segments."""
+
+    def report(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, offs, data = unpack(b, k)
+                _, _, key, seg = segments(data, offs, length, anchor)
+                key = np.sort(key[np.unique(mix(key * np.uint64(0x9FB21C651E98DF25) + seg), return_index=True)[1]])
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                many = np.diff(np.r_[new, len(key)]) >= max(most, len(ids) / HEAVY_DOCS)
+                yield pa.RecordBatch.from_arrays([pa.array(key[new[many]].view(np.int64))], names=["anchor"])
+
+    least = max(1, HEAVY_PACKS * packs.count())
+    found = packs.select("ids", "offs", "texts").mapInArrow(report, "anchor long").groupBy("anchor").count().where(F.col("count") >= least).collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+
+
 class Entries:
     """The distinct segments of a pack, by bucket, with the occurrence in the least document."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, buckets: int, length: int, anchor: int):
-        self.first, self.last, key, seg = segments(data, offs, length, anchor)
+    def __init__(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, buckets: int, length: int, anchor: int, heavy: np.ndarray):
+        self.first, self.last, key, seg = by_window(data, *segments(data, offs, length, anchor), heavy, length)
         self.doc = np.searchsorted(offs, self.first, "right") - 1
         which = mix(key * np.uint64(0x9FB21C651E98DF25) + seg)
         bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -166,18 +214,19 @@ def _spans_of(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _merged(first, end)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, heavy_segments: int = HEAVY_SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """(packs, spans): the packs of docs, and blobs of the spans to cut from each (pack, spans); see `cut_repeats`."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packs = cut(pack(docs), "packs")
+    heavy = spark.sparkContext.broadcast(heavy_anchors(packs, length, anchor, heavy_segments))
 
     def send(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for k in range(b.num_rows):
                 ids, offs, data = unpack(b, k)
-                e = Entries(data, offs, ids, buckets, length, anchor)
+                e = Entries(data, offs, ids, buckets, length, anchor, heavy.value)
                 rows = [{"bucket": w, "pack": b.column("pack")[k].as_py(), "n": hi - lo, "blob": _message(e, lo, hi, z)} for w, lo, hi in e.by_bucket()]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())]))
@@ -197,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         for b in batches:
             for k in range(b.num_rows):
                 ids, offs, data = unpack(b, k)
-                e = Entries(data, offs, ids, buckets, length, anchor)
+                e = Entries(data, offs, ids, buckets, length, anchor, heavy.value)
                 said = np.zeros((2, len(e.rep)), np.uint8)
                 answers = {x["bucket"]: x["flags"] for x in b.column("answers")[k].as_py() or ()}
                 for w, lo, hi in e.by_bucket():
@@ -288,7 +337,7 @@ def _answered(packs: DataFrame, spans: DataFrame) -> DataFrame:
     return packs.join(spans.groupBy("pack").agg(F.collect_list("spans").alias("spans")), "pack", "left")
 
 
-def digest_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digest_repeats(docs: DataFrame, length: int = LENGTH, heavy_segments: int = HEAVY_SEGMENTS) -> DataFrame:
     """A row per document (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a string of `length` bytes that also starts in a document with a
@@ -307,7 +356,7 @@ def digest_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows.append((None if key == LAST else key, len(text), removed, len(own), hashlib.sha256(_without(text, own)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    packs, spans = repeated_spans(docs.select("doc_id", "text"), length)
+    packs, spans = repeated_spans(docs.select("doc_id", "text"), length, heavy_segments=heavy_segments)
     return _answered(packs.select("pack", "ids", "offs", "texts"), spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
