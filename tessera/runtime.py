@@ -9,11 +9,18 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Adds this package to the application's Python files, once per application, so that functions
-    that run on executors find it there without an installation."""
+    that run on executors find it there without an installation.
+
+    Where the session has Spark's own limit for Arrow batches, 64 MB, it gets 8 MB: a batch is held a
+    few times over, outside the JVM's heap and in the Python worker of each core.
+    """
+    if spark.conf.get(_BATCH_BYTES, "") == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "8m")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
