@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     Where the session has Spark's own limit for Arrow batches, 64 MB, it gets 8 MB: a batch is held a
     few times over, outside the JVM's heap and in the Python worker of each core.
     """
-    if spark.conf.get(_BATCH_BYTES, "") == "67108864b":
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":
         spark.conf.set(_BATCH_BYTES, "8m")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
