@@ -48,7 +48,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     its work nor depend on the executors that did it."""
     ship(df.sparkSession)
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
