@@ -9,7 +9,7 @@ normalised probability and the products stay small.
 1. Documents are packed (see packs.py); counts of all distinct tokens are gathered by hash
    bucket: a pack sends each of its distinct tokens once and gets the corpus counts back.
 2. In each round every task runs NCE over the training texts of its packs, from common parameters
-   that are then averaged; every STRIDE-th position of every training text is an example.
+   that are then averaged; over the rounds every position of every training text is an example once.
 3. Packs are scored: logits of the distinct contexts of a pack by batched matrix products.
 """
 
@@ -33,7 +33,6 @@ TOP = 512  # classes of single tokens, the end among them
 SHARED = 192  # classes of all others
 DIMENSIONS = 24
 ROUNDS = 2
-STRIDE = 8  # an example at every so many positions of a training text, shifted from round to round
 NOISE = 64  # noise classes of a minibatch
 BATCH = 4096
 RATE = 0.08
@@ -270,7 +269,12 @@ def _vocabulary(totals: DataFrame) -> Vocabulary:
     return Vocabulary(values, tokens, distinct, counts / counts.sum(), *everything)
 
 
-def train(packs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
+def examples(t: Tokens, k: int, rounds: int) -> np.ndarray:
+    """Positions of a pack's training texts that round k takes: all of them over the rounds, each once."""
+    return np.flatnonzero(t.train[t.doc])[k::rounds]
+
+
+def train(packs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """NCE on the training texts of all packs; parameters are averaged after each round, by examples."""
     spark, model = packs.sparkSession, Model.start(vocabulary.share)
     for k in range(rounds):
@@ -284,8 +288,7 @@ def train(packs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride
                     trainer = trainer or Trainer(model, vocabulary.share, 9 + k)
                     t = tokens_of(b, j)
                     cls, one, two = vocabulary.contexts(t)
-                    at = np.flatnonzero(t.train[t.doc])[k * stride // rounds :: stride]
-                    at = trainer.rng.permutation(at)
+                    at = trainer.rng.permutation(examples(t, k, rounds))
                     for lo in range(0, len(at), BATCH):
                         own = at[lo : lo + BATCH]
                         trainer.batch(cls[own], one[own], two[own])

@@ -63,3 +63,12 @@ def test_probabilities_are_normalised():
     m = lm.Model.start(share)
     one, two = np.repeat(3, 7), np.repeat(5, 7)
     assert np.exp(m.log_probability(np.arange(7), one, two)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_rounds_take_every_training_position_once():
+    sizes, train = [1, 3, 2, 9, 1, 30], np.array([True, True, False, True, True, True])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    none = np.zeros(0, np.int64)
+    t = lm.Tokens(doc, none, none, none, len(sizes), train, [])
+    taken = np.concatenate([lm.examples(t, k, lm.ROUNDS) for k in range(lm.ROUNDS)])
+    assert sorted(taken) == [i for i, d in enumerate(doc) if train[d]]
