@@ -60,8 +60,13 @@ def prepared(queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def mini_subset(docs: DataFrame, queries: DataFrame, qrels: DataFrame, n_queries: int, n_docs: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """A seeded sample of queries, all their positive documents, and others up to `n_docs`: the subset is the feature."""
-    q = queries.orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(n_queries)
-    gold = qrels.where("relevance > 0").join(q, "query_id", "left_semi").select("doc_id").distinct()
-    marked = docs.join(gold.withColumn("__gold", F.lit(0)), "doc_id", "left")
-    return q, marked.orderBy(F.coalesce("__gold", F.lit(1)), F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n_docs).drop("__gold")
+    """A seeded sample of queries with a positive judgment, all their positive documents, and others up to `n_docs`.
+
+    The subset is the feature. Positive documents all stay, be they more than `n_docs`.
+    """
+    eligible, positive = prepared(queries, qrels)
+    q = eligible.orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(n_queries)
+    wanted = positive.join(q, "query_id", "left_semi").select("doc_id").distinct()
+    gold = docs.join(wanted, "doc_id", "left_semi")
+    fill = docs.join(wanted, "doc_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max(n_docs - gold.count(), 0))
+    return q, gold.unionByName(fill)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hooks
 from tessera.plans import loops, sandbox
-from tessera.sources import office
+from tessera.sources import files, office
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -89,3 +89,17 @@ def test_loops(spark):
     for bad in ("", "WITH x AS (SELECT 1) SELECT 1", "SELECT 1; SELECT 2", "select 'drop'"):
         with pytest.raises(sandbox.SqlRejected):
             sandbox.validate(bad)
+
+
+def test_mini_subset_matches_brute_force(spark):
+    docs = [(i, "en") for i in range(60)]
+    judged = [(q, d, 1 + d % 2) for q in range(30, 36) for d in range(q - 30, 60, 6)] + [(q, q, 0) for q in range(30)]
+    hashes = lambda n: {r.k: r.h for r in spark.range(n).select(F.col("id").alias("k"), F.xxhash64(F.lit(7), "id").alias("h")).collect()}
+    order = hashes(60)
+    for n_queries, n_docs in ((2, 30), (4, 15), (50, 60), (1, 0)):
+        got, subset = files.mini_subset(*(spark.createDataFrame(x, y) for x, y in ((docs, "doc_id long, lang string"), ([(q,) for q in range(36)], "query_id long"), (judged, "query_id long, doc_id long, relevance int"))), n_queries, n_docs)
+        chosen = sorted({q for q, _, r in judged if r > 0}, key=lambda q: (order[q], q))[:n_queries]
+        gold = {d for q, d, r in judged if q in chosen and r > 0}
+        fill = sorted({d for d, _ in docs} - gold, key=lambda d: (order[d], d))[: max(n_docs - len(gold), 0)]
+        assert sorted(r.query_id for r in got.collect()) == sorted(chosen)
+        assert sorted(r.doc_id for r in subset.collect()) == sorted(gold | set(fill))
