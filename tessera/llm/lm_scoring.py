@@ -2,9 +2,10 @@
 
 The model predicts a token's class from the classes of the two tokens before it: the context
 vectors, scaled per position, add up to a prediction whose products with the classes' vectors, plus
-biases, are the logits. Each of the most frequent tokens is a class of its own; the others share
-classes by their last two bytes, within which a token has its smoothed share. So every token has a
-normalised probability and the products stay small.
+biases, are the logits. Each of the most frequent tokens, as many as make up a share COVER of the
+training tokens, is a class of its own; the others share classes by their last two bytes, within
+which a token has its smoothed share. So every token has a normalised probability and the products
+stay small.
 
 1. Documents are packed (see packs.py); counts of all distinct tokens are gathered by hash
    bucket: a pack sends each of its distinct tokens once and gets the corpus counts back.
@@ -15,6 +16,7 @@ normalised probability and the products stay small.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,7 +31,8 @@ from tessera.llm.common import cut, free_shuffles, mix, owner, prefix_hash, span
 from tessera.llm.packs import bucketwise, pack, unpack
 from tessera.llm.trees import sigmoid
 
-TOP = 512  # classes of single tokens, the end among them
+TOP = 512  # classes of single tokens at least, the end among them
+COVER = 0.5  # share of the training tokens that classes of single tokens make up, however many these are
 SHARED = 192  # classes of all others
 DIMENSIONS = 24
 ROUNDS = 2
@@ -113,13 +116,20 @@ class Model:
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.c[0] * self.r[one] + self.c[1] * self.r[two]
 
-    def log_normaliser(self, one: np.ndarray, two: np.ndarray, step: int = 8192) -> np.ndarray:
+    def log_normaliser(self, one: np.ndarray, two: np.ndarray, step: int = 256) -> np.ndarray:
         """log of the sum of all classes' exponentials, for each context."""
         out = np.empty(len(one))
+        sides = np.vstack([self.q.T, self.bias])
         for lo in range(0, len(one), step):
-            logits = self.predicted(one[lo : lo + step], two[lo : lo + step]) @ self.q.T + self.bias
-            top = logits.max(axis=1, keepdims=True)
-            out[lo : lo + step] = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64))
+            p = self.predicted(one[lo : lo + step], two[lo : lo + step])
+            logits = np.column_stack([p, np.ones(len(p), np.float32)]) @ sides
+            with np.errstate(over="ignore"):
+                total = np.exp(logits).sum(axis=1)
+            out[lo : lo + step] = np.log(total, where=total > 0, out=np.zeros_like(total))
+            far = np.flatnonzero(~((total > 1e-25) & (total < 1e25)))  # out of the range of floats, or near
+            if len(far):
+                top = logits[far].max(axis=1, keepdims=True)
+                out[lo + far] = top[:, 0] + np.log(np.exp(logits[far] - top).sum(axis=1))
         return out
 
     def log_probability(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -227,11 +237,9 @@ def _counted(packs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
         sent = total[inverse.ravel()]
         out = [{"pack": r["pack"], "bucket": bucket, "blob": z.compress(sent[a:b].astype("<i8").tobytes())} for r, a, b in zip(rows, edge[:-1], edge[1:])]
         known, cls = total > 0, shared[index]
-        kept = np.argsort(-total, kind="stable")[:TOP]
-        kept = kept[total[kept] > 0]
         sums = np.stack([np.bincount(cls[known], total[known], SHARED), np.bincount(cls[known], minlength=SHARED)]).astype("<i8")
-        top = np.stack([distinct[kept].view(np.int64), total[kept], cls[kept].astype(np.int64)]).astype("<i8")
-        out.append({"pack": None, "bucket": bucket, "blob": sums.tobytes() + top.tobytes()})
+        words = np.stack([distinct[known].view(np.int64), total[known], cls[known].astype(np.int64)]).astype("<i8")
+        out.append({"pack": None, "bucket": bucket, "blob": sums.tobytes() + z.compress(words.tobytes())})
         yield pa.RecordBatch.from_pylist(out, pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())]))
 
     sent = packs.mapInArrow(send, "bucket int, pack long, n int, blob binary")
@@ -240,8 +248,17 @@ def _counted(packs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     return added.where("pack IS NOT NULL"), added.where("pack IS NULL")
 
 
+def _own_classes(counts: list[tuple[int, int]]) -> int:
+    """How many of the most frequent tokens make up COVER of all, or TOP; counts: (n, tokens that occur n times)."""
+    left, size = COVER * sum(n * words for n, words in counts), 1  # the end may be rare
+    for n, words in sorted(counts, reverse=True):
+        take = min(words, max(0, math.ceil(left / n)))
+        left, size = left - take * n, size + take
+    return max(TOP, size)
+
+
 def _vocabulary(totals: DataFrame) -> Vocabulary:
-    """Adds the buckets' sums up in the plan; the driver gets one row per shared class and TOP tokens."""
+    """Adds the buckets' sums up in the plan; the driver gets one row per shared class and per count, and the most frequent tokens."""
 
     def sums(batches):
         for b in batches:
@@ -252,11 +269,13 @@ def _vocabulary(totals: DataFrame) -> Vocabulary:
     def tops(batches):
         for b in batches:
             for blob in b.column("blob").to_pylist():
-                x = np.frombuffer(blob[16 * SHARED :], "<i8").reshape(3, -1)
+                x = np.frombuffer(zstandard.decompress(blob[16 * SHARED :]), "<i8").reshape(3, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(y) for y in x], names=["token", "n", "cls"])
 
     by_class = {r["cls"]: r for r in totals.mapInArrow(sums, "cls long, tokens long, distinct long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).collect()}
-    top = totals.mapInArrow(tops, "token long, n long, cls long").orderBy(F.col("token") != int(END.astype(np.int64)), F.desc("n"), "token").limit(TOP).collect()
+    words = totals.mapInArrow(tops, "token long, n long, cls long")
+    size = _own_classes([(r["n"], r["words"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()])
+    top = words.orderBy(F.col("token") != int(END.astype(np.int64)), F.desc("n"), "token").limit(size).collect()
     tokens = np.array([by_class[k]["tokens"] if k in by_class else 0 for k in range(SHARED)], float)
     distinct = np.array([by_class[k]["distinct"] if k in by_class else 0 for k in range(SHARED)], float)
     everything = int(tokens.sum()), int(distinct.sum())

@@ -72,3 +72,21 @@ def test_rounds_take_every_training_position_once():
     t = lm.Tokens(doc, none, none, none, len(sizes), train, [])
     taken = np.concatenate([lm.examples(t, k, lm.ROUNDS) for k in range(lm.ROUNDS)])
     assert sorted(taken) == [i for i, d in enumerate(doc) if train[d]]
+
+
+def test_own_classes_follow_the_vocabulary(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(100))) for i in range(200)], "doc_id long, text string")
+    _, totals = lm._counted(lm.pack(docs), 4)
+    v = lm._vocabulary(totals)
+    assert len(v.top) > lm.TOP and lm.END in v.top
+    assert v.shared_tokens.sum() <= (1 - lm.COVER) * v.tokens
+    assert lm._own_classes([(1, 10**6)]) == lm.COVER * 10**6 + 1 and lm._own_classes([(900, 3), (1, 5)]) == lm.TOP
+
+
+def test_normaliser_of_very_large_and_small_logits():
+    for shift in (-300, -60, 0, 60, 300):
+        m = lm.Model.start(np.full(7, 1 / 7))
+        m.bias += np.float32(shift)
+        one, two = np.repeat(3, 7), np.repeat(5, 7)
+        assert np.exp(m.log_probability(np.arange(7), one, two)).sum() == pytest.approx(1, abs=1e-4)
