@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import blocks, gram_hash, mix, owner, prefix_hash, span_hash, sum_by, table, word_spans
+from tessera.runtime import ship
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -72,12 +73,8 @@ def word_statistics(data: np.ndarray, offs: np.ndarray, window: int = 8) -> dict
     out["word_chars"] = sum_by(leads[end] - leads[start], who, n)
     out["n_symbols"] = np.diff(np.searchsorted(np.flatnonzero(_SYMBOL[data]), offs))
 
-    line_end = np.flatnonzero(data == 10)
-    line_end = np.union1d(line_end, offs[1:])  # also at the end of each text
-    line_start = np.zeros(len(line_end), np.int64)
-    line_start[1:] = line_end[:-1]
-    line_start += (line_start < len(data)) & (data[np.minimum(line_start, len(data) - 1)] == 10) if len(data) else 0
-    line_start = np.where(np.isin(np.r_[0, line_end[:-1]], offs), np.r_[0, line_end[:-1]], line_start)
+    feeds = np.flatnonzero(data == 10)  # a line begins at its text's start or after a line feed
+    line_start, line_end = np.sort(np.r_[offs[:-1], feeds + 1]), np.sort(np.r_[feeds, offs[1:]])
     line_of = np.searchsorted(offs, line_start, "right") - 1
     worded = np.searchsorted(start, line_start) < np.searchsorted(start, line_end)
     line_start, line_end, line_of = line_start[worded], line_end[worded], line_of[worded]
@@ -112,6 +109,7 @@ def compression_bands(docs: DataFrame, bands: Bands = DEFAULT, min_words: int =
     them in repeated 8-word windows. A null text counts as empty: no words, so base_failed. A null
     doc_id stays null; repeated rows each get their row; other columns are ignored.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=bands.level)
@@ -129,4 +127,5 @@ def compression_bands(docs: DataFrame, bands: Bands = DEFAULT, min_words: int =
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics, base rule and bands of every whole text of `documents`; see compression_bands."""
     return compression_bands(table(spark, sf_dir, "documents"))
