@@ -29,11 +29,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Where none is set, a folder of our own in local mode, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share with the driver")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -151,15 +151,19 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * powers(len(c))[1][start] + (end - start).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offs: np.ndarray, solid: np.ndarray | None = None, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and where each text's words begin (with their total added).
 
-    `solid` marks the bytes of words; without it they are all but ASCII white space."""
+    `solid` marks the bytes of words; without it they are all but ASCII white space. `alone` marks
+    the bytes of characters that are words by themselves."""
     solid = ~_SPACE[data] if solid is None else solid
     begins, ends = solid.copy(), solid.copy()
     if len(data):
-        begins[1:] &= ~solid[:-1]
-        ends[:-1] &= ~solid[1:]
+        edge = ~solid[:-1]
+        if alone is not None:  # a character that is a word begins at its leading byte, what follows it too
+            edge |= (alone[1:] | alone[:-1]) & ((data[1:] & 0xC0) != 0x80)
+        begins[1:] &= edge
+        ends[:-1] &= ~solid[1:] | begins[1:]
         full = offs[1:] > offs[:-1]
         first, last = offs[:-1][full], offs[1:][full] - 1
         begins[first] = solid[first]

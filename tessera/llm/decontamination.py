@@ -13,7 +13,8 @@ slices of its items, each with a scan of its own.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, buffers, gram_hash, mix, owner, prefix_hash, span_hash, table, word_spans
+from tessera.runtime import ship
 
 NGRAM = 3
 SPREAD = 3
@@ -28,6 +30,8 @@ SPREAD = 3
 RARE, RARE_SHARE = 20, 1e-4
 SLICE = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An n-gram that so many items share is a seed of an item only if the item has no other.
+SHARED_ITEMS = 1000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -37,17 +41,53 @@ def folded(texts: pa.Array) -> pa.Array:
     return pa.array(["" if t is None else t.casefold() for t in texts.to_pylist()], pa.large_string())
 
 
+def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of letters, bytes of characters that are tokens by themselves).
+
+    By the first bytes of their UTF-8: Thai and Lao (E0 B8 to BB), Burmese (E1 80 to 82), Khmer (E1 9E, 9F),
+    kana, ideographs and their kin (E2 BA to E9 BF, EF A4 to AB, F0 A0 to B1). Punctuation of these
+    scripts and of General Punctuation (E2 80, E3 80 80 to 83, EF BC and BD other than letters and digits) is none.
+    """
+    solid, alone = _LETTER[data], np.zeros(len(data), bool)
+    if len(data) < 3:
+        return solid, alone
+    lead = np.flatnonzero(data[:-2] >= 0xE0)
+    if not len(lead):
+        return solid, alone
+    a, b, c = (data[lead + k].astype(np.int32) for k in range(3))
+    two = (a << 8) | b
+    single = ((two >= 0xE0B8) & (two <= 0xE0BB)) | ((two >= 0xE180) & (two <= 0xE182)) | (two == 0xE19E) | (two == 0xE19F)
+    single |= ((two >= 0xE2BA) & (two <= 0xE9BF)) | ((two >= 0xEFA4) & (two <= 0xEFAB)) | ((two >= 0xF0A0) & (two <= 0xF0B1))
+    wide = (two == 0xEFBC) & (((c >= 0x90) & (c <= 0x99)) | ((c >= 0xA1) & (c <= 0xBA))) | (two == 0xEFBD) & (((c >= 0x81) & (c <= 0x9A)) | (c >= 0xA6))
+    mark = (two == 0xE280) | ((two == 0xE380) & (c <= 0x83)) | ((two == 0xE380) & (c >= 0x88) & (c <= 0x9F)) | (((two == 0xEFBC) | (two == 0xEFBD)) & ~wide)
+    size = np.where(a >= 0xF0, 4, 3)
+    for k in range(4):
+        own = (size > k) & (lead + k < len(data))
+        alone[lead[own & single & ~mark] + k] = True
+        solid[lead[own & mark] + k] = False
+    return solid, alone
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of letters and digits, and where each text's begin."""
-    start, end, firsts = word_spans(data, offs, _LETTER[data])
+    """Hashes of the runs of letters and digits, and where each text's begin.
+
+    In scripts that are written without spaces each character is a token.
+    """
+    solid, alone = _marks(data)
+    start, end, firsts = word_spans(data, offs, solid, alone)
     return span_hash(prefix_hash(data, fold=False), start, end), firsts
 
 
+def grams_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of `size` tokens in a row, apart from those of other sizes."""
+    return gram_hash(h, size) if size == NGRAM else mix(gram_hash(h, size) ^ np.uint64(size))
+
+
 class Lookup:
     """Finds values of a fixed set in an array; a bitmap turns most others away first."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
+    def __init__(self, values: np.ndarray, sizes: Sequence[int] = (NGRAM,)):
+        self.values, self.sizes = np.unique(values), tuple(sizes)
         self.map = np.zeros(1 << 20, bool)
         self.map[(self.values >> np.uint64(44)).astype(np.int64)] = True
 
@@ -63,10 +103,12 @@ class Lookup:
 def _hits(data: np.ndarray, offs: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes and firsts of a block; place, document and value of each n-gram that is looked for."""
     h, firsts = tokens(data, offs)
-    grams, who = gram_hash(h, NGRAM), owner(firsts)
-    at, which = lookup.find(grams)
-    whole = who[at] == who[at + NGRAM - 1]
-    at, which = at[whole], which[whole]
+    who, parts = owner(firsts), []
+    for size in lookup.sizes:
+        at, which = lookup.find(grams_of(h, size))
+        whole = who[at] == who[at + size - 1]
+        parts.append((at[whole], which[whole]))
+    at, which = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
     return h, firsts, at, who[at], which
 
 
@@ -97,30 +139,43 @@ def needed(m: int, least: float) -> float:
     return max(least * MATCH * m, MATCH * min(m, 6))
 
 
-def _item_seeds(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, item, place) of every n-gram of the items."""
-    grams = [gram_hash(h, NGRAM) for _, h in items]
+def _item_seeds(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, ...]]:
+    """(n-gram, item, place) of every n-gram of the items, and their sizes. An item of fewer tokens is one n-gram, the whole of it."""
+    sizes = [min(NGRAM, len(h)) for h in items]
+    grams = [grams_of(h, n) if n else h for h, n in zip(items, sizes)]
     return (
         np.concatenate(grams) if grams else np.zeros(0, np.uint64),
         np.repeat(np.arange(len(items)), [len(g) for g in grams]),
         np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64),
+        tuple(sorted(set(sizes) - {0})),
     )
 
 
-def rare(item: np.ndarray, frequency: np.ndarray, limit: float) -> np.ndarray:
-    """Which n-grams are seeds, given each one's item and document frequency, in order."""
-    keep = frequency <= limit
+def rare(item: np.ndarray, frequency: np.ndarray, limit: float, shared: np.ndarray | None = None, short: np.ndarray | None = None) -> np.ndarray:
+    """Which n-grams are seeds, given each one's item, document frequency and whether very many items share it.
+
+    In order. Shared ones are seeds only of items that have no other; the one n-gram of a short item
+    is a seed only if it is rare.
+    """
+    shared = np.zeros(len(item), bool) if shared is None else shared
+    short = np.zeros(len(item), bool) if short is None else short
+    keep = (frequency <= limit) & ~shared
     begin = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
     for a, b in zip(begin, np.r_[begin[1:], len(item)]):
-        f = frequency[a:b]
+        if short[a]:
+            keep[a] = frequency[a] <= limit
+            continue
+        only = shared[a:b].all()
+        f = frequency[a:b] if only else np.where(shared[a:b], np.iinfo(np.int64).max, frequency[a:b])
         for k in range(max(1, b - a - SPREAD + 1)):
-            keep[a + k + int(np.argmin(f[k : k + SPREAD]))] = True
+            best = a + k + int(np.argmin(f[k : k + SPREAD]))
+            keep[best] |= only or not shared[best]
     return keep
 
 
-def _documents_with(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
+def _documents_with(docs: DataFrame, grams: np.ndarray, sizes: Sequence[int]) -> dict[int, int]:
     """In how many documents each n-gram occurs, a row each for those that occur."""
-    lookup = docs.sparkSession.sparkContext.broadcast(Lookup(grams))
+    lookup = docs.sparkSession.sparkContext.broadcast(Lookup(grams, sizes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = lookup.value.values
@@ -138,72 +193,124 @@ def _documents_with(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
     return {r["gram"] & (1 << 64) - 1: r["n"] for r in counted.collect()}
 
 
-def _tokenised(rows: list) -> list[tuple[int, np.ndarray]]:
-    texts = folded(pa.array([r["text"] for r in rows], pa.string()))
-    data, offs = buffers(texts)
+@dataclass(frozen=True)
+class Seeds:
+    """What tasks need: seeds, where those of each value begin, their items and places, distinct items, and the ids of each."""
+
+    lookup: Lookup
+    edges: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    items: list[np.ndarray]
+    names: list[list]
+
+    def found(self, texts: pa.Array, least: float) -> list[tuple]:
+        """(row, item, score, first token, tokens) of each row that holds a copy of a distinct item."""
+        out = []
+        for lo, hi, data, offs in blocks(folded(texts)):
+            h, firsts, where, who, which = _hits(data, offs, self.lookup)
+            n = self.edges[which + 1] - self.edges[which]  # items with that seed
+            seed = np.repeat(self.edges[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            who, where = np.repeat(who, n), np.repeat(where, n)
+            out += [(lo + r[0], *r[1:]) for r in _aligned(h, firsts, who, where - self.place[seed], self.item[seed], self.items, least)]
+        return out
+
+
+def _tokenised(rows: list) -> tuple[list[np.ndarray], list[list]]:
+    """Distinct token sequences, and the item_ids of each."""
+    data, offs = buffers(folded(pa.array([r["text"] for r in rows], pa.string())))
     h, firsts = tokens(data, offs)
-    return [(r["item_id"], h[a:b]) for r, a, b in zip(rows, firsts[:-1], firsts[1:])]
+    own: dict[bytes, list] = {}
+    for r, a, b in zip(rows, firsts[:-1], firsts[1:]):
+        own.setdefault(h[a:b].tobytes(), []).append(r["item_id"])
+    return [np.frombuffer(k, np.uint64) for k in own], list(own.values())
+
+
+def _seeds(docs: DataFrame, benchmark: DataFrame, slice_ngrams: int) -> Iterator[Seeds]:
+    """The seeds of each slice of the benchmark, with frequencies over all of docs."""
+    items = benchmark.select("item_id", "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices = max(1, math.ceil(size / slice_ngrams))  # an n-gram begins at every character at most
+    n_docs = docs.count()
+    for k in range(slices):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect()
+        own, names = _tokenised(rows)
+        grams, item, place, sizes = _item_seeds(own)
+        counts = _documents_with(docs, grams, sizes) if len(grams) else {}
+        value, inverse = np.unique(grams, return_inverse=True)
+        share = np.bincount(inverse.ravel(), minlength=len(value))[inverse.ravel()]
+        short = np.array([len(h) < NGRAM for h in own], bool)[item]
+        keep = rare(item, np.array([counts.get(int(g), 0) for g in grams], np.int64), max(RARE, RARE_SHARE * n_docs), share > SHARED_ITEMS, short)
+        order = np.flatnonzero(keep)[np.argsort(grams[keep], kind="stable")]
+        lookup = Lookup(grams[order], sizes)
+        edges = np.searchsorted(grams[order], lookup.values)
+        yield Seeds(lookup, np.r_[edges, len(order)], item[order], place[order], own, names)
+
+
+def _in_parts(batches: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            yield from work(b.slice(at, 512))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, slice_ngrams: int = SLICE) -> DataFrame:
     """Pairs of a document (doc_id, text) and a benchmark item (item_id, text) that it holds a copy of.
 
     Columns: doc_id, item_id, score (1 for a whole copy), first_token and n_tokens (where in the
-    document). Tokens are runs of letters and digits, case-folded. Null or empty texts match
-    nothing, nor do items of fewer than three tokens. Repeated rows give repeated pairs, rows
-    without id pairs with a null id. Other columns are ignored; empty tables give no rows.
+    document). Tokens are runs of letters and digits, case-folded; in scripts written without spaces
+    (ideographs, kana, Thai, Lao, Khmer, Burmese) each character is one. Null or empty texts match
+    nothing. An item of one or two tokens matches where its whole sequence occurs, if no more
+    documents have it than a rare n-gram may; a commoner one is no sign of a copy and matches nothing.
+    Items with equal tokens are aligned once. An n-gram that over SHARED_ITEMS items of a slice have
+    seeds only items that have no other. Repeated rows give repeated pairs, rows without id pairs with
+    a null id, texts of any length are searched whole. Other columns are ignored; empty tables give no
+    rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, math.ceil(size / 2 / slice_ngrams))  # an n-gram begins at every second character at most
-    n_docs = docs.count()
-    out = None
-    for k in range(slices):
-        own = _tokenised(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect())
-        found = _contaminated(docs, own, n_docs, least)
+    ship(docs.sparkSession)
+    kind, out = docs.schema["doc_id"].dataType.simpleString(), None
+    for seeds in _seeds(docs, benchmark, slice_ngrams):
+        sent = docs.sparkSession.sparkContext.broadcast(seeds)
+
+        def pairs(b: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
+            rows = [(r, name, *rest) for r, i, *rest in sent.value.found(b.column("text"), least) for name in sent.value.names[i]]
+            if rows:
+                row, *rest = zip(*rows)
+                kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=["doc_id", "item_id", "score", "first_token", "n_tokens"])
+
+        found = docs.select("doc_id", "text").mapInArrow(lambda it, pairs=pairs: _in_parts(it, pairs), f"doc_id {kind}, item_id long, score double, first_token long, n_tokens long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _contaminated(docs: DataFrame, items: list[tuple[int, np.ndarray]], n_docs: int, least: float) -> DataFrame:
-    grams, item, place = _item_seeds(items)
-    counts = _documents_with(docs, grams) if len(grams) else {}
-    keep = rare(item, np.array([counts.get(int(g), 0) for g in grams], np.int64), max(RARE, RARE_SHARE * n_docs))
-    order = np.flatnonzero(keep)[np.argsort(grams[keep], kind="stable")]
-    lookup = Lookup(grams[order])
-    edges = np.searchsorted(grams[order], lookup.values)
-    sent = docs.sparkSession.sparkContext.broadcast((lookup, np.r_[edges, len(order)], item[order], place[order], items))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, slice_ngrams: int = SLICE) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no copy of a benchmark item; see `contaminated`.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, edges, seed_item, seed_place, items = sent.value
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for lo, hi, data, offs in blocks(folded(part.column("text"))):
-                    h, firsts, where, who, which = _hits(data, offs, lookup)
-                    n = edges[which + 1] - edges[which]  # items with that seed
-                    seed = np.repeat(edges[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    who, where = np.repeat(who, n), np.repeat(where, n)
-                    rows = _aligned(h, firsts, who, where - seed_place[seed], seed_item[seed], items, least)
-                    if rows:
-                        doc, *rest = zip(*rows)
-                        names = ["doc_id", "item_id", "score", "first_token", "n_tokens"]
-                        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(lo, hi - lo).take(pa.array(doc)), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score double, first_token long, n_tokens long")
-
-
-def _aligned(h: np.ndarray, firsts: np.ndarray, who: np.ndarray, diagonal: np.ndarray, item: np.ndarray, items: list[tuple[int, np.ndarray]], least: float) -> list[tuple]:
+    Each row is judged by its own text, so rows without doc_id or with the same doc_id are told apart.
+    Nothing is shuffled.
+    """
+    ship(docs.sparkSession)
+    out = docs
+    for seeds in _seeds(docs, benchmark, slice_ngrams):
+        sent = docs.sparkSession.sparkContext.broadcast(seeds)
+
+        def clean(b: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r[0] for r in sent.value.found(b.column("text"), least)]] = False
+            yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(lambda it, clean=clean: _in_parts(it, clean), docs.schema)
+    return out
+
+
+def _aligned(h: np.ndarray, firsts: np.ndarray, who: np.ndarray, diagonal: np.ndarray, item: np.ndarray, items: list[np.ndarray], least: float) -> list[tuple]:
     """Best alignment of each document and item with a seed in common, if it is good enough."""
     order = np.lexsort((diagonal, item, who))
     who, item, diagonal = who[order], item[order], diagonal[order]
     new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (item[1:] != item[:-1])]) if len(who) else np.zeros(0, np.int64)
     rows = []
     for a, b in zip(new, np.r_[new[1:], len(who)]):
-        doc, (name, words) = int(who[a]), items[item[a]]
+        doc, name, words = int(who[a]), int(item[a]), items[item[a]]
         m, best = len(words), (0, 0, 0)
         slack, where = m // 2 + 4, diagonal[a:b]
         for group in np.split(where, np.flatnonzero(np.diff(where) > m) + 1):  # seeds that lie far apart are aligned by themselves
@@ -217,4 +324,5 @@ def _aligned(h: np.ndarray, firsts: np.ndarray, who: np.ndarray, diagonal: np.nd
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds a copy of, over both whole tables; see contaminated."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
