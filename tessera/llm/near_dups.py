@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, cut, free_shuffles, gram_hash, mix, owner, prefix_hash, span_hash, table, word_spans
 from tessera.llm.components import components
+from tessera.runtime import ship
 
 SKETCH_WORDS = 8
 SET_WORDS = 16
@@ -198,12 +199,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, seed: int =
 
     A null text counts as empty; texts without words have no shingles, are linked with nothing and
     kept. doc_ids are to be unique: repeated rows each get their row, but where rows share a doc_id and
-    differ in text, classes whose smallest doc_id is that one count as linked. A row without doc_id gets the component of texts with an equal set, else null, and is kept in the
-    latter case only. An empty table gives no rows.
+    differ in text, classes whose smallest doc_id is that one count as linked. A row without doc_id
+    gets the component of texts with an equal set, else null, and is kept in the latter case only.
+    An empty table gives no rows.
     """
     threshold = percent / 100
     bands, rows = banding(threshold)
     spark = docs.sparkSession
+    ship(spark)
     sigs = cut(signatures(docs, n, bands, rows, seed), "signatures")
     rest = [F.first(c).alias(c) for c in (*WIDE, "bands")]
     classes = cut(sigs.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *rest).where("node IS NOT NULL"), "classes")
@@ -247,4 +250,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, seed: int =
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates of all `documents`: 3-word shingles, a similarity of 0.85 or more; see near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)

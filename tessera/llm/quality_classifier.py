@@ -20,6 +20,7 @@ from tessera.llm.common import blocks, owner, prefix_hash, span_hash, sum_by, ta
 from tessera.llm.quality_rules import word_statistics
 from tessera.llm.training import held_out, labelled
 from tessera.llm.trees import Leaf, Split, boost, sigmoid
+from tessera.runtime import ship
 
 NAMES = ("log_words", "word_bytes", "symbols", "pipes", "capitals", "exclamations", "stops", "digits", "dup_lines", "repeats", "distinct", "stutter", "lines", "ratio")
 
@@ -155,11 +156,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], threshold
     usable labels give a constant score of 0.5, labels of one kind the smoothed share of label 1.
     An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     model = fit(docs, labels)
     scored = with_statistics(docs, keep).withColumn("__score", model.column())
     return scored.select(*(F.col(f"`{c}`") for c in keep), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of `documents`, learned outside the held-out fold; see score_quality."""
     out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import blocks, owner, prefix_hash, span_hash, sum_by, table, word_spans
 from tessera.llm.training import held_out, labelled
 from tessera.llm.trees import Boosted, boost, isotonic, sigmoid
+from tessera.runtime import ship
 
 LEXICON = tuple(
     "trash pathetic idiot idiots worthless disgusting stupid clown loser losers scum moron morons dumb fool ugly hate garbage jerk vermin filth creep imbecile "
@@ -204,6 +205,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     Every row of docs (doc_id, text) is scored by its whole text alone, a null one as an empty one.
     No usable labels give a constant score of 0.5. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,4 +220,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of `documents`, learned outside the held-out fold; see score_toxicity."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

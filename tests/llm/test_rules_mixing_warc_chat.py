@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import chat, mixing, quality_rules, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = ["", None, "  \n\t ", "one", "a b\na b\na b\n", "x\n\nx\n y\nx", "é ü 漢字   #%& <|>", "w " * 400, "abc def\n" * 50, " ".join(map(str, range(3000))), "\nlead", "trail\n", "q" * 5000]
+ODD = ["", None, "  \n\t ", "one", "a b\na b\na b\n", "x\n\nx\n y\nx", "é ü 漢字   #%& <|>", "w " * 400, "abc def\n" * 50, " ".join(map(str, range(3000))), "\nlead", "\nfoo bar\nfoo bar", "\nq r\nq r\n", "\n\nx\nx", "a\r\na\r\na", "trail\n", "", "\n", "q" * 5000, "long line of words " * 40_000 + "\n" + "long line of words " * 40_000]
 
 
 def brute_words(text):
@@ -105,6 +105,8 @@ def test_warc_round_trip_rejects_records_in_payloads(spark, tmp_path):
             again = i != first and len(b) >= least
             want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first if again else None))
         assert got == sorted(want, key=str)
+    said = warc.read_warc(spark, path, payloads=True).where("page_id = 1").first()
+    assert said.target_uri == "http://x/1%0D%0Aq" and said.date.endswith("Z") and said.payload.decode() == fake and said.record_id == "<urn:page:1>"
     warc.write_warc(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
@@ -125,7 +127,18 @@ def test_template_language():
     assert run("a  {%- set y = 'p' ~ 3 -%}  {{ y + 'q' }}{# note #}", x=2) == "ap3q"
     assert run("{{ x.__class__ }}{{ x.k }}", x={"k": "v"}) == "v"
     assert chat.fold(chat.parse("{{ 'a' + 'b' }}c{% if 1 == 2 %}z{% endif %}{{ 'D' | lower }}")) == (chat.Text("abcd"),)
-    for bad in ("{% for %}", "{{ f(1) }}", "{{ x | nope }}", "{% if a %}", "{{ 'a }}", "{% endif %}"):
+    assert run("{{ '}}' ~ \"%}\" }}{% if x == '%}' %}y{% endif %}{# '}} #}", x="%}") == "}}%}y"
+    assert run("{%\tfor\tm in messages %}{{ 3 - 1 - loop.index0 }}{{ -loop.index }}{%endfor%}") == "2-11-2"
+    assert run("{% if x %}{%- elif\ty -%} a {%- else -%} b {%- endif %}", y=1) == "a"
+    for wrong in ("{{ x | length }}", "{{ x + 1 }}", "{% for a in x.n %}{% endfor %}", "{{ 'a' < x.n }}"):
+        with pytest.raises(chat.TemplateError):
+            run(wrong, x={"n": 1} if "x.n" in wrong else None)
+    many = "{% for a in x %}" * 5 + "{{ a }}" + "{% endfor %}" * 5
+    with pytest.raises(chat.TemplateError):
+        run(many, x=list(range(50)))
+    with pytest.raises(chat.TemplateError):
+        run("{% set t = 'a' %}" + "{% set t = t ~ t %}" * 40)
+    for bad in ("{{ none | length }}", "{{ 1 + 'a' }}", "{{ x", "a {% if x", "{# note", "{{ x %}", "{% for %}", "{{ f(1) }}", "{{ x | nope }}", "{% if a %}", "{{ 'a }}", "{% endif %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
 
@@ -147,3 +160,44 @@ def test_chat_round_trip(spark):
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
         assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_warc_members_archives_and_foreign_files(spark, tmp_path):
+    import glob
+    import gzip
+
+    big = "".join(random.Random(9).choices("abcdefgh ", k=20_000_000))  # more than a member holds
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", "x" * 3000), (3, "u", "y"), (4, None, "z" * 3000)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "own")
+    warc.write_warc(pages, path, most_bytes=4000, date="2020-01-02T03:04:05Z")
+    files = [open(f, "rb").read() for f in glob.glob(f"{path}/archive=*/part-*")]
+    plain = sorted((gzip.decompress(f) for f in files), key=len)
+    assert all(x.startswith(b"WARC/1.1\r\n") and b"\r\nWARC-Date: 2020-01-02T03:04:05Z\r\n" in x for x in plain)
+    assert all(x.count(b"WARC/1.1\r\n") == 1 or len(x) <= 4000 for x in plain)
+    for f in files:  # each record can be unpacked by itself
+        begins = [m.start() for m in re.finditer(rb"\x1f\x8b\x08\x00\x00\x00\x00\x00", f)]
+        assert len(begins) >= gzip.decompress(f).count(b"WARC/1.1\r\n")
+    assert {r.page_id: r.payload_bytes for r in warc.read_warc(spark, path).collect()} == {1: len(big), 2: 3000, 3: 1, 4: 3000}
+    record = lambda v, n: f"WARC/{v}\r\nWARC-Type: resource\r\nContent-Type: text/plain\r\ncontent-length: {n}\r\n\r\n".encode() + b"r" * n + b"\r\n\r\n"
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "a.warc").write_bytes(record("1.0", 3) + record("1.1", 5))
+    (other / "b.warc.gz").write_bytes(gzip.compress(record("1.0", 7) + record("1.1", 0)) + gzip.compress(record("1.1", 2)))
+    (other / "c.warc").write_bytes(b"")
+    got = sorted((r.path.rpartition("/")[2], r.off, r.payload_bytes) for r in warc.read_warc(spark, str(other)).collect())
+    assert [x[::2] for x in got] == [("a.warc", 3), ("a.warc", 5), ("b.warc.gz", 7), ("b.warc.gz", 0), ("b.warc.gz", 2)]
+
+
+def test_warc_candidates_cost_is_linear_in_nested_records():
+    import time
+
+    def took(k):
+        nested = b"WARC/1.0\r\nContent-Length: 9\r\n" * k + b"\r\n"
+        raw = b"WARC/1.0\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(nested), nested)
+        began = time.perf_counter()
+        off, following = warc.candidates(raw)
+        assert len(off) == k + 1 and warc.reachable(off, following).sum() == 1 and following[0] == len(raw)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 30 * max(took(8000), 0.005)
