@@ -1,7 +1,8 @@
 """From raw documents to a training mix, in five stages. Counted as part of tessera.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the
-columns of documents. Between stages the rows are written as Parquet into the shared folder.
+columns of documents, and no others that a table may have besides. Between stages the rows are written
+as Parquet into the shared folder. Rows are judged one by one: a doc_id may be missing or repeat.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
-from tessera.llm.decontamination import contaminated
+from tessera.llm.decontamination import without_contaminated
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.quality_classifier import score_quality
@@ -27,19 +28,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+    """One row of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
 
-    Rows without doc_id stay.
+    Rows have a key of their own here, so repeated rows, rows that share a doc_id and rows without
+    one are told apart. The row with the smallest doc_id stays, one without a doc_id if no other is there.
+    Texts without words are in no group and stay.
     """
     ship(spark)
-    gone = near_duplicates(docs, n=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    rows = cut(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), n=5, percent=80)
+    groups = rows.select("__row", "doc_id").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).getField("__row").alias("__row")
+    return rows.join(groups.groupBy("component_id").agg(first), "__row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes or more that an earlier document has; n_chars follows.
 
-    A document of which only white space is left goes.
+    A document of which only white space is left goes. Rows that share a doc_id don't cut each other,
+    rows without one count as the last.
     """
     ship(spark)
     out = remove_repeats(docs.select(*COLUMNS))
@@ -49,9 +56,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item. Rows without doc_id stay."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Rows without a copy of a benchmark item, each judged by its own text."""
+    return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
