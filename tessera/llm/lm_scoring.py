@@ -7,11 +7,14 @@ training tokens, is a class of its own; the others share classes by their last t
 which a token has its smoothed share. So every token has a normalised probability and the products
 stay small.
 
-1. Documents are packed (see packs.py); counts of all distinct tokens are gathered by hash
-   bucket: a pack sends each of its distinct tokens once and gets the corpus counts back.
-2. In each round every task runs NCE over the training texts of its packs, from common parameters
-   that are then averaged; over the rounds every position of every training text is an example once.
-3. Packs are scored: logits of the distinct contexts of a pack by batched matrix products.
+1. Documents are dealt to trainers of about TRAINER bytes by a hash of id and text, in a fixed order,
+   and packed (see packs.py); counts of all distinct tokens are gathered by hash bucket: a pack sends
+   each of its distinct tokens once and gets the corpus counts back.
+2. Each trainer's texts become classes once, in a row of its own. In each round every trainer runs NCE
+   over its training texts from common parameters; over the rounds every position of every training
+   text is an example once. Tasks add their trainers' parameters up as fixed-point numbers and send
+   one array each, so the average doesn't depend on the order or on which task has which trainer.
+3. Texts are scored: logits of a trainer's distinct contexts by batched matrix products.
 """
 
 from __future__ import annotations
@@ -27,13 +30,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_shuffles, mix, owner, prefix_hash, span_hash, table, word_spans
-from tessera.llm.packs import bucketwise, pack, unpack
+from tessera.llm.common import buffers, cut, free_shuffles, mix, owner, prefix_hash, span_hash, table, word_spans
+from tessera.llm.packs import PACK, bucket_count, bucketwise
 from tessera.llm.trees import sigmoid
+from tessera.runtime import ship
 
 TOP = 512  # classes of single tokens at least, the end among them
 COVER = 0.5  # share of the training tokens that classes of single tokens make up, however many these are
+MOST_TOP = 1 << 15  # and at most: what the model's size may be; tokens beyond are in shared classes
 SHARED = 192  # classes of all others
+TRAINER = 1 << 23  # bytes of text of a trainer
+MOST_TASKS = 20_000  # tasks that deal trainers out; with more trainers a task has several, one after another
+FIXED = 1 << 20  # parameters are added up in units of 1 / FIXED
 DIMENSIONS = 24
 ROUNDS = 2
 NOISE = 64  # noise classes of a minibatch
@@ -61,9 +69,52 @@ class Tokens:
     ids: list
 
 
-def tokens_of(b: pa.RecordBatch, k: int) -> Tokens:
-    ids, offs, data = unpack(b, k)
-    keys = [r["doc_id"] for r in b.column("rows")[k].as_py()]
+def deal(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(trainer, pack, ids, offs, texts of each pack, how many trainers). Which text is in which pack, and where, depends on the rows alone."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    trainers = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / TRAINER))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, now, n, size, parts, ids = zstandard.ZstdCompressor(level=3), None, 0, 0, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal n, size, parts, ids
+            if parts:
+                offs = np.r_[0, np.cumsum(np.concatenate([k for _, k in parts]))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([now], pa.int64()), pa.array([now << 20 | n], pa.int64()), pa.array([[x for i in ids for x in i.to_pylist()]], pa.list_(pa.int64())),
+                     pa.array([offs.tolist()], pa.list_(pa.int64())), pa.array([z.compress(b"".join(d for d, _ in parts))], pa.binary())],
+                    names=["trainer", "pack", "ids", "offs", "texts"],
+                )
+                n, size, parts, ids = n + 1, 0, [], []
+
+        for b in batches:
+            data, offs = buffers(b.column("text"))
+            who = np.asarray(b.column("trainer"))
+            ends, lo = np.r_[np.flatnonzero(who[1:] != who[:-1]) + 1, len(who)], 0
+            for end in ends:
+                if now != who[lo]:
+                    yield from flush()
+                    now, n = int(who[lo]), 0
+                while lo < end:
+                    hi = min(int(end), int(np.searchsorted(offs, offs[lo] + PACK - size, "left")))
+                    hi = max(lo + 1, hi)
+                    parts.append((data[offs[lo] : offs[hi]].tobytes(), np.diff(offs[lo : hi + 1])))
+                    ids.append(b.column("doc_id").slice(lo, hi - lo))
+                    size += int(offs[hi] - offs[lo])
+                    lo = hi
+                    if size >= PACK:
+                        yield from flush()
+        yield from flush()
+
+    dealt = rows.withColumn("trainer", F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)))
+    dealt = dealt.repartition(min(trainers, MOST_TASKS), "trainer").sortWithinPartitions("trainer", "doc_id", "text")
+    return dealt.mapInArrow(run, "trainer long, pack long, ids array<long>, offs array<long>, texts binary"), trainers
+
+
+def tokens_of(r: dict) -> Tokens:
+    keys, offs = r["ids"], np.array(r["offs"], np.int64)
+    data = np.frombuffer(zstandard.decompress(r["texts"]) if offs[-1] else b"", np.uint8)
     start, end, firsts = word_spans(data, offs)
     n = len(offs) - 1
     h = span_hash(prefix_hash(data, fold=True), start, end) if len(start) else np.zeros(0, np.uint64)
@@ -80,6 +131,12 @@ def tokens_of(b: pa.RecordBatch, k: int) -> Tokens:
     return Tokens(doc, inverse.ravel(), value, shared, n, np.array([not is_held_out(x) for x in keys], bool), keys)
 
 
+def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 def _by_bucket(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, bucket of each group, edges) of distinct tokens by bucket."""
     bucket = ((value >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -197,15 +254,14 @@ class Vocabulary:
         at = np.searchsorted(self.top, t.value).clip(0, len(self.top) - 1)
         return np.where(self.top[at] == t.value, at, len(self.top) + t.shared)
 
-    def contexts(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, class before, class before that) of each token; before a text there is a class of its own."""
-        cls = self.classes(t)[t.inverse]
+    def contexts(self, cls: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class before, class before that) of each token; before a text there is a class of its own."""
         none = len(self.share)
-        one, two = np.full(len(cls), none), np.full(len(cls), none)
-        same = t.doc[1:] == t.doc[:-1]
+        one, two = np.full(len(cls), none, cls.dtype), np.full(len(cls), none, cls.dtype)
+        same = doc[1:] == doc[:-1]
         one[1:] = np.where(same, cls[:-1], none)
         two[2:] = np.where(same[1:] & same[:-1], cls[:-2], none)
-        return cls, one, two
+        return one, two
 
 
 def _counted(packs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -213,17 +269,16 @@ def _counted(packs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
     def send(batches):
         z, kinds = zstandard.ZstdCompressor(level=1), pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
-        for b in batches:
-            for k in range(b.num_rows):
-                t = tokens_of(b, k)
-                own = np.bincount(t.inverse[t.train[t.doc]], minlength=len(t.value)).astype("<u4")
-                order, bucket, edges = _by_bucket(t.value, buckets)
-                rows = []
-                for w, lo, hi in zip(bucket, edges[:-1], edges[1:]):
-                    at = order[lo:hi]
-                    blob = t.value[at].astype("<u8").tobytes() + z.compress(own[at].tobytes() + t.shared[at].astype("<u2").tobytes())
-                    rows.append({"bucket": int(w), "pack": b.column("pack")[k].as_py(), "n": int(hi - lo), "blob": blob})
-                yield pa.RecordBatch.from_pylist(rows, kinds)
+        for r in _packs(batches):
+            t = tokens_of(r)
+            own = np.bincount(t.inverse[t.train[t.doc]], minlength=len(t.value)).astype("<u4")
+            order, bucket, edges = _by_bucket(t.value, buckets)
+            rows = []
+            for w, lo, hi in zip(bucket, edges[:-1], edges[1:]):
+                at = order[lo:hi]
+                blob = t.value[at].astype("<u8").tobytes() + z.compress(own[at].tobytes() + t.shared[at].astype("<u2").tobytes())
+                rows.append({"bucket": int(w), "pack": r["pack"], "n": int(hi - lo), "blob": blob})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     def add(bucket, rows):
         z = zstandard.ZstdCompressor(level=1)
@@ -274,7 +329,7 @@ def _vocabulary(totals: DataFrame) -> Vocabulary:
 
     by_class = {r["cls"]: r for r in totals.mapInArrow(sums, "cls long, tokens long, distinct long").groupBy("cls").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).collect()}
     words = totals.mapInArrow(tops, "token long, n long, cls long")
-    size = _own_classes([(r["n"], r["words"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()])
+    size = min(MOST_TOP, _own_classes([(r["n"], r["words"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()]))
     top = words.orderBy(F.col("token") != int(END.astype(np.int64)), F.desc("n"), "token").limit(size).collect()
     tokens = np.array([by_class[k]["tokens"] if k in by_class else 0 for k in range(SHARED)], float)
     distinct = np.array([by_class[k]["distinct"] if k in by_class else 0 for k in range(SHARED)], float)
@@ -288,40 +343,119 @@ def _vocabulary(totals: DataFrame) -> Vocabulary:
     return Vocabulary(values, tokens, distinct, counts / counts.sum(), *everything)
 
 
-def examples(t: Tokens, k: int, rounds: int) -> np.ndarray:
-    """Positions of a pack's training texts that round k takes: all of them over the rounds, each once."""
-    return np.flatnonzero(t.train[t.doc])[k::rounds]
+def examples(train: np.ndarray, doc: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Positions of a trainer's training texts that round k takes: all of them over the rounds, each once."""
+    return np.flatnonzero(train[doc])[k::rounds]
+
+
+_ENCODED = pa.schema([("trainer", pa.int64()), ("ids", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32())), ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("classes", pa.binary())])
 
 
-def train(packs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """NCE on the training texts of all packs; parameters are averaged after each round, by examples."""
-    spark, model = packs.sparkSession, Model.start(vocabulary.share)
+def encoded(packs: DataFrame, answers: DataFrame, vocabulary: Vocabulary, buckets: int, trainers: int) -> DataFrame:
+    """A row per trainer: its texts' ids, numbers of tokens and of known ones, base scores, logs of shares within classes, and all classes.
+
+    A pack meets the counts that its buckets sent, which are sorted to come before it.
+    """
+    sent = packs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, z, now = sent.value, zstandard.ZstdCompressor(level=1), None
+        base_total = v.tokens + SMOOTH * (v.distinct + 1)
+        held: dict[str, list] = {}
+        said: dict[int, bytes] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                row = {c: np.concatenate(x) if c != "ids" else [i for k in x for i in k] for c, x in held.items()}
+                row["classes"] = z.compress(row["classes"].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_pylist([{"trainer": now} | row], _ENCODED)
+                held.clear()
+
+        for r in _packs(batches):
+            if r["trainer"] != now:
+                yield from flush()
+                now = r["trainer"]
+            if r["texts"] is None:
+                said[r["bucket"]] = r["blob"]
+                continue
+            t = tokens_of(r)
+            order, bucket, edges = _by_bucket(t.value, buckets)
+            count = np.zeros(len(t.value), np.int64)
+            for w, lo, hi in zip(bucket, edges[:-1], edges[1:]):
+                count[order[lo:hi]] = np.frombuffer(zstandard.decompress(said[int(w)]), "<i8")
+            said.clear()
+            own = v.classes(t)
+            inside = np.zeros(len(own))  # log of the token's share of its class
+            shared = own >= len(v.top)
+            c = own[shared] - len(v.top)
+            inside[shared] = np.log((count[shared] + SMOOTH) / (v.shared_tokens[c] + SMOOTH * (v.shared_distinct[c] + 1)))
+            total = lambda x: np.bincount(t.doc, x[t.inverse], t.n_docs)  # noqa: B023, E731
+            sums = (np.bincount(t.doc, minlength=t.n_docs).astype(np.int32), total(count > 0).astype(np.int32), total(np.log10((count + SMOOTH) / base_total)), total(inside))
+            for name, x in zip(("ids", "tokens", "known", "base", "inside", "classes"), (t.ids, *sums, own[t.inverse])):
+                held.setdefault(name, []).append(x)
+        yield from flush()
+
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = packs.select("trainer", "pack", "ids", "offs", "texts", none("int").alias("bucket"), none("binary").alias("blob"))
+    told = answers.select(F.shiftright("pack", 20).alias("trainer"), "pack", none("array<long>"), none("array<long>"), none("binary"), "bucket", "blob")
+    dealt = asked.union(told).repartition(min(trainers, MOST_TASKS), "trainer").sortWithinPartitions("trainer", "pack", F.col("bucket").asc_nulls_last())
+    return dealt.mapInArrow(run, "trainer long, ids array<long>, tokens array<int>, known array<int>, base array<double>, inside array<double>, classes binary")
+
+
+def _texts(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(class, text) of each token of a trainer."""
+    cls = np.frombuffer(zstandard.decompress(r["classes"]), "<u4").astype(np.int32)
+    return cls, np.repeat(np.arange(len(r["tokens"]), dtype=np.int32), r["tokens"])
+
+
+def _total(blobs: Iterable[bytes]) -> np.ndarray | None:
+    out = None
+    for x in blobs:
+        x = np.frombuffer(x, "<i8").reshape(2, -1)
+        out = x.copy() if out is None else out + x
+    return out
+
+
+def _fixed(flat: np.ndarray, n: int) -> np.ndarray:
+    """n times the parameters, and n, as two halves of whole numbers of 1 / FIXED each: their sums are exact for any number of trainers."""
+    x = np.append(np.rint(np.clip(flat.astype(np.float64), -1024, 1024) * FIXED), FIXED).astype(np.int64) * n
+    return np.stack([x >> 24, x & ((1 << 24) - 1)])
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """NCE by all trainers; parameters are averaged after each round, by examples."""
+    spark, model = texts.sparkSession, Model.start(vocabulary.share)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((model, vocabulary))
 
         def run(batches: Iterable[pa.RecordBatch], k=k, sent=sent) -> Iterator[pa.RecordBatch]:
             model, vocabulary = sent.value
-            trainer = None
-            for b in batches:
-                for j in range(b.num_rows):
-                    trainer = trainer or Trainer(model, vocabulary.share, 9 + k)
-                    t = tokens_of(b, j)
-                    cls, one, two = vocabulary.contexts(t)
-                    at = trainer.rng.permutation(examples(t, k, rounds))
-                    for lo in range(0, len(at), BATCH):
-                        own = at[lo : lo + BATCH]
-                        trainer.batch(cls[own], one[own], two[own])
-            if trainer is not None and trainer.examples:
-                flat = trainer.model.flat().astype(np.float64) * trainer.examples
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int64)), pa.array(flat), pa.array(np.full(len(flat), trainer.examples, np.int64))], names=["at", "value", "n"])
-
-        summed = packs.mapInArrow(run, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).collect()
-        if not summed:
+            total = None
+            for r in _packs(batches):
+                trainer = Trainer(model, vocabulary.share, [9, k, r["trainer"]])
+                cls, doc = _texts(r)
+                one, two = vocabulary.contexts(cls, doc)
+                own = np.array([not is_held_out(x) for x in r["ids"]], bool)
+                at = trainer.rng.permutation(examples(own, doc, k, rounds))
+                for lo in range(0, len(at), BATCH):
+                    trainer.batch(*(x[at[lo : lo + BATCH]] for x in (cls, one, two)))
+                if trainer.examples:
+                    x = _fixed(trainer.model.flat(), trainer.examples)
+                    total = x if total is None else total + x
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["sums"])
+
+        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _total(x for b in batches for x in b.column("sums").to_pylist())
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["sums"])
+
+        trained = texts.select("trainer", "ids", "tokens", "classes").mapInArrow(run, "sums binary")
+        total = _total(r["sums"] for r in trained.repartition(16).mapInArrow(add, "sums binary").collect())
+        if total is None:
             break
-        flat = np.zeros(len(summed))
-        for r in summed:
-            flat[r["at"]] = r["value"]
-        model = model.like(flat)
+        flat = total[0].astype(np.float64) * (1 << 24) + total[1]
+        model = model.like(flat[:-1] / flat[-1])
     return model
 
 
@@ -332,45 +466,37 @@ def score_texts(docs: DataFrame) -> DataFrame:
     without doc_id isn't held out). Tokens are words, A-Z lower-cased, then an end per text; a null
     text has only that. base_score is the smoothed unigram model's log10 probability, score the
     model's. Without training rows both are those of models that know no token. Repeated rows count
-    as often; other columns are ignored; an empty table gives no rows.
+    as often; of tokens as frequent as the last that gets a class of its own, those with the least
+    hashes do. The same rows give the same scores in whatever order and partitions they come. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = cut(pack(docs.select("doc_id", "text")), "packs")
+    ship(spark)
+    packs, trainers = deal(docs)
+    packs = cut(packs, "packs")
+    buckets = bucket_count(packs)
     answers, totals = _counted(packs, buckets)
     vocabulary = _vocabulary(totals)
     free_shuffles(spark)
-    sent = spark.sparkContext.broadcast((train(packs, vocabulary), vocabulary))
+    texts = cut(encoded(packs, answers, vocabulary, buckets, trainers), "encoded")
+    free_shuffles(spark)
+    sent = spark.sparkContext.broadcast((train(texts, vocabulary), vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, v = sent.value
-        base_total = v.tokens + SMOOTH * (v.distinct + 1)
-        for b in batches:
-            for k in range(b.num_rows):
-                t = tokens_of(b, k)
-                order, bucket, edges = _by_bucket(t.value, buckets)
-                said = {x["bucket"]: x["blob"] for x in b.column("answers")[k].as_py()}
-                count = np.zeros(len(t.value), np.int64)
-                for w, lo, hi in zip(bucket, edges[:-1], edges[1:]):
-                    count[order[lo:hi]] = np.frombuffer(zstandard.decompress(said[int(w)]), "<i8")
-                cls, one, two = v.contexts(t)
-                own = v.classes(t)
-                inside = np.zeros(len(own))  # log of the token's share of its class
-                shared = own >= len(v.top)
-                c = own[shared] - len(v.top)
-                inside[shared] = np.log((count[shared] + SMOOTH) / (v.shared_tokens[c] + SMOOTH * (v.shared_distinct[c] + 1)))
-                score = (model.log_probability(cls, one, two) + inside[t.inverse]) / np.log(10)
-                base = np.log10((count + SMOOTH) / base_total)[t.inverse]
-                total = lambda x: np.bincount(t.doc, x, t.n_docs)  # noqa: B023, E731
-                cols = [
-                    pa.array(t.ids, pa.int64()), pa.array(~t.train), pa.array(total(None).astype(np.int64)), pa.array(total((count > 0)[t.inverse]).astype(np.int64)),
-                    pa.array(np.full(t.n_docs, v.tokens, np.int64)), pa.array(total(base)), pa.array(total(score)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    asked = packs.join(answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers")), "pack")
-    return asked.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for r in _packs(batches):
+            cls, doc = _texts(r)
+            n = len(r["ids"])
+            score = np.bincount(doc, model.log_probability(cls, *v.contexts(cls, doc)), n)
+            cols = [
+                pa.array(r["ids"], pa.int64()), pa.array([is_held_out(x) for x in r["ids"]]), pa.array(r["tokens"], pa.int64()), pa.array(r["known"], pa.int64()),
+                pa.array(np.full(n, v.tokens, np.int64)), pa.array(r["base"], pa.float64()), pa.array((score + np.array(r["inside"])) / np.log(10)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text of `documents` by a model of those that aren't held out; see score_texts."""
     return score_texts(table(spark, sf_dir, "documents"))

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, free_shuffles, mix, powers, prefix_hash, span_hash, table
-from tessera.llm.packs import LAST, bucketwise, pack, unpack
+from tessera.llm.packs import LAST, bucket_count, bucketwise, pack, unpack
 from tessera.llm.suffix_sort import sort_suffixes
+from tessera.runtime import ship
 
 LENGTH = 50
 ANCHOR = 24
@@ -217,8 +218,9 @@ def _spans_of(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, heavy_segments: int = HEAVY_SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """(packs, spans): the packs of docs, and blobs of the spans to cut from each (pack, spans); see `cut_repeats`."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(spark)
     packs = cut(pack(docs), "packs")
+    buckets = bucket_count(packs)
     heavy = spark.sparkContext.broadcast(heavy_anchors(packs, length, anchor, heavy_segments))
 
     def send(batches):
@@ -389,4 +391,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text of `documents` without its repeats of 50 bytes or more; see digest_repeats."""
     return digest_repeats(table(spark, sf_dir, "documents"))

@@ -68,16 +68,14 @@ def test_probabilities_are_normalised():
 def test_rounds_take_every_training_position_once():
     sizes, train = [1, 3, 2, 9, 1, 30], np.array([True, True, False, True, True, True])
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    none = np.zeros(0, np.int64)
-    t = lm.Tokens(doc, none, none, none, len(sizes), train, [])
-    taken = np.concatenate([lm.examples(t, k, lm.ROUNDS) for k in range(lm.ROUNDS)])
+    taken = np.concatenate([lm.examples(train, doc, k, lm.ROUNDS) for k in range(lm.ROUNDS)])
     assert sorted(taken) == [i for i, d in enumerate(doc) if train[d]]
 
 
 def test_own_classes_follow_the_vocabulary(spark):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(100))) for i in range(200)], "doc_id long, text string")
-    _, totals = lm._counted(lm.pack(docs), 4)
+    _, totals = lm._counted(lm.deal(docs)[0], 4)
     v = lm._vocabulary(totals)
     assert len(v.top) > lm.TOP and lm.END in v.top
     assert v.shared_tokens.sum() <= (1 - lm.COVER) * v.tokens
@@ -90,3 +88,35 @@ def test_normaliser_of_very_large_and_small_logits():
         m.bias += np.float32(shift)
         one, two = np.repeat(3, 7), np.repeat(5, 7)
         assert np.exp(m.log_probability(np.arange(7), one, two)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER", 20_000)
+    monkeypatch.setattr(lm, "PACK", 6_000)
+    rows = corpus(6, 300) + [(None, "ka lo mi"), (None, "ka lo mi"), (5, "again"), (7000, "tu sso " * 9000)]
+    found = []
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows[:: 1 if parts == 1 else -1], "doc_id long, text string").repartition(parts)
+        found.append(sorted(((r.doc_id, r.n_tokens, r.base_score, r.score) for r in lm.score_texts(docs).collect()), key=str))
+    assert lm.deal(docs)[1] > 4 and found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_sums_of_parameters_are_exact():
+    rng = np.random.default_rng(1)
+    parts = [(rng.normal(0, 30, 50).astype(np.float32), int(rng.integers(1, 900_000))) for _ in range(40)]
+    blobs = [lm._fixed(x, n).astype("<i8").tobytes() for x, n in parts]
+    one, two = lm._total(blobs), lm._total(blobs[::-1])
+    assert (one == two).all()
+    flat = one[0].astype(float) * (1 << 24) + one[1]
+    want = sum(x.astype(float) * n for x, n in parts) / sum(n for _, n in parts)
+    assert np.abs(flat[:-1] / flat[-1] - want).max() < 1e-5
+
+
+def test_ties_at_the_edge_of_the_vocabulary(spark):
+    words = [f"w{k}" for k in range(2000)]  # all as frequent as each other
+    rows = [(i, " ".join(words)) for i in range(3)]
+    tops = []
+    for part in (rows, rows[::-1]):
+        _, totals = lm._counted(lm.deal(spark.createDataFrame(part, "doc_id long, text string"))[0], 3)
+        tops.append(lm._vocabulary(totals).top.tolist())
+    assert tops[0] == tops[1] and len(tops[0]) >= lm.TOP
