@@ -1,9 +1,12 @@
 """Deep-shallow sorting of suffixes.
 
-Multikey quicksort orders the suffixes to a shallow depth; its characters are big-endian words of
-eight bytes, so one pass of numpy's quicksort partitions all open groups at once. Groups that still
-agree there have a long common prefix; blind tries order them: a trie that keeps only the depths at
-which suffixes branch, descends without comparing, and then compares once with the leaf it met.
+Three-way multikey quicksort orders the suffixes to a shallow depth: a group of suffixes that agree
+so far is parted into those whose next character is less than, equal to or greater than a pivot's;
+the equal ones go on with the character after it. Characters are big-endian words of eight bytes, and
+one pass parts all open groups at once, each around a pivot of its own. Groups of a few suffixes are
+put in order directly. Groups that still agree at the shallow depth have a long common prefix; blind
+tries order them: a trie that keeps only the depths at which suffixes branch, descends without
+comparing, and then compares once with the leaf it met.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from collections.abc import Sequence
 import numpy as np
 
 SHALLOW = 24
+#: Groups of so many suffixes aren't parted any further but put in order by their next character.
+FEW = 24
 
 
 class _Leaf:
@@ -84,37 +89,91 @@ class BlindTrie:
 
 def _word(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each position, as one big-endian number."""
-    out = np.zeros(len(at), np.uint64)
+    out = np.empty((len(at), 8), np.uint8)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[at + k]
-    return out
+        out[:, k] = padded[at + k]
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _pivots(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The median of the first, middle and last key of each group."""
+    x, y, z = key[first], key[first + size // 2], key[first + size - 1]
+    return np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))
+
+
+def _parted(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sizes by group of the less, equal and greater): each group parted around its pivot, stably."""
+    pivot = np.repeat(_pivots(key, first, size), size)
+    order, sizes = np.empty(len(key), np.int64), np.empty((len(first), 3), np.int64)
+    less, more = key < pivot, key > pivot
+    parts = (less, ~(less | more), more)
+    for k, part in enumerate(parts):
+        sizes[:, k] = np.add.reduceat(part, first, dtype=np.int64)
+    begin = first[:, None] + np.cumsum(sizes, axis=1) - sizes
+    for k, part in enumerate(parts):
+        at = np.flatnonzero(part)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(sizes[:, k]) - sizes[:, k], sizes[:, k])
+        order[np.repeat(begin[:, k], sizes[:, k]) + nth] = at
+    return order, sizes
+
+
+def _multikey(padded: np.ndarray, starts: np.ndarray, shallow: int, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Orders suffixes to the shallow depth, in place; returns the places whose groups still agree there."""
+
+    def words(places: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        key = _word(padded, starts[order[places]] + depth)
+        over = np.maximum(depth + 8 - shallow, 0)  # bytes beyond the shallow depth don't count
+        return key >> (8 * over).astype(np.uint64)
+
+    agreed, few = [], []
+    first, size, depth = np.zeros(1, np.int64), np.array([len(order)]), np.zeros(1, np.int64)
+    while len(first) or few:
+        small = size <= FEW
+        if small.any() and not small.all():  # set aside until no group is large
+            few.append((first[small], size[small], depth[small]))
+            first, size, depth = first[~small], size[~small], depth[~small]
+        elif not len(first) or (few and small.all()):
+            first, size, depth = (np.concatenate(x) for x in zip((first, size, depth), *few))
+            few = []
+        places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key, begin = words(places, np.repeat(depth, size)), np.cumsum(size) - size
+        if (size > FEW).any():
+            by, sizes = _parted(key, begin, size)
+            new_first = (first[:, None] + np.cumsum(sizes, axis=1) - sizes).ravel()
+            new_depth = (depth[:, None] + np.array([0, 8, 0])).ravel()
+            new_size = sizes.ravel()
+        else:  # all are small: the order of their next characters, for each group at once
+            by = np.lexsort((key, np.repeat(np.arange(len(size)), size)))
+            new = np.zeros(len(key), bool)
+            new[begin] = True
+            new[1:] |= key[by][1:] != key[by][:-1]
+            at = np.flatnonzero(new)
+            new_first, new_size = places[at], np.diff(np.r_[at, len(key)])
+            new_depth = np.repeat(depth, size)[at] + 8
+        order[places] = order[places[by]]
+        some = new_size > 0
+        new_first, new_size, new_depth = new_first[some], new_size[some], new_depth[some]
+        group[np.repeat(new_first - (np.cumsum(new_size) - new_size), new_size) + np.arange(new_size.sum())] = np.repeat(new_first, new_size)
+        done = new_depth >= shallow
+        f, n = new_first[done & (new_size > 1)], new_size[done & (new_size > 1)]
+        agreed.append(np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+        go_on = ~done & (new_size > 1)
+        first, size, depth = new_first[go_on], new_size[go_on], new_depth[go_on]
+    return np.sort(np.concatenate(agreed))
 
 
 def sort_suffixes(data: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Orders the strings data[s : s + depth]; bytes beyond the end of data count as 0.
 
     Returns (order, group): positions in `starts` by string, and for each place of that order the
-    number of its run of equal strings. Equal strings stay in the order given.
+    number of its run of equal strings, which is the place where it begins. Equal strings stay in the
+    order given.
     """
-    n = len(starts)
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
+    n, shallow = len(starts), min(shallow, depth)
     order, group = np.arange(n), np.zeros(n, np.int64)
-    shallow = min(shallow, depth)
-    open_ = np.arange(n)  # places whose group isn't settled
-    for d in range(0, shallow, 8):
-        if not len(open_):
-            break
-        key = _word(padded, starts[order[open_]] + d)
-        if d + 8 > shallow:
-            key >>= np.uint64(8 * (d + 8 - shallow))
-        by = np.lexsort((key, group[open_])) if d else np.argsort(key, kind="stable")
-        order[open_] = order[open_[by]]
-        key, old = key[by], group[open_]
-        new = np.r_[True, (key[1:] != key[:-1]) | (old[1:] != old[:-1])]
-        # A group's number is the place where it begins, so splitting one leaves the others as they are.
-        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
-        alone = np.r_[new[1:], True] & new
-        open_ = open_[~alone]
+    if not n:
+        return order, group
+    open_ = _multikey(np.concatenate([data, np.zeros(depth + 8, np.uint8)]), starts, shallow, order, group)
     if depth > shallow and len(open_):
         _deepen(data, starts, depth, shallow, order, group, open_)
     return order, group

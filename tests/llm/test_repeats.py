@@ -93,3 +93,17 @@ def test_blind_trie():
     leaves = [[texts[k] for k in ids] for ids in trie.leaves()]
     assert [x[0] for x in leaves] == sorted(set(texts)) and all(len(set(x)) == 1 for x in leaves)
     assert BlindTrie().leaves() == []
+
+
+def test_multikey_quicksort_reads_few_characters(monkeypatch):
+    from tessera.llm import suffix_sort
+
+    read, word = [0], suffix_sort._word
+    monkeypatch.setattr(suffix_sort, "_word", lambda padded, at: (read.__setitem__(0, read[0] + len(at)), word(padded, at))[1])
+    rng = np.random.default_rng(2)
+    for letters in (2, 26):
+        data, read[0] = rng.integers(0, letters, 60_000).astype(np.uint8), 0
+        starts = rng.permutation(59_000)
+        order, _ = sort_suffixes(data, starts, 50)
+        strings = [data[s : s + 50].tobytes() for s in starts[order]]
+        assert strings == sorted(strings) and read[0] < len(starts) * (2 * np.log2(len(starts)) + 6)
