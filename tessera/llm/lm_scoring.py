@@ -451,7 +451,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Mod
                 yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["sums"])
 
         trained = texts.select("trainer", "ids", "tokens", "classes").mapInArrow(run, "sums binary")
-        total = _total(r["sums"] for r in trained.repartition(16).mapInArrow(add, "sums binary").collect())
+        added = trained.repartition(16).mapInArrow(add, "sums binary").repartition(1).mapInArrow(add, "sums binary")
+        total = _total(r["sums"] for r in added.collect())
         if total is None:
             break
         flat = total[0].astype(np.float64) * (1 << 24) + total[1]
