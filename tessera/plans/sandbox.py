@@ -1,43 +1,167 @@
-"""Guarded SQL over one table: the text must be a single SELECT over the view `sheet`."""
+"""Guarded SQL over one table: the text must be a single SELECT over the view `sheet`.
+
+The statement is read token by token before Spark sees it. It may name no relation but `sheet`,
+its own common table expressions and subqueries, and call no function but those listed here, so
+neither files, tables, other views, table functions, user-defined functions nor reflection are in
+reach. What it then runs in has no path relations.
+"""
 
 from __future__ import annotations
 
 import re
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words that a statement may not hold, in upper or lower case, literals included.
-FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "ATTACH", "COPY", "EXPORT", "IMPORT", "INSTALL", "LOAD", "PRAGMA", "SET", "CALL", "EXECUTE", "TRUNCATE", "GRANT", "REVOKE")
+FORBIDDEN = ("DROP", "CREATE", "INSERT", "UPDATE", "DELETE", "ALTER", "COPY", "PRAGMA", "ATTACH", "DETACH", "VACUUM", "EXPORT", "IMPORT")
+# Rows that are shown, and seconds that a statement may take.
 MOST_ROWS = 100
+MOST_SECONDS = 5.0
+
+#: Functions that a statement may call.
+FUNCTIONS = frozenset(
+    # aggregates and windows
+    "any any_value approx_count_distinct avg bool_and bool_or corr count count_if covar_pop covar_samp cume_dist dense_rank every first first_value grouping grouping_id kurtosis lag last last_value lead "
+    "listagg max max_by mean median min min_by mode nth_value ntile percent_rank percentile percentile_approx percentile_cont percentile_disc quantile rank regr_intercept regr_slope row_number skewness some "
+    "std stddev stddev_pop stddev_samp string_agg sum try_avg try_sum var_pop var_samp variance "
+    # numbers
+    "abs acos asin atan atan2 cbrt ceil ceiling cos degrees exp floor greatest hypot least ln log log10 log2 mod negative pi pmod positive pow power radians round bround sign signum sin sqrt tan trunc try_add "
+    "try_divide try_multiply try_subtract width_bucket "
+    # texts
+    "ascii btrim char char_length character_length chr concat concat_ws contains endswith initcap instr left length levenshtein like locate lower lcase lpad ltrim octet_length overlay position printf "
+    "regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace regexp_substr repeat replace reverse right rpad rtrim soundex split split_part startswith substr substring "
+    "substring_index translate trim ucase upper "
+    # dates and times
+    "add_months date date_add date_diff date_format date_part date_sub date_trunc datediff day dayname dayofmonth dayofweek dayofyear extract hour last_day make_date make_timestamp minute month "
+    "months_between monthname next_day quarter second to_date to_timestamp try_to_date try_to_timestamp timestamp unix_timestamp weekday weekofyear year "
+    # choices, casts and arrays
+    "array array_agg array_contains array_distinct array_join array_max array_min array_size array_sort bigint boolean cast char coalesce collect_list collect_set decimal double element_at float if "
+    "ifnull int isnan isnotnull isnull nanvl nullif nvl nvl2 size smallint sort_array string tinyint try_cast to_number try_to_number typeof varchar zeroifnull".split()
+)
+#: Words that may stand before a parenthesis without being a function.
+_OPENERS = frozenset(
+    "exists select all distinct from join on where and or not in by having when then else case end between as over union intersect except any some filter group sets cube rollup grouping limit offset "
+    "within order using inner left right full outer cross semi anti like rlike regexp ilike is null rows range window qualify lateral partition with recursive sheet interval numeric dec".split()
+)
+#: Functions whose arguments may be parted by FROM.
+_FROM_INSIDE = frozenset("extract trim substring substr overlay position".split())
+_BARRED = {"table", "values", "lateral", "tablesample", "current_user", "session_user", "current_catalog", "current_database", "current_schema", "identifier"}
+_TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|(?P<text>[rR]?'(?:[^'\\]|\\.|'')*'|[rR]?\"(?:[^\"\\]|\\.|\"\")*\")|`(?P<quoted>(?:[^`]|``)*)`|(?P<word>[^\W\d]\w*)|(?P<number>\d+(?:\.\d*)?(?:[eE][-+]?\d+)?\w*|\.\d+)|(?P<sign>\|>|[^\s'\"`])", re.S)
 
 
 class SqlRejected(ValueError):
     pass
 
 
+class SqlTimeout(RuntimeError):
+    pass
+
+
+@dataclass
+class _Scope:
+    """What stands between a pair of parentheses: whether a relation has to come, and whether commas part relations."""
+
+    expects: bool = False
+    listing: bool = False
+    call: str = ""
+    names: set[str] = field(default_factory=set)
+
+
+def _tokens(text: str) -> Iterator[tuple[str, str]]:
+    at = 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise SqlRejected(f"unreadable at {text[at:at + 10]!r}")
+        at = m.end()
+        if m.lastgroup:
+            yield m.lastgroup, m[m.lastgroup]
+
+
+def _checked(tokens: list[tuple[str, str]]) -> None:
+    """Raises SqlRejected where a token reaches beyond `sheet` and the listed functions."""
+    scopes, known = [_Scope()], {"sheet"}
+    words = [x.lower() if k == "word" else x for k, x in tokens]
+    if "window" not in words:  # whose names are no relations
+        known |= {w for v, w, x, y in zip(words, words[1:], words[2:], words[3:]) if v in ("with", "recursive", ",") and x == "as" and y == "("}
+    for i, (kind, token) in enumerate(tokens):
+        low, scope = token.lower() if kind == "word" else token, scopes[-1]
+        before = tokens[i - 1] if i else ("", "")
+        after = tokens[i + 1] if i + 1 < len(tokens) else ("", "")
+        if kind == "sign" and token in ("|>", ";", "$", "{", "}", ":", "?", "@"):
+            raise SqlRejected(f"{token} is not allowed")
+        if kind == "word" and low in _BARRED and before[1] != ".":
+            raise SqlRejected(f"{token} is not allowed")
+        if kind == "word" and low == "using" and after[0] == "text":
+            raise SqlRejected("scripts are not allowed")
+        if scope.expects and token != "(":
+            if kind not in ("word", "quoted") or token.lower() not in known and low != "select" and low != "with" or after[1] in (".", "("):
+                raise SqlRejected(f"{token} is not the sheet")
+            scope.expects = False
+            if low in ("select", "with"):
+                scope.listing = False
+            continue
+        if kind in ("word", "quoted") and after[1] == "(":
+            name = token.lower()
+            if before[1] == "." or kind == "quoted" or name not in FUNCTIONS and name not in _OPENERS and name not in known and before[1].lower() not in ("as", "with", ",", ")"):
+                raise SqlRejected(f"{token} is not a function here")
+            if name not in FUNCTIONS and name not in _OPENERS and not (after[1] == "(" and name in known):
+                raise SqlRejected(f"{token} is not a function here")
+        if token == "(" and kind == "sign":
+            inner = _Scope(call=before[1].lower() if before[1].lower() in _FROM_INSIDE else "")
+            if scope.expects:  # a subquery or relations in parentheses
+                scope.expects, inner.expects, inner.listing = False, True, True
+            scopes.append(inner)
+        elif token == ")" and kind == "sign":
+            if len(scopes) == 1:
+                raise SqlRejected("a parenthesis is missing")
+            scopes.pop()
+        elif token == "," and scope.listing:
+            scope.expects = True
+        elif kind == "word" and low == "from" and not scope.call and before[1].lower() != "distinct":
+            scope.expects = scope.listing = True
+        elif kind == "word" and low == "join":
+            scope.expects = True
+        elif kind == "word" and low in ("where", "group", "having", "order", "limit", "union", "intersect", "except", "select", "window", "qualify"):
+            scope.listing = False
+            scope.call = ""
+    if len(scopes) > 1:
+        raise SqlRejected("a parenthesis is missing")
+
+
 def validate(sql: str) -> str:
-    """The statement without white space at its ends, or SqlRejected."""
-    text = sql.strip()
+    """The statement without white space and semicolon at its end, or SqlRejected."""
+    text = (sql or "").strip()
     if not text:
         raise SqlRejected("empty statement")
-    if not re.match(r"(?i)select\b", text):
+    if not text.upper().startswith("SELECT"):
         raise SqlRejected("only SELECT is allowed")
-    if ";" in text:
-        raise SqlRejected("only one statement is allowed")
     if found := re.search(rf"(?i)\b({'|'.join(FORBIDDEN)})\b", text):
         raise SqlRejected(f"{found[1].upper()} is not allowed")
+    if "${" in text:
+        raise SqlRejected("variables are not allowed")
+    text = text.removesuffix(";").rstrip()
+    _checked(list(_tokens(text)))
     return text
 
 
 def select(sheet: DataFrame, sql: str) -> DataFrame:
     """The result of a guarded statement over `sheet`."""
+    text = validate(sql)
     spark, name = sheet.sparkSession, f"sheet_{uuid.uuid4().hex}"
+    on_files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     sheet.createOrReplaceTempView(name)
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(f"WITH sheet AS (SELECT * FROM {name}) {validate(sql)}")
+        return spark.sql(f"WITH sheet AS (SELECT * FROM {name}) {text}")
     finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", on_files)
         spark.catalog.dropTempView(name)
 
 
@@ -46,3 +170,54 @@ def rendered(result: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     total = result.select(F.count(F.lit(1)).alias("raw_rows"))
     rows = result.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in result.columns)).limit(most)
     return rows.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("raw_rows") > most)
+
+
+@dataclass(frozen=True)
+class Computed:
+    """What a statement gave: columns, rows as strings, how many rows there were, milliseconds, whether rows are missing."""
+
+    asset_id: str
+    columns: list[str]
+    rows: list[list[str]]
+    raw_rows: int
+    elapsed_ms: float
+    truncated: bool
+
+    def markdown(self) -> str:
+        """The block that goes into a prompt. Its wording is a fixed format."""
+        out = [f"[TABLE_COMPUTE_RESULT:asset_id={self.asset_id}]", f"Computation executed in {self.elapsed_ms:.0f}ms. Returned {self.raw_rows} rows."]
+        if self.truncated:
+            out.append(f"(Showing first {len(self.rows)} rows of {self.raw_rows} total)")
+        out.append("")
+        if self.columns and self.rows:
+            out += [f"| {' | '.join(self.columns)} |", "|" + "---|" * len(self.columns), *(f"| {' | '.join(map(str, r))} |" for r in self.rows)]
+        return "\n".join(out)
+
+
+def compute(sheet: DataFrame, sql: str, asset_id: str = "", seconds: float = MOST_SECONDS, most: int = MOST_ROWS) -> Computed:
+    """Runs a guarded statement; its jobs are cancelled after `seconds`, which is a SqlTimeout.
+
+    At most `most` rows come to the driver, and their number.
+    """
+    sc, tag = sheet.sparkSession.sparkContext, f"sandbox-{uuid.uuid4().hex}"
+    result, late = select(sheet, sql), threading.Event()
+    columns = result.columns
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer, began = threading.Timer(seconds, cancel), time.perf_counter()
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        rows = [[str(x) for x in r] for r in result.limit(most + 1).collect()]
+        n = len(rows) if len(rows) <= most else result.count()
+    except Exception as error:
+        if late.is_set():
+            raise SqlTimeout(f"not done within {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+    return Computed(asset_id, columns, rows[:most], n, (time.perf_counter() - began) * 1000, n > most)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tessera.catalog import query, table
 from tessera.plans import sandbox
 
@@ -82,13 +80,31 @@ def sandbox_truncation(spark, sf):
     return sandbox.rendered(sandbox.select(table(spark, sf, "lineitem"), "SELECT l_orderkey, l_linenumber FROM sheet WHERE l_quantity = 50 ORDER BY l_orderkey, l_linenumber"))
 
 
-@query("sandbox_guard", "SELECT * FROM (VALUES ('  SELECT 1  ', true), ('', false), ('INSERT INTO sheet VALUES (1)', false), ('DROP TABLE sheet', false), ('SELECT * FROM sheet; DELETE FROM sheet', false), ('WITH x AS (SELECT 1) SELECT * FROM x', false), ('select ''drop''', false)) v(statement, accepted)")
+#: Statements and whether the guard lets them through.
+GUARDED = (
+    ("  SELECT 1  ", True), ("", False), ("INSERT INTO sheet VALUES (1)", False), ("DROP TABLE sheet", False), ("SELECT * FROM sheet; DELETE FROM sheet", False),
+    ("WITH x AS (SELECT 1) SELECT * FROM x", False), ("select 'drop'", False), ("select 'please call; or set' as x from sheet", True), ("SELECT * FROM sheet;", True), ("SELECT 'vacuum' FROM sheet", False),
+    ("SELECT count(*) FROM parquet.`/tmp/x.parquet`", False), ("SELECT java_method('java.lang.System', 'getProperty', 'user.name')", False), ("SELECT reflect('java.lang.System', 'exit', 0)", False),
+    ("SELECT try_reflect('java.lang.Math', 'abs', -1)", False), ("SELECT * FROM nation", False), ("SELECT * FROM sheet, nation", False), ("SELECT * FROM sheet s JOIN other o ON s.a = o.a", False),
+    ("SELECT * FROM sheet s JOIN sheet t ON s.a = t.a, sheet u", True), ("SELECT * FROM range(10)", False), ("SELECT * FROM explode(array(1, 2))", False), ("SELECT * FROM (SELECT a FROM sheet) t", True),
+    ("SELECT * FROM (TABLE nation) t", False), ("SELECT a FROM sheet WHERE EXISTS (SELECT 1 FROM nation)", False), ("SELECT a FROM sheet WHERE a IN (SELECT b FROM sheet)", True), ("SELECT a FROM default.sheet", False),
+    ("SELECT extract(YEAR FROM d), trim(BOTH 'x' FROM e) FROM sheet", True), ("SELECT a IS DISTINCT FROM b FROM sheet", True), ("SELECT input_file_name() FROM sheet", False), ("SELECT my_udf(a) FROM sheet", False),
+    ("SELECT `reflect`('a', 'b')", False), ("SELECT main.f(a) FROM sheet", False), ("SELECT transform(a) USING 'cat' FROM sheet", False), ("SELECT * FROM (MAP a USING 'cat' FROM sheet)", False), ("SELECT current_user", False),
+    ("SELECT '${spark.app.id}'", False), ("SELECT * FROM sheet |> WHERE a > 1", False), ("SELECT * FROM (WITH x AS (SELECT a FROM sheet) SELECT * FROM x) y", True), ("SELECT -- nation\n a /* FROM nation */ FROM sheet", True),
+    ("SELECT sum(a) OVER (PARTITION BY b ORDER BY c ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM sheet", True), ("SELECT (SELECT max(a) FROM sheet) - a FROM sheet UNION ALL SELECT 1", True), ("SELECT * FROM IDENTIFIER('nation')", False),
+    ("SELECT a FROM sheet GROUP BY GROUPING SETS ((a), ())", True), ("SELECT a FROM sheet LATERAL VIEW explode(b) t", False), ("SELECT * FROM ((nation))", False), ("SELECT * FROM (sheet CROSS JOIN sheet t)", True), ("SELECT '", False),
+)
+
+
+@query("sandbox_guard", "SELECT * FROM (VALUES " + ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}', {str(ok).lower()})" for s, ok in GUARDED) + ") v(statement, accepted)")
 def sandbox_guard(spark, sf):
-    rows = []
-    for s in ("  SELECT 1  ", "", "INSERT INTO sheet VALUES (1)", "DROP TABLE sheet", "SELECT * FROM sheet; DELETE FROM sheet", "WITH x AS (SELECT 1) SELECT * FROM x", "select 'drop'"):
+    """Which statements the guard accepts."""
+
+    def accepted(statement: str) -> bool:
         try:
-            sandbox.validate(s)
-            rows.append((s, True))
+            sandbox.validate(statement)
         except sandbox.SqlRejected:
-            rows.append((s, False))
-    return spark.createDataFrame(rows, "statement string, accepted boolean").select("statement", F.col("accepted"))
+            return False
+        return True
+
+    return spark.createDataFrame([(s, accepted(s)) for s, _ in GUARDED], "statement string, accepted boolean")

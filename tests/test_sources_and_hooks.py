@@ -103,3 +103,31 @@ def test_mini_subset_matches_brute_force(spark):
         fill = sorted({d for d, _ in docs} - gold, key=lambda d: (order[d], d))[: max(n_docs - len(gold), 0)]
         assert sorted(r.query_id for r in got.collect()) == sorted(chosen)
         assert sorted(r.doc_id for r in subset.collect()) == sorted(gold | set(fill))
+
+
+def test_sandbox_statements_run_or_are_refused(spark, tmp_path):
+    from tessera.queries_sandbox import GUARDED, STATEMENTS
+
+    spark.range(3).write.parquet(f"{tmp_path}/x")
+    spark.range(3).createOrReplaceTempView("secret")
+    sheet = spark.range(5).selectExpr("id AS a", "id AS b", "'e' AS e", "DATE'2020-01-01' AS d", "id AS c")
+    for statement, ok in GUARDED:
+        if ok:
+            sandbox.select(sheet, statement).collect()
+    for bad in (f"SELECT * FROM parquet.`{tmp_path}/x`", "SELECT * FROM secret", "SELECT * FROM `secret`", "SELECT * FROM sheet JOIN LATERAL (SELECT 1)", "SELECT * FROM global_temp.secret", "SELECT * FROM sheet WHERE a = (FROM secret)", "SELECT * FROM secret WINDOW w AS (ORDER BY id), secret AS (ORDER BY id)", "SELECT * FROM (WITH x AS (SELECT * FROM secret) SELECT * FROM x) y"):
+        with pytest.raises(sandbox.SqlRejected):
+            sandbox.select(sheet, bad)
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+    for _, statement in STATEMENTS.values():
+        sandbox.validate(statement)
+
+
+def test_sandbox_results_and_time_limit(spark):
+    got = sandbox.compute(spark.range(150).toDF("x"), "SELECT x, 'v' AS y FROM sheet ORDER BY x", "a7", seconds=60)
+    assert (got.columns, len(got.rows), got.raw_rows, got.truncated) == (["x", "y"], 100, 150, True)
+    assert got.markdown().startswith("[TABLE_COMPUTE_RESULT:asset_id=a7]\nComputation executed in ") and "| x | y |\n|---|---|\n| 0 | v |" in got.markdown()
+    assert "(Showing first 100 rows of 150 total)" in got.markdown()
+    big = spark.range(200_000_000).toDF("x")
+    with pytest.raises(sandbox.SqlTimeout):
+        sandbox.compute(big, "SELECT count(DISTINCT repeat(CAST(s.x AS STRING), 9)) FROM sheet s JOIN sheet t ON s.x = t.x + 1", seconds=0.5)
+    assert sandbox.compute(spark.range(2).toDF("x"), "SELECT sum(x) AS s FROM sheet", seconds=60).rows == [["1"]]
