@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a CJK character, a term and a token are.
 CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff"
 ALNUM = "[a-z0-9]+"
 TOKEN = f"[A-Za-z0-9]+|[{CJK}]"
@@ -37,13 +38,18 @@ def normalize_whitespace(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))
 
 
-def search_terms(c: Column | str) -> Column:
-    """Distinct terms in the order of their first use: runs of letters and digits, then CJK runs, each followed by its pairs."""
+def terms(c: Column | str) -> Column:
+    """All terms of a text: runs of letters and digits, then CJK runs, each followed by its pairs."""
     low = F.lower(text_of(c))
     plain = F.regexp_extract_all(low, F.lit(ALNUM), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0))
-    pairs = F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.concat(F.array(r), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.array_distinct(F.when(low.rlike(f"[{CJK}]"), F.concat(plain, F.flatten(pairs))).otherwise(plain))
+    pairs = F.transform(runs, lambda r: F.when(F.length(r) < 3, F.array(r)).otherwise(F.concat(F.array(r), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
+    return F.when(low.rlike(f"[{CJK}]"), F.concat(plain, F.flatten(pairs))).otherwise(plain)
+
+
+def search_terms(c: Column | str) -> Column:
+    """Distinct terms in the order of their first use."""
+    return F.array_distinct(terms(c))
 
 
 def keyword_overlap(terms: Column, text: Column | str) -> Column:
@@ -91,7 +97,7 @@ def looks_code_like(c: Column | str) -> Column:
     """Has a code marker, or enough of its first twelve lines look like code: two at least, and half of all lines."""
     body = strip(c)
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
-    code = F.filter(F.slice(lines, 1, 12), lambda x: x.rlike(CODE_LINE) | _any(x, CODE_SYMBOLS) | F.lit(False) | F.startswith(x, F.lit(CODE_LEADS[0])) | F.startswith(x, F.lit(CODE_LEADS[1])) | F.startswith(x, F.lit(CODE_LEADS[2])) | F.startswith(x, F.lit(CODE_LEADS[3])))
+    code = F.filter(F.slice(lines, 1, 12), lambda x: x.rlike(CODE_LINE) | _any(x, CODE_SYMBOLS) | F.startswith(x, F.lit(CODE_LEADS[0])) | F.startswith(x, F.lit(CODE_LEADS[1])) | F.startswith(x, F.lit(CODE_LEADS[2])) | F.startswith(x, F.lit(CODE_LEADS[3])))
     return (body != "") & (_any(F.lower(body), CODE_MARKERS) | (F.size(code) >= F.greatest(F.lit(2), F.floor(F.size(lines) / 2))))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,20 @@ def branch_weights(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
     return used.select("query_id", "branch", weight.alias("weight"))
 
 
+def weighted_scores(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """Fuses dense and sparse hits (query_id, branch, item_id, score) by alpha and 1 - alpha of their scores.
+
+    Scores are brought to 0..1 first: a cosine of the branch `vector` by (1 + s) / 2, others, which have no
+    upper bound, by 2 / pi * atan(s). Returns query_id, item_id, fused_score, support, unified_rank;
+    order: score, support, id.
+    """
+    dense = F.col("branch") == "vector"
+    scaled = F.when(dense, (1 + F.col("score")) / 2 * alpha).otherwise(F.atan(F.greatest(F.col("score"), F.lit(0.0))) * (2 / math.pi) * (1 - alpha))
+    fused = hits.groupBy("query_id", "item_id").agg(F.round(F.sum(scaled), 12).alias("fused_score"), F.count(F.lit(1)).alias("support"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), F.desc("support"), F.col("item_id").cast("string"))
+    return fused.withColumn("unified_rank", F.row_number().over(order))
+
+
 def reciprocal_rank(hits: DataFrame, weights: DataFrame | None = None, k: int = RANK_CONSTANT) -> DataFrame:
     """Fuses hits (query_id, branch, item_id, rank, score): the sum of weight / (k + rank) over branches.
 

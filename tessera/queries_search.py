@@ -26,6 +26,58 @@ def vector_topk(spark, sf):
     return search.knn(v, q, 10).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: The vectors of the test tables hardly form groups: 4, 8 and 12 of 16 lists find 0.62, 0.82 and 0.95 of the ten nearest.
+_IVF_LISTS, _IVF_PROBES = 16, 13
+
+
+def _ivf(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    centres = search.centroids(v, _IVF_LISTS)
+    return v, search.ivf_index(v, centres), centres, v.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+
+
+@query("ivf_exact", f"WITH {_VECTORS}, k AS ({_knn_sql('v', 'vq', 10)}) SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM k")
+def ivf_exact(spark, sf):
+    """The inverted-file index with all lists probed: what a full scan gives."""
+    _, index, centres, q = _ivf(spark, sf)
+    return search.ivf_search(index, centres, q, 10, len(centres)).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("ivf_recall", "SELECT count(*) AS queries, CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS indexed, true AS recall_of_09 FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, sf):
+    """Recall of the ten nearest by the index, 13 of its 16 lists probed, against a full scan, for every vector whose id is divisible by 20."""
+    v, index, centres, q = _ivf(spark, sf)
+    share = search.recall(search.ivf_search(index, centres, q, 10, _IVF_PROBES), search.knn(v, q, 10))
+    return index.agg(F.count(F.lit(1)).alias("indexed")).select(F.lit(q.count()).cast("long").alias("queries"), "indexed", F.lit(share >= 0.9).alias("recall_of_09"))
+
+
+_MIXED = (
+    (1, "石膏板 Sales 2026年销量 abc"), (2, "水泥 sales report 2025"), (3, "石膏 board 销量下降"), (4, "完全不同的内容"), (5, "abc abc 石膏板石膏板"), (6, ""), (7, None), (8, "年"),
+)
+_MIXED_QUERIES = ((1, "石膏板 销量"), (2, "SALES abc"), (3, "年"), (4, "内容"), (5, "不在"))
+
+
+def _values(rows) -> str:
+    return ", ".join(f"({i}::BIGINT, {'NULL' if t is None else chr(39) + t + chr(39)})" for i, t in rows)
+
+
+_CJK_TERMS = """list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[一-鿿㐀-䶿]+'),
+  lambda r: CASE WHEN length(r) < 3 THEN [r] ELSE list_concat([r], list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) END)))"""
+
+
+@query(
+    "bm25_mixed_scripts",
+    f"""WITH d AS (SELECT id, {_CJK_TERMS} AS ts FROM (VALUES {_values(_MIXED)}) v(id, text)), q AS (SELECT DISTINCT id AS query_id, unnest({_CJK_TERMS}) AS term FROM (VALUES {_values(_MIXED_QUERIES)}) v(id, text)),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d), tok AS (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM d), p AS (SELECT id, dl, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
+SELECT query_id, id AS doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS INT) AS rank FROM s""",
+)
+def bm25_mixed_scripts(spark, sf):
+    """BM25 over texts in Latin and Chinese script."""
+    docs, q = spark.createDataFrame(_MIXED, "doc_id long, text string"), spark.createDataFrame(_MIXED_QUERIES, "query_id long, text string")
+    return search.bm25(docs, q, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("vector_count", "SELECT label, count(*) AS vectors, count(DISTINCT vec_id) AS ids, max(len(embedding)) AS width FROM embeddings GROUP BY label")
 def vector_count(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("vec_id").alias("ids"), F.max(F.size("embedding")).cast("long").alias("width"))
@@ -52,16 +104,32 @@ _HASHED = "list_transform(range(16), lambda k: ('0x' || substr(sha256(coalesce(t
 _HASH_SEARCH = f"hd AS (SELECT doc_id AS id, {_HASHED} AS v, false AS z FROM documents), hq AS (SELECT item_id AS id, {_HASHED} AS v, false AS z FROM benchmark), hk AS ({_knn_sql('hd', 'hq', 20)})"
 
 
-def hybrid(spark, sf):
-    """Dense and sparse hits of every benchmark item, fused with weights of 0.65 and 0.35."""
+def _both(spark, sf):
+    """Dense and sparse hits of every benchmark item."""
     docs, items = table(spark, sf, "documents"), _items(spark, sf)
     dense = search.knn(docs.select(F.col("doc_id").alias("item_id"), T.hash_embedding("text", 16).alias("vector")), items.select("query_id", T.hash_embedding("text", 16).alias("vector")), 20)
     sparse = search.bm25(docs, items, 20).withColumnRenamed("doc_id", "item_id")
     cols = ["query_id", "item_id", "score", "rank"]
-    hits = dense.select(*cols).withColumn("branch", F.lit("vector")).unionByName(sparse.select(*cols).withColumn("branch", F.lit("section")))
+    return dense.select(*cols).withColumn("branch", F.lit("vector")).unionByName(sparse.select(*cols).withColumn("branch", F.lit("section")))
+
+
+def hybrid(spark, sf):
+    """Dense and sparse hits of every benchmark item, fused with weights of 0.65 and 0.35."""
+    hits = _both(spark, sf)
     return fusion.reciprocal_rank(hits, fusion.branch_weights(hits, 0.65))
 
 
+@query(
+    "hybrid_weighted",
+    f"""WITH {_BM25}, {_HASH_SEARCH}, h AS (SELECT query_id, item_id, 0.65 * (1 + score) / 2 AS s FROM hk UNION ALL SELECT query_id, doc_id, 0.35 * atan(score) * 2 / pi() FROM bmr WHERE rank <= 20),
+f AS (SELECT query_id, item_id, round(sum(s), 12) AS s, count(*) AS support FROM h GROUP BY 1, 2)
+SELECT query_id, item_id, round(s, 8) AS fused_score, support, CAST(r AS INT) AS unified_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, support DESC, CAST(item_id AS VARCHAR)) AS r FROM f) WHERE r <= 10""",
+)
+def hybrid_weighted(spark, sf):
+    """The same hits, fused by their weighted scores."""
+    return fusion.weighted_scores(_both(spark, sf), 0.65).where("unified_rank <= 10").select("query_id", "item_id", F.round("fused_score", 8).alias("fused_score"), "support", "unified_rank")
+
+
 @query(
     "hybrid_search",
     f"""WITH {_BM25}, {_HASH_SEARCH}, h AS (SELECT query_id, item_id, rank, 0.65::DOUBLE AS w FROM hk UNION ALL SELECT query_id, doc_id, rank, 0.35::DOUBLE FROM bmr WHERE rank <= 20),
@@ -95,6 +163,21 @@ def hot_cold_fallback(spark, sf):
     return search.hot_first(hits).select("query_id", "event_id")
 
 
+_HOT_SQL = "row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, i.v), 12) DESC, CAST(i.id AS VARCHAR))"
+
+
+@query(
+    "hot_partition_search",
+    f"""WITH {_VECTORS}, s AS (SELECT q.id AS query_id, i.id AS item_id, {_HOT_SQL} AS r FROM vq q, v i)
+SELECT query_id, item_id, CAST(r AS INT) AS rank, 'all' AS tier FROM s WHERE r <= 3""",
+)
+def hot_partition_search(spark, sf):
+    """Hot items first, all items where these give nothing; here none are hot."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    q = v.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return search.hot_then_all(lambda items, qs: search.knn(items, qs, 3), v, q, F.col("item_id") < 0).select("query_id", "item_id", "rank", "tier")
+
+
 @query("upsert_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_latest(spark, sf):
     return search.latest(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")

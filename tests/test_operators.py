@@ -1,3 +1,4 @@
+import numpy as np
 import random
 import re
 
@@ -160,3 +161,62 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     q.awaitTermination(60)
     kept = search.latest(spark.read.parquet(f"{tmp_path}/out"), ["user_id"], ["event_id"]).collect()
     assert sorted((r.user_id, r.event_id) for r in kept) == [(0, 48), (1, 49), (2, 47)]
+
+
+def test_ragged_vectors_change_no_others(spark):
+    rng = np.random.default_rng(3)
+    good = {i: [float(x) for x in rng.normal(size=4)] for i in range(40)}
+    rows = [*good.items(), (100, [1.0] * 5), (101, None), (102, [0.0] * 4), (103, [float("nan")] * 4), (104, [])]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, good[i]) for i in range(5)] + [(9, [1.0] * 5), (10, None)], "query_id long, vector array<double>")
+    got = {}
+    for r in search.knn(items, queries, 45).collect():
+        got.setdefault(r.query_id, {})[r.item_id] = r.score
+    for q in range(5):
+        for i, v in good.items():
+            want = np.dot(good[q], v) / np.linalg.norm(good[q]) / np.linalg.norm(v)
+            assert abs(got[q][i] - want) < 1e-9
+        assert all(got[q][i] == 0 for i in (100, 101, 102, 103, 104))
+    assert set(got[10].values()) == {0.0} and set(got[9].values()) == {0.0}
+
+
+def test_inverted_file_index(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in base[i % 12] + rng.normal(size=16) * 0.4]) for i in range(1200)] + [(5000, None)]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>").repartition(5)
+    queries = items.where("item_id % 20 = 0 AND item_id < 5000").withColumnRenamed("item_id", "query_id")
+    c = search.centroids(items, 16, sample=500)
+    index = search.ivf_index(items, c)
+    assert index.count() == 1201 and len(c) == 16
+    exact = search.knn(items, queries, 10)
+    key = lambda df: sorted((r.query_id, r["rank"], r.item_id, round(r.score, 9)) for r in df.collect())
+    assert key(search.ivf_search(index, c, queries, 10, 16, block=13)) == key(exact)
+    assert search.recall(search.ivf_search(index, c, queries, 10, 4), exact) >= 0.9
+    assert search.ivf_search(index, c, queries.limit(0), 10, 4).count() == 0
+
+
+def test_term_search_matches_brute_force(spark):
+    import collections
+    import math
+    import re
+
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(rng.choice(list("abcdefg"), rng.integers(0, 30)))) for i in range(300)] + [(900, None), (901, "")]
+    queries = [(i, " ".join(rng.choice(list("abcxyz"), 3))) for i in range(20)] + [(50, None), (51, "zzz")]
+    words = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df = collections.Counter(w for x in words.values() for w in set(x))
+    want = {}
+    for q, t in queries:
+        scores = []
+        for i, x in words.items():
+            tf = collections.Counter(x)
+            s = sum(math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in set((t or "").split()) if tf[w])
+            if s > 0:
+                scores.append((-round(s, 9), str(i), i))
+        want |= {(q, r): i for r, (_, _, i) in enumerate(sorted(scores)[:7], 1)}
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    assert {(r.query_id, r["rank"]): r.doc_id for r in search.bm25(d, q, 7).collect()} == want
+    assert search.bm25(d, q.limit(0), 7).count() == 0 and search.bm25(d.limit(0), q, 7).count() == 0
