@@ -39,7 +39,7 @@ TOP = 512  # classes of single tokens at least, the end among them
 COVER = 0.5  # share of the training tokens that classes of single tokens make up, however many these are
 MOST_TOP = 1 << 15  # and at most: what the model's size may be; tokens beyond are in shared classes
 SHARED = 192  # classes of all others
-TRAINER = 1 << 23  # bytes of text of a trainer
+TRAINER = 1 << 22  # bytes of text of a trainer
 MOST_TASKS = 20_000  # tasks that deal trainers out; with more trainers a task has several, one after another
 FIXED = 1 << 20  # parameters are added up in units of 1 / FIXED
 DIMENSIONS = 24

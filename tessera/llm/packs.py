@@ -20,11 +20,13 @@ PACK = 1 << 22
 LAST = np.iinfo(np.int64).max
 #: A bucket gets the messages of so many packs' worth of entries, so it doesn't grow with the corpus.
 PACKS_PER_BUCKET = 6
+FEW_PACKS = 48
 
 
 def bucket_count(packs: DataFrame) -> int:
-    """How many buckets the messages of all packs go to. The results don't depend on it."""
-    return max(1, -(-packs.count() // PACKS_PER_BUCKET))
+    """How many buckets the messages of all packs go to, one for each of a few packs. The results don't depend on it."""
+    n = packs.count()
+    return max(1, min(n, FEW_PACKS), -(-n // PACKS_PER_BUCKET))
 
 
 
