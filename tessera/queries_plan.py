@@ -39,13 +39,13 @@ def weak_clauses(spark, sf):
 
 @query(
     "version_gate",
-    """WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS g, o_orderstatus = 'O' AS active FROM orders), s AS (SELECT doc_id % 7 AS query_id, * FROM d WHERE doc_id % 5 = 0),
+    """WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS g, o_orderstatus = 'O' AS active FROM orders), s AS (SELECT doc_id % 7 AS query_id, * FROM d),
 x AS (SELECT query_id, s.doc_id, a.doc_id AS other FROM s LEFT JOIN d a ON a.g = s.g AND a.active) SELECT DISTINCT query_id, coalesce(other, doc_id) AS doc_id FROM x""",
 )
 def version_gate(spark, sf):
     k = F.col("o_orderkey")
     d = table(spark, sf, "orders").select(k.alias("doc_id"), F.when(k % 3 > 0, F.col("o_custkey")).alias("version_group_id"), (F.col("o_orderstatus") == "O").alias("is_active"))
-    return planner.version_gate(d.where("doc_id % 5 = 0").select((F.col("doc_id") % 7).alias("query_id"), "doc_id"), d)
+    return planner.version_gate(d.select((F.col("doc_id") % 7).alias("query_id"), "doc_id"), d)
 
 
 _TASK = "CASE doc_id % 6 WHEN 0 THEN 'lookup' WHEN 1 THEN 'comparison' WHEN 2 THEN 'synthesis' WHEN 3 THEN 'timeline' WHEN 4 THEN 'single_doc_qa' ELSE 'research' END"
@@ -57,13 +57,13 @@ def _task():
 
 @query(
     "complexity_gate",
-    f"""WITH q AS (SELECT doc_id, len(regexp_extract_all(left(text, 400), '[A-Za-z0-9]+')) AS u, {_TASK} AS task, doc_id % 4 = 0 AS c, doc_id % 10 = 0 AS g FROM documents)
+    f"""WITH q AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS u, {_TASK} AS task, doc_id % 4 = 0 AS c, doc_id % 10 = 0 AS g FROM documents)
 SELECT doc_id, CASE WHEN task IN ('comparison', 'timeline', 'research') THEN 'complex' WHEN u <= 24 AND NOT c THEN 'fast_track' WHEN u <= 72 AND NOT g THEN 'standard' ELSE 'complex' END AS gate FROM q""",
 )
 def complexity_gate(spark, sf):
-    """The first 400 characters of a document stand for a query."""
+    """Documents stand for queries, whole."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", planner.complexity_gate(F.left("text", F.lit(400)), _task(), F.col("doc_id") % 4 == 0, F.col("doc_id") % 10 == 0).alias("gate"))
+    return d.select("doc_id", planner.complexity_gate(F.col("text"), _task(), F.col("doc_id") % 4 == 0, F.col("doc_id") % 10 == 0).alias("gate"))
 
 
 @query(

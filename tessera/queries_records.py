@@ -8,18 +8,22 @@ from pyspark.sql.window import Window
 from tessera.catalog import query, table
 from tessera.functions import spans
 from tessera.functions import text as T
+from tessera.functions import structured
 from tessera.operators import context
 from tessera.queries_text import windows_sql
 from tessera.runtime import ship
 
 # --- records and index rows --------------------------------------------------------------------
 
+# Fixed value: characters of an index row's texts.
+MOST_CHARS = 65_535
 
-@query("index_rows", "SELECT doc_id, coalesce(source, '') AS source_id, left(text, 200) AS summary, concat_ws(' ', lang, source, left(text, 100)) AS bm25_text, CASE WHEN doc_id % 4 = 0 THEN 'cold' ELSE 'hot' END AS partition_key, 1700000000000 + doc_id * 1000 AS updated_ms FROM documents")
+
+@query("index_rows", "SELECT doc_id, coalesce(source, '') AS source_id, left(text, 65535) AS summary, left(concat_ws(' ', lang, source, text), 65535) AS bm25_text, CASE WHEN doc_id % 4 = 0 THEN 'cold' ELSE 'hot' END AS partition_key, 1700000000000 + doc_id * 1000 AS updated_ms FROM documents")
 def index_rows(spark, sf):
     updated = F.unix_millis(F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")))
     return table(spark, sf, "documents").select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source_id"), F.left("text", F.lit(200)).alias("summary"), F.concat_ws(" ", "lang", "source", F.left("text", F.lit(100))).alias("bm25_text"),
+        "doc_id", F.coalesce("source", F.lit("")).alias("source_id"), F.left("text", F.lit(MOST_CHARS)).alias("summary"), F.left(F.concat_ws(" ", "lang", "source", "text"), F.lit(MOST_CHARS)).alias("bm25_text"),
         F.when(F.col("doc_id") % 4 == 0, "cold").otherwise("hot").alias("partition_key"), updated.alias("updated_ms"),
     )
 
@@ -110,13 +114,13 @@ def deactivate(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_anti")
 
 
-@query("summary_rows", "SELECT d.doc_id, 'doc:' || d.doc_id || ':' || b.n AS item_id, md5(left(d.text, 120)) AS summary_md5 FROM documents d JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) b USING (source) WHERE length(trim(d.text)) > 0")
+@query("summary_rows", "SELECT d.doc_id, 'doc:' || d.doc_id || ':' || b.n AS item_id, md5(d.text) AS summary_md5 FROM documents d JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) b USING (source) WHERE length(trim(d.text)) > 0")
 def summary_rows(spark, sf):
     """Summaries joined to what they are of; empty ones aren't saved."""
     d = table(spark, sf, "documents")
     b = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     d = d.join(b, "source").where(F.length(F.trim("text")) > 0)
-    return d.select("doc_id", F.concat_ws(":", F.lit("doc"), F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("item_id"), F.md5(F.left("text", F.lit(120)).cast("binary")).alias("summary_md5"))
+    return d.select("doc_id", F.concat_ws(":", F.lit("doc"), F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("item_id"), F.md5(F.col("text").cast("binary")).alias("summary_md5"))
 
 
 @query("asset_records", "SELECT p_partkey AS asset_id, CASE WHEN p_size % 4 = 0 THEN 'table' WHEN p_size % 4 = 1 THEN 'figure' ELSE 'caption' END AS kind, p_size % 4 = 0 AS compute_only, p_size AS bbox_l, p_size + 20 AS bbox_b FROM part WHERE p_size % 4 < 3")
@@ -319,9 +323,9 @@ def answer_rows(spark, sf):
 # --- prompts and structured text ---------------------------------------------------------------
 
 
-@query("prompt_render", "SELECT item_id, md5('Question: ' || text || chr(10) || 'Evidence:' || chr(10) || '[E1] ' || left(text, 40)) AS prompt_md5 FROM benchmark")
+@query("prompt_render", "SELECT item_id, md5('Question: ' || text || chr(10) || 'Evidence:' || chr(10) || '[E1] ' || text) AS prompt_md5 FROM benchmark")
 def prompt_render(spark, sf):
-    p = F.concat(F.lit("Question: "), "text", F.lit("\nEvidence:\n[E1] "), F.left("text", F.lit(40)))
+    p = F.concat(F.lit("Question: "), "text", F.lit("\nEvidence:\n[E1] "), "text")
     return table(spark, sf, "benchmark").select("item_id", F.md5(p.cast("binary")).alias("prompt_md5"))
 
 
@@ -337,14 +341,14 @@ def compute_extract(spark, sf):
 def json_extract(spark, sf):
     """The object within a model's text, null if it isn't valid."""
     said = F.concat(F.lit("Sure:\n"), "props", F.when(F.col("event_id") % 5 > 0, "\nbye").otherwise(" }broken"))
-    return table(spark, sf, "events").select("event_id", F.from_json(F.regexp_extract(said, r"(?s)\{.*\}", 0), "k int", {"mode": "PERMISSIVE"})["k"].alias("k")).withColumn("k", F.when(F.col("event_id") % 5 > 0, F.col("k")))
+    return table(spark, sf, "events").select("event_id", F.from_json(structured.json_object(said), "k int")["k"].alias("k"))
 
 
-@query("subtask_query", "SELECT conv_id, turn, left(text, 30) || CASE WHEN turn > 1 THEN ' missing: scope; date' ELSE '' END AS subtask, CASE WHEN turn > 1 THEN 'deep' ELSE 'auto' END AS mode FROM conversations")
+@query("subtask_query", "SELECT conv_id, turn, text || CASE WHEN turn > 1 THEN ' missing: scope; date' ELSE '' END AS subtask, CASE WHEN turn > 1 THEN 'deep' ELSE 'auto' END AS mode FROM conversations")
 def subtask_query(spark, sf):
     """What is missing is added to the query from the second attempt on."""
     again = F.col("turn") > 1
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.left("text", F.lit(30)), F.when(again, " missing: scope; date").otherwise("")).alias("subtask"), F.when(again, "deep").otherwise("auto").alias("mode"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.when(again, " missing: scope; date").otherwise("")).alias("subtask"), F.when(again, "deep").otherwise("auto").alias("mode"))
 
 
 @query("commit_anchor", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","operation":"index","source":"' || source || '"}') AS anchor FROM documents""")
@@ -354,10 +358,10 @@ def commit_anchor(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(state.cast("binary"), 256).alias("anchor"))
 
 
-@query("eval_items", "SELECT item_id, substr(sha1('q:' || item_id || ':' || left(text, 20)), 1, 16) AS query_id, left(text, 20) AS evidence_text, length(left(text, 20)) AS evidence_end FROM benchmark")
+@query("eval_items", "SELECT item_id, substr(sha1('q:' || item_id || ':' || text), 1, 16) AS query_id, text AS evidence_text, length(text) AS evidence_end FROM benchmark")
 def eval_items(spark, sf):
-    key = F.concat_ws(":", F.lit("q"), F.col("item_id").cast("string"), F.left("text", F.lit(20)))
-    ev = F.struct(F.left("text", F.lit(20)).alias("text"), F.lit(0).alias("start"), F.length(F.left("text", F.lit(20))).alias("end"))
+    key = F.concat_ws(":", F.lit("q"), F.col("item_id").cast("string"), "text")
+    ev = F.struct(F.col("text"), F.lit(0).alias("start"), F.length("text").alias("end"))
     return table(spark, sf, "benchmark").select("item_id", F.substring(F.sha1(key.cast("binary")), 1, 16).alias("query_id"), ev.alias("e")).select("item_id", "query_id", F.col("e.text").alias("evidence_text"), F.col("e.end").cast("long").alias("evidence_end"))
 
 

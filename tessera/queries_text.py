@@ -270,13 +270,13 @@ def summary_contract(spark, sf):
 @query(
     "doc_summary_reduce",
     f"""WITH {windows_sql(120, 20)}, s AS (SELECT w.doc_id, w.window_index, substr(d.text, w.char_start + 1, w.char_end - w.char_start) AS x FROM windows w JOIN documents d USING (doc_id))
-SELECT doc_id, count(*) AS n_sections, md5(string_agg('[SECTION ' || (window_index + 1) || '] ' || left(x, 80), chr(10) ORDER BY window_index)) AS reduced_md5 FROM s GROUP BY doc_id""",
+SELECT doc_id, count(*) AS n_sections, md5(string_agg('[SECTION ' || (window_index + 1) || '] ' || x, chr(10) ORDER BY window_index)) AS reduced_md5 FROM s GROUP BY doc_id""",
 )
 def doc_summary_reduce(spark, sf):
     """A document's summary is put together from those of its sections, in order."""
     ship(spark)
     w = spans.windows(table(spark, sf, "documents"), "doc_id", "text", 120, 20)
-    line = F.concat(F.lit("[SECTION "), (F.col("window_index") + 1).cast("string"), F.lit("] "), F.left("window_text", F.lit(80)))
+    line = F.concat(F.lit("[SECTION "), (F.col("window_index") + 1).cast("string"), F.lit("] "), "window_text")
     g = w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sort_array(F.collect_list(F.struct("window_index", line.alias("line")))).alias("x"))
     return g.select("doc_id", "n_sections", F.md5(F.array_join("x.line", "\n").cast("binary")).alias("reduced_md5"))
 
