@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.catalog import query, table
 from tessera.functions import text as T
-from tessera.plans import planner
+from tessera.plans import paths, planner, policy
 from tessera.plans.expressions import parse
 
 
@@ -115,20 +115,12 @@ def comparison_split(spark, sf):
   list_sort(list_distinct([c_mktsegment, 'pii'])) AS tags FROM customer""",
 )
 def policy_narrow(spark, sf):
-    """Narrowing of a customer's policy by that of its nation: common runtimes and locations, the
-    stricter residency, denial wins, all tags. Nothing in common is an error."""
+    """Narrowing of a customer's policy by that of its nation."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    lits = lambda *x: F.array(*map(F.lit, x))
-    common = lambda a, b, what: F.when(F.size(F.array_intersect(a, b)) > 0, F.array_sort(F.array_intersect(a, b))).otherwise(F.raise_error(F.lit(f"no {what} left"))).alias(what)
-    order = lits("cloud_allowed", "local_preferred", "local_required")
-    return table(spark, sf, "customer").select(
-        "c_custkey",
-        common(F.when(k % 2 == 0, lits("fast")).otherwise(lits("fast", "deep")), lits("deep", "fast"), "runtimes"),
-        common(lits("cloud", "local"), F.when(k % 3 == 0, lits("local")).otherwise(lits("local", "cloud")), "locations"),
-        F.element_at(order, (1 + F.greatest(k % 3, n % 3)).cast("int")).alias("residency"),
-        F.when((k % 5 == 0) | (n % 4 == 0), "deny").otherwise("allow").alias("external_retrieval"),
-        F.array_sort(F.array_union(F.array("c_mktsegment"), lits("pii"))).alias("tags"),
-    )
+    residency = lambda x: F.element_at(policy.lits(*policy.RESIDENCIES), (1 + x % 3).cast("int"))
+    own = policy.policy(residency(k), F.when(k % 5 == 0, "deny").otherwise("allow"), F.when(k % 2 == 0, policy.lits("fast")).otherwise(policy.lits("fast", "deep")), policy.lits("cloud", "local"), F.array("c_mktsegment"))
+    nation = policy.policy(residency(n), F.when(n % 4 == 0, "deny").otherwise("allow"), policy.lits("deep", "fast"), F.when(k % 3 == 0, policy.lits("local")).otherwise(policy.lits("local", "cloud")), policy.lits("pii"))
+    return table(spark, sf, "customer").select("c_custkey", policy.narrowed_or_fail(own, nation).alias("p")).select("c_custkey", "p.*")
 
 
 @query(
@@ -139,28 +131,47 @@ SELECT r.user_id, r.doc_id FROM r WHERE r.user_id NOT IN (SELECT user_id FROM n)
 )
 def authorization_scope(spark, sf):
     """The requested documents that their user owns; a user who owns none isn't restricted."""
-    o = table(spark, sf, "orders")
-    owned = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("doc_id")).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi")
-    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    o, users = table(spark, sf, "orders"), table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    sources = users.select(F.col("user_id").alias("source_id"), F.col("user_id").cast("string").alias("owner_id"))
+    documents = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("source_id"))
+    views = spark.createDataFrame([], "user_id string, doc_ids array<bigint>")
+    allowed = policy.allowed_documents(views, sources, documents).select(F.col("user_id").cast("long").alias("user_id"), "doc_id")
     asked = o.select((F.col("o_orderkey") % 1500 + 1).alias("user_id"), F.col("o_orderkey").alias("doc_id")).join(users, "user_id", "left_semi")
-    free = asked.join(owned.select("user_id").distinct(), "user_id", "left_anti")
-    return asked.join(owned, ["user_id", "doc_id"], "left_semi").union(free)
+    return policy.authorized(asked, allowed)
 
 
 @query("visibility", "SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND CASE l.toxic WHEN 1 THEN ' Expired' ELSE 'published' END NOT IN (' Expired') AND d.lang <> 'fr'")
 def visibility(spark, sf):
     """Active, indexed, and of a status that isn't retired, expired, deleted or inactive."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    status = F.lower(F.trim(F.when(F.col("toxic") == 1, " Expired").otherwise("published")))
-    return d.where((F.col("quality") == 1) & (F.col("lang") != "fr") & ~status.isin("retired", "expired", "deleted", "inactive")).select("doc_id")
+    return d.where(policy.visible(F.col("lang") != "fr", F.col("quality") == 1, F.when(F.col("toxic") == 1, " Expired").otherwise("published"))).select("doc_id")
 
 
 @query("final_policy_gate", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND o_custkey % 3 > 0 AND o_totalprice > 1000")
 def final_policy_gate(spark, sf):
     """Evidence of documents that exist, are visible, and whose policy leaves something in common."""
-    policy = F.array_intersect(F.array(F.lit("a"), F.lit("b")), F.when(F.col("o_custkey") % 3 > 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("c"))))
-    docs = table(spark, sf, "orders").where((F.col("o_orderstatus") != "P") & (F.size(policy) > 0) & (F.col("o_totalprice") > 1000)).select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf, "lineitem").join(docs, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+    own = policy.policy(F.lit("cloud_allowed"), F.lit("allow"), F.when(F.col("o_custkey") % 3 > 0, policy.lits("fast")).otherwise(policy.lits("none")), policy.lits("local"), policy.lits())
+    asked = policy.policy(F.lit("cloud_allowed"), F.lit("allow"), policy.lits("deep", "fast"), policy.lits("cloud", "local"), policy.lits())
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "P").alias("is_active"), (F.col("o_totalprice") > 1000).alias("index_ready"), F.lit("published").alias("status"), "o_custkey")
+    evidence = table(spark, sf, "lineitem").select(F.lit(None).cast("long").alias("user_id"), F.col("l_orderkey").alias("doc_id"), "l_orderkey", "l_linenumber")
+    nobody = spark.createDataFrame([], "user_id long, doc_id long")
+    return policy.final_gate(evidence, docs, nobody, nobody, asked, own).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "final_gate_users",
+    """WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber, l_suppkey % 20 AS user_id FROM lineitem) SELECT user_id, doc_id, l_linenumber FROM e JOIN orders ON o_orderkey = doc_id
+WHERE o_orderstatus <> 'P' AND user_id < 15 AND (user_id % 5 > 0 OR doc_id % 3 = user_id % 3)""",
+)
+def final_gate_users(spark, sf):
+    """Users whose view isn't resolved get nothing; those whose view is empty aren't restricted by it."""
+    orders = table(spark, sf, "orders")
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "P").alias("is_active"), F.lit(True).alias("index_ready"), F.lit(None).cast("string").alias("status"))
+    evidence = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("user_id"), F.col("l_orderkey").alias("doc_id"), "l_linenumber")
+    views = spark.range(15).withColumnRenamed("id", "user_id")
+    allowed = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 5, 10)))).alias("user_id")).where("doc_id % 3 = user_id % 3")
+    none = F.lit(None).cast("struct<residency:string,external_retrieval:string,runtimes:array<string>,locations:array<string>,tags:array<string>>")
+    return policy.final_gate(evidence, docs, allowed, views, none, none)
 
 
 @query(
@@ -170,12 +181,25 @@ def final_policy_gate(spark, sf):
 def candidate_filter(spark, sf):
     """Scope, external policy, runtime and pages; a candidate without an attribute passes its test."""
     li = table(spark, sf, "lineitem")
-    scope = F.arrays_overlap(F.array((F.col("l_partkey") % 10).cast("int")), F.array(*map(F.lit, range(6))))
+    scope = policy.in_scope(F.array((F.col("l_partkey") % 10).cast("int")), F.array(*map(F.lit, range(6))))
     external = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") != "O")
-    runtimes = F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).when(F.col("l_suppkey") % 4 == 3, F.array(F.lit("deep"))).otherwise(F.array(F.lit("fast")))
-    first, last = F.when(F.col("l_tax") > 0, F.col("l_linenumber")), F.when(F.col("l_tax") > 0, F.col("l_linenumber") + 1)
-    paged = first.isNull() | ((first <= 4) & (last >= 4)) | (first == 2)
-    return li.where(scope & ~external & (runtimes.isNull() | F.array_contains(runtimes, "fast")) & paged).select("l_orderkey", "l_linenumber")
+    runtimes = F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).when(F.col("l_suppkey") % 4 == 3, policy.lits("deep")).otherwise(policy.lits("fast"))
+    may = policy.permitted(external, F.lit("deny"), runtimes, F.lit("fast"), F.lit(None).cast("array<string>"), policy.lits("local"))
+    first = F.when(F.col("l_tax") > 0, F.col("l_linenumber"))
+    last = F.when(F.col("l_tax") > 0, F.when(F.col("l_linenumber") > 2, F.col("l_linenumber") + 1).otherwise(F.col("l_linenumber")))
+    return li.where(scope & may & policy.pages_match(first, last, (4,), ((2, 2),))).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "candidate_constraints",
+    """WITH c AS (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN lower(p_brand) END AS source_type, CASE WHEN p_size % 5 > 0 THEN p_name END AS file_name, CASE WHEN p_size % 4 > 0 THEN lower(p_type) END AS path FROM part)
+SELECT p_partkey FROM c WHERE (source_type IS NULL OR source_type IN ('brand#11', 'brand#12', 'brand#23')) AND (path IS NULL OR contains(path, 'steel') OR contains(path, 'brass')) AND (file_name IS NULL OR file_name <> 'x')""",
+)
+def candidate_constraints(spark, sf):
+    """Source types and structure that a query asks for; what a candidate lacks passes."""
+    s = F.col("p_size")
+    ok = policy.metadata_match(F.when(s % 3 > 0, F.lower("p_brand")), F.when(s % 5 > 0, F.col("p_name")), ("brand#11", "brand#12", "brand#23"))
+    return table(spark, sf, "part").where(ok & policy.structure_match(F.when(s % 4 > 0, F.split("p_type", " ")), ("Steel", "BRASS"))).select("p_partkey")
 
 
 @query(
@@ -187,19 +211,91 @@ def record_family(spark, sf):
     record = F.when(F.col("event_type") == "signup", "asset_summary")
     lits = lambda *x: F.array(*map(F.lit, x))
     channels = F.element_at(F.array(lits("special"), lits("local"), lits("vector", "sparse"), lits("sparse"), lits("vector")), (F.col("user_id") % 5 + 1).cast("int"))
-    has = lambda *x: F.arrays_overlap(channels, lits(*x))
-    family = (
-        F.when(kind == "external", "external").when(F.coalesce(F.startswith(record, F.lit("asset")), F.lit(False)) | has("special", "section", "metadata"), "multimodal")
-        .when((kind == "graph") | has("local", "global"), "kg").when(has("vector") & has("sparse"), "hybrid").when(has("sparse"), "sparse").otherwise("vector")
-    )
-    return table(spark, sf, "events").select("event_id", family.alias("family"))
+    return table(spark, sf, "events").select("event_id", policy.record_family(kind, record, channels).alias("family"))
+
+
+@query(
+    "candidate_names",
+    """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey, l_suppkey, l_quantity FROM lineitem),
+k AS (SELECT *, CASE WHEN n = 1 THEN 'grounded_doc' WHEN n = 2 THEN 'asset_summary' WHEN n = 3 THEN 'doc_summary' WHEN n = 4 AND l_partkey % 2 = 0 THEN 'asset_summary' ELSE 'section_summary' END AS kind FROM c)
+SELECT doc_id, n, kind, CASE n WHEN 1 THEN 'c' || l_partkey WHEN 2 THEN 'asset:' || l_partkey WHEN 3 THEN 'doc:' || doc_id WHEN 4 THEN CASE WHEN l_partkey % 2 = 0 THEN 'asset:' || l_partkey ELSE 'section:' || l_suppkey END
+  WHEN 5 THEN kind || ':i' || l_partkey WHEN 6 THEN kind || ':e' || l_partkey ELSE kind || ':doc:' || doc_id END AS candidate_id,
+  CASE WHEN n = 1 THEN 'grounding' WHEN kind = 'asset_summary' OR l_quantity % 5 = 1 THEN 'asset' WHEN l_quantity % 5 = 2 THEN 'lexical' WHEN l_quantity % 5 = 3 THEN 'sparse' WHEN l_quantity % 5 = 4 THEN 'dense' WHEN l_suppkey % 2 = 0 THEN 'fallback' ELSE 'unknown' END AS family FROM k""",
+)
+def candidate_names(spark, sf):
+    """Kind, id and source family of candidates of which different things are known."""
+    n, text = F.col("l_linenumber"), lambda prefix: F.concat(F.lit(prefix), F.col("l_partkey").cast("string"))
+    only = lambda k, c: F.when(n == k, c)
+    target = F.when(n == 2, F.struct(F.lit("asset").alias("kind"), F.col("l_partkey").alias("asset_id"), F.lit(None).cast("long").alias("section_id"), F.col("l_orderkey").alias("doc_id"))).when(
+        n == 3, F.struct(F.lit("doc").alias("kind"), F.lit(None).cast("long").alias("asset_id"), F.lit(None).cast("long").alias("section_id"), F.col("l_orderkey").alias("doc_id"))
+    )
+    asset, section = F.when((n == 4) & (F.col("l_partkey") % 2 == 0), F.col("l_partkey")), only(4, F.col("l_suppkey"))
+    kind = policy.candidate_kind(only(1, F.lit("grounded_doc")), target["kind"], target["asset_id"], asset)
+    name = policy.candidate_id(only(1, text("c")), kind, target, asset, section, only(5, text("i")), only(6, text("e")), F.col("l_orderkey"))
+    lane = F.element_at(F.array(policy.lits("other"), policy.lits("special", "vector"), policy.lits("bm25", "full_text"), policy.lits("bm25", "dense"), policy.lits("vector")), (F.col("l_quantity") % 5 + 1).cast("int"))
+    family = policy.source_family(only(1, F.lit("grounding")), kind, lane, F.col("l_suppkey") % 2 == 0)
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("n"), kind.alias("kind"), name.alias("candidate_id"), family.alias("family"))
 
 
 @query("storage_tier", "SELECT d.doc_id, CASE WHEN coalesce(l.quality, 1) = 0 OR coalesce(l.toxic, 0) = 1 OR d.n_chars < 200 THEN 'cold' ELSE 'hot' END AS tier FROM documents d LEFT JOIN labels l USING (doc_id)")
 def storage_tier(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    cold = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1) | (F.col("n_chars") < 200)
-    return d.select("doc_id", F.when(cold, "cold").otherwise("hot").alias("tier"))
+    status = F.when(F.coalesce("toxic", F.lit(0)) == 1, "Retired").otherwise("published")
+    return d.select("doc_id", policy.desired_tier(F.coalesce("quality", F.lit(1)) != 0, F.col("n_chars") >= 200, status).alias("tier"))
+
+
+_PROFILES = "['fast', 'asset', 'deep', 'mix']"
+_PLANNED = f"""q AS (SELECT doc_id, {_PROFILES}[1 + doc_id % 4] AS profile, 4 + doc_id % 9 AS lim, doc_id % 3 = 0 AS st, doc_id % 5 = 0 AS me, doc_id % 7 = 0 AS sp, ['asset_first', 'text_only', 'text_plus_asset'][1 + doc_id % 3] AS route, n_chars > 2000 AS cx FROM documents),
+w AS (SELECT *, sp OR route IN ('asset_first', 'text_plus_asset') AS wa FROM q)"""
+
+
+@query(
+    "retrieval_paths",
+    f"""WITH {_PLANNED}, g AS (SELECT *, CASE profile WHEN 'deep' THEN lim ELSE greatest(2, lim - 1) END AS gl FROM w)
+SELECT doc_id, CASE profile WHEN 'fast' THEN 'vector:' || lim * 2 || ':dense' WHEN 'asset' THEN 'vector:' || lim || ':dense,special:' || lim * 2 || ':dense' || CASE WHEN st THEN ',section:' || lim || ':sparse' ELSE '' END || CASE WHEN me THEN ',metadata:' || lim || ':sparse' ELSE '' END
+  ELSE 'local:' || gl || ':dense,global:' || gl || ':dense,vector:' || lim || ':dense' || CASE WHEN st THEN ',section:' || lim || ':sparse' ELSE '' END || CASE WHEN me THEN ',metadata:' || lim || ':sparse' ELSE '' END || CASE WHEN wa THEN ',special:' || lim || ':dense' ELSE '' END END AS paths,
+  'vector:' || CASE profile WHEN 'fast' THEN lim ELSE lim * 2 END || ':dense' || CASE WHEN profile = 'asset' OR wa THEN ',special:' || lim || ':dense' ELSE '' END AS summary_paths,
+  'vector/section_summary:' || lim * 2 || ':5:always,vector/doc_summary:' || greatest(lim, 5) || ':5:if_insufficient' || CASE WHEN wa THEN ',special/asset_summary:' || lim || ':3:always' ELSE '' END AS stages,
+  CASE WHEN wa AND NOT st THEN 'asset_fallback>special/asset_summary:' || lim ELSE '' END AS fallback,
+  'VersionGate,EntitlementFilter,QueryRewrite,PredicatePushdown,SectionSearch' || CASE WHEN cx THEN ',QueryDecomposition,DocFallback' ELSE '' END || CASE WHEN wa THEN ',AssetSearch' ELSE '' END || ',HybridFusion,PreRerankCleanup,Rerank,ConfidenceAudit' AS operators FROM g""",
+)
+def retrieval_paths(spark, sf):
+    """Branches, stages, fallback and operators of the plans of many queries."""
+    k = F.col("doc_id")
+    profile, limit = F.element_at(policy.lits("fast", "asset", "deep", "mix"), (1 + k % 4).cast("int")), (4 + k % 9).cast("int")
+    route = F.element_at(policy.lits("asset_first", "text_only", "text_plus_asset"), (1 + k % 3).cast("int"))
+    structure, metadata, special = k % 3 == 0, k % 5 == 0, k % 7 == 0
+    said = lambda c, f: F.array_join(F.transform(c, f), ",")
+    path = lambda p: F.concat_ws(":", p["branch"], p["limit"].cast("string"), p["variant"])
+    stage = lambda x: F.concat(x["branch"], F.lit("/"), F.concat_ws(":", x["collection"], x["limit"].cast("string"), x["min_hits"].cast("string"), x["trigger"]))
+    step = lambda x: F.concat(x["trigger"], F.lit(">"), x["branch"], F.lit("/"), x["collection"], F.lit(":"), x["limit"].cast("string"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        said(paths.retrieval_paths(profile, limit, structure, metadata, special, route, False), path).alias("paths"),
+        said(paths.retrieval_paths(profile, limit, structure, metadata, special, route, True), path).alias("summary_paths"),
+        said(paths.stage_plans(limit, F.lit(8), special, route), stage).alias("stages"),
+        said(paths.fallback_plan(limit, special, route, ~structure), step).alias("fallback"),
+        F.array_join(paths.operator_plan(F.when(F.col("n_chars") > 2000, "complex").otherwise("standard"), special, route), ",").alias("operators"),
+    )
+
+
+@query("collection_clauses", "SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AND l_returnflag IN ('A', 'N') AS doc_ok, l_linestatus = 'O' AND l_returnflag IN ('A', 'N') AND ((l_linenumber <= 2 AND l_linenumber + 1 >= 2) OR (l_linenumber <= 6 AND l_linenumber + 1 >= 6)) AND (l_linenumber <= 7 AND l_linenumber + 1 >= 5 OR l_linenumber <= 2 AND l_linenumber + 1 >= 1) AS section_ok, l_linestatus = 'O' AND l_linenumber IN (2, 6) AND ((l_linenumber >= 5 AND l_linenumber <= 7) OR (l_linenumber >= 1 AND l_linenumber <= 2)) AND l_returnflag IN ('A', 'R') AS asset_ok FROM lineitem")
+def collection_clauses(spark, sf):
+    """The weak clauses of a query, per collection, over rows that stand for sections and assets."""
+    clauses = paths.collection_clauses('status == "O"', ("A", "N"), (6, 2, 2), ((5, 7), (1, 2)), ("A", "R"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("source_type"), F.col("l_returnflag").alias("asset_type"), F.col("l_linenumber").alias("page_start"), (F.col("l_linenumber") + 1).alias("page_end"), F.col("l_linenumber").alias("page_no"))
+    fields = ["status", "source_type", "asset_type", "page_start", "page_end", "page_no"]
+    return li.select("l_orderkey", "l_linenumber", *(parse(clauses[f"{c}_summary"], fields).alias(f"{c}_ok") for c in ("doc", "section", "asset")))
+
+
+@query("policy_hints", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'local_required' ELSE 'cloud_allowed' END AS residency, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 3 = 0 THEN 'deny' ELSE 'allow' END AS external_retrieval, CASE WHEN c_custkey % 4 = 0 THEN ['local'] ELSE ['cloud', 'local'] END AS locations FROM customer")
+def policy_hints(spark, sf):
+    """A query's hints narrow the default policy."""
+    k = F.col("c_custkey")
+    default = policy.policy(F.lit("cloud_allowed"), F.lit("allow"), policy.lits("deep", "fast"), policy.lits("cloud", "local"), policy.lits())
+    hint = policy.hinted(k % 4 == 0, k % 3 == 0)
+    p = F.when(hint.isNull(), default).otherwise(policy.narrowed(default, hint))
+    return table(spark, sf, "customer").select("c_custkey", p.alias("p")).select("c_custkey", "p.residency", "p.external_retrieval", "p.locations")
 
 
 # --- joins -------------------------------------------------------------------------------------
