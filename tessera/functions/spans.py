@@ -61,11 +61,20 @@ def windows(df: DataFrame, key: str, text: str, size: int, overlap: int, least:
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {WINDOW}")
 
 
-def clip(text: str, budget: int) -> str:
-    """The first `budget` tokens of a text, one at least."""
+def clip(text: str, budget: int, ellipsis: bool = False) -> str:
+    """The first `budget` tokens of a text, one at least; " ..." after it where something is left out and `ellipsis` is set."""
     text = text.strip()
     start, end = token_spans(text)
-    return text if len(start) <= max(budget, 1) else text[: int(end[max(budget, 1) - 1])].strip()
+    if len(start) <= max(budget, 1):
+        return text
+    return text[: int(end[max(budget, 1) - 1])].strip() + (" ..." if ellipsis else "")
+
+
+def tail(text: str, budget: int) -> str:
+    """The last `budget` tokens of a text and what follows them; nothing for a budget of 0 or a text without tokens."""
+    text = text.strip()
+    start, _ = token_spans(text)
+    return text[int(start[max(len(start) - budget, 0)]) :].strip() if budget > 0 and len(start) else ""
 
 
 def sample(text: str, most: int = 5000, head: int = 1500, middle: int = 1500, tail: int = 1500) -> str:

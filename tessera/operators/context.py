@@ -34,6 +34,59 @@ def token_budgets(evidence: DataFrame, budget: int, priority: list[Column]) -> D
     return g.select("query_id", F.explode(F.arrays_zip(F.col("xs.evidence_id").alias("evidence_id"), given.alias("assigned"))).alias("z")).select("query_id", F.col("z.evidence_id").alias("evidence_id"), F.col("z.assigned").alias("assigned"))
 
 
+def family_order(profile: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(families that are to be covered, all families in order) of a retrieval profile."""
+    orders = {"bypass": (1, ("vector", "kg", "multimodal", "external")), "fast": (1, ("vector", "multimodal", "kg", "external")), "asset": (2, ("multimodal", "vector", "kg", "external"))}
+    n, order = orders.get(profile, (3, ("kg", "vector", "multimodal", "external")))
+    return order[:n], order
+
+
+def prioritized(evidence: DataFrame, most: int, coverage: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """The rows of evidence (query_id, place, family, score, group_key, doc_id, internal) that a prompt has room for, `most` a query.
+
+    Where there are more, the best of each family in `coverage` comes first. Best is by family, score,
+    whether its group and its document are new among those chosen, whether it is internal, and place.
+    The rest follow by the same order, what is new being judged by the coverage alone.
+    """
+    rank = F.lit(0)
+    for i, f in enumerate(order):
+        rank = F.when(F.col("family") == f, len(order) - i).otherwise(rank)
+    e = evidence.withColumn("__rank", rank).withColumn("__score", F.greatest(F.col("score"), F.lit(0.0)))
+    e = e.withColumn("__many", F.count(F.lit(1)).over(Window.partitionBy("query_id")) > most)
+    crowded = e.where("__many")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    doc = evidence.schema["doc_id"].dataType.simpleString()
+    chosen = crowded.select("query_id").distinct().select("query_id", none("string").alias("__groups"), none(doc).alias("__docs"), none("int").alias("__places"))
+
+    def key(df: DataFrame) -> Column:
+        new_group = ~F.array_contains("__groups", F.col("group_key"))
+        new_doc = F.col("doc_id").isNotNull() & ~F.coalesce(F.array_contains("__docs", F.col("doc_id")), F.lit(False))
+        return F.struct(F.col("__rank"), F.col("__score"), new_group.cast("int").alias("g"), new_doc.cast("int").alias("d"), F.col("internal").cast("int").alias("i"), (-F.col("place")).alias("p"))
+
+    for family in coverage:
+        open_ = crowded.where(F.col("family") == family).join(chosen, "query_id").where((F.size("__places") < most) & ~F.array_contains("__places", F.col("place")))
+        best = open_.groupBy("query_id").agg(F.max_by(F.struct("group_key", "doc_id", "place"), key(open_)).alias("b"))
+        grown = lambda c, x: F.when(F.col("b").isNotNull(), F.array_append(c, F.col(f"b.{x}"))).otherwise(F.col(c)).alias(c)
+        chosen = chosen.join(best, "query_id", "left").select("query_id", grown("__groups", "group_key"), grown("__docs", "doc_id"), grown("__places", "place"))
+    rest = crowded.join(chosen, "query_id")
+    taken = F.array_contains("__places", F.col("place"))
+    rest = rest.withColumn("__key", key(rest)).withColumn("__n", F.row_number().over(Window.partitionBy("query_id", taken).orderBy(F.desc("__key"))))
+    kept = rest.where(taken | (F.col("__n") <= most - F.size("__places")))
+    return e.where("NOT __many").select(*evidence.columns).unionByName(kept.select(*evidence.columns))
+
+
+def numbered(evidence: DataFrame, room: int) -> DataFrame:
+    """evidence (query_id, place, tokens) with label (E1, E2...), selected_tokens, truncated, and per query how many were clipped and skipped.
+
+    `room` is what one item may have; items without tokens are skipped and get no label.
+    """
+    by = Window.partitionBy("query_id")
+    marked = evidence.withColumn("__used", F.col("tokens") > 0).withColumn("truncated", F.col("tokens") > room).withColumn("selected_tokens", F.least(F.col("tokens"), F.lit(room)))
+    n = F.sum(F.col("__used").cast("int")).over(by.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumn("label", F.concat(F.lit("E"), n.cast("string"))).withColumn("n_clipped", F.count_if("truncated").over(by)).withColumn("n_skipped", F.count_if(~F.col("__used")).over(by))
+    return out.where("__used").drop("__used")
+
+
 def clipped_to_total(items: DataFrame, budget: int, order: list) -> DataFrame:
     """Adds `kept`: tokens of each item until the budget is used up; the item that crosses it is clipped."""
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("query_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
