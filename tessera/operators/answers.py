@@ -240,7 +240,7 @@ def formatted(answers: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "body", "footnotes", "formatted", "n_citations"])
 
-    out = StructType(answers.schema.fields).add("body", "string").add("footnotes", "string").add("formatted", "string").add("n_citations", "int")
+    out = StructType(list(answers.schema.fields)).add("body", "string").add("footnotes", "string").add("formatted", "string").add("n_citations", "integer")
     return answers.mapInArrow(run, out)
 
 
