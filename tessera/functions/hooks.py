@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import structured
+
 
 class WrongCount(ValueError):
     pass
@@ -39,24 +41,52 @@ def embedder(factory: Callable[[], Any]) -> Callable[[Column], Column]:
 
 
 def generator(factory: Callable[[], Any]) -> Callable[[Column], Column]:
-    """A column function: prompts to texts, by model.generate_text(prompt); what fails gives null."""
+    """A column function: prompts to texts; null where the model failed, see `told`."""
+    generate = told(factory)
+    return lambda prompt: generate(prompt)["text"]
 
-    @F.pandas_udf("string")
-    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def told(factory: Callable[[], Any]) -> Callable[[Column], Column]:
+    """A column function: prompts to structs of text and error, by model.generate_text(prompt).
+
+    A model's failure is that row's error, and its text null, so the caller can fall back; one that
+    can't be made fails the job.
+    """
+
+    @F.pandas_udf("text string, error string")
+    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
 
         def one(prompt):
             try:
-                return model.generate_text(prompt or "")
-            except Exception:  # a model's own failure; the caller falls back where the text is null
-                return None
+                return model.generate_text(prompt or ""), None
+            except Exception as error:  # whatever a model raises is told with the row
+                return None, f"{type(error).__name__}: {error}"
 
         for prompts in batches:
-            yield prompts.map(one)
+            yield pd.DataFrame([one(p) for p in prompts], columns=["text", "error"])
 
     return generate
 
 
+def structured_generator(factory: Callable[[], Any], schema: str, required: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+    """A column function: prompts to structs of `schema`, read from what the model says; null where that isn't one JSON object with the required fields."""
+    generate = generator(factory)
+    return lambda prompt: structured.typed(generate(prompt), schema, required)
+
+
+def described(factory: Callable[[], Any]) -> Callable[[Column], Column]:
+    """A column function: images (binary) to texts, by model.extract(bytes) -> text, as OCR and vision models have it; null for no image."""
+
+    @F.pandas_udf("string")
+    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for images in batches:
+            yield images.map(lambda b: None if b is None else str(model.extract(bytes(b))))
+
+    return describe
+
+
 def rerank(candidates: DataFrame, factory: Callable[[], Any], pool: int = 50, batch: int = 16) -> DataFrame:
     """Adds rerank_score to the best `pool` candidates (query_id, query_text, candidate_id, score, text) of each query.
 
@@ -85,6 +115,11 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*columns)
 
 
+def picked(capability: str, explicit: str | None, profile: dict[str, str], config: dict[str, str], environment: dict[str, str], default: str | None = None) -> str | None:
+    """The provider of a capability: what is asked for, else by profile, configuration, environment (PROVIDER_<CAPABILITY>), else the default."""
+    return explicit or profile.get(capability) or config.get(capability) or environment.get(f"PROVIDER_{capability.upper()}") or default
+
+
 def provider_order(local: Sequence[str], cloud: Sequence[str], residency: str) -> list[str]:
     """Providers in order for a residency: cloud_allowed, local_preferred or local_required; each once."""
     if residency == "local_required":

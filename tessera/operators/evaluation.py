@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,3 +41,69 @@ def grouped_report(ranks: DataFrame, by: str, cuts: tuple[int, ...] = (1, 3, 5,
     rates = [F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")), 6).alias(f"hit_{k}") for k in cuts]
     out = ranks.groupingSets([[], [by]], by).agg(F.grouping(by).cast("int").alias("overall"), F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), *rates)
     return out
+
+
+# --- the retrieval report ----------------------------------------------------------------------
+
+CUTS = (1, 3, 5, 10, 20)
+
+
+def _related(predicted: DataFrame, gold: DataFrame, sections: DataFrame, radius: int) -> DataFrame:
+    """query_id, parent_rank, neighbor_rank: the first prediction that is a gold section, or one of its group, or one of its windows within `radius`.
+
+    A group is the windows of one section: same document, source, path and parent, none of these
+    parents null. Predictions meet the gold groups of their own query only.
+    """
+    group = ["doc_id", "source_id", "toc_path", "parent_section_id"]
+    known = sections.select("section_id", F.when(F.col("parent_section_id").isNotNull(), F.struct(*group)).alias("g"), "window_index")
+    p = predicted.select("query_id", "rank", "section_id").join(known, "section_id").select("query_id", "rank", F.col("section_id").alias("p"), F.col("g").alias("pg"), F.col("window_index").alias("pw"))
+    q = gold.select("query_id", "section_id").distinct().join(known, "section_id").select("query_id", F.col("section_id").alias("q"), F.col("g").alias("qg"), F.col("window_index").alias("qw"))
+    both = p.join(q, "query_id")
+    same, grouped = F.col("p") == F.col("q"), F.coalesce(F.col("pg") == F.col("qg"), F.lit(False))
+    near = grouped & F.coalesce(F.abs(F.col("pw") - F.col("qw")) <= radius, F.lit(False))
+    ranks = both.groupBy("query_id").agg(F.min(F.when(same | grouped, F.col("rank"))).alias("parent_rank"), F.min(F.when(same | near, F.col("rank"))).alias("neighbor_rank"))
+    located = q.select("query_id").distinct().withColumn("located", F.lit(True))
+    return located.join(ranks, "query_id", "left")
+
+
+def miss_category(doc_rank: Column, parent_rank: Column, neighbor_rank: Column, same_doc: Column) -> Column:
+    """Why a query found none of its sections."""
+    return (
+        F.when(doc_rank.isNull(), "doc_miss").when(neighbor_rank.isNotNull(), "same_parent_neighbor").when(parent_rank.isNotNull(), "same_parent_non_neighbor")
+        .when(same_doc, "same_doc_other_section").otherwise("section_miss_other")
+    )
+
+
+def retrieval_details(queries: DataFrame, predicted: DataFrame, gold: DataFrame, sections: DataFrame, top_k: int, radius: int = 1) -> DataFrame:
+    """A row per query: ranks of its first hits by document, section, parent and neighbour, candidates, and the category of a miss.
+
+    queries: query_id, question_type; predicted: query_id, rank, doc_id, section_id; gold: query_id,
+    doc_id, section_id; sections: section_id, doc_id, source_id, toc_path, parent_section_id,
+    window_index. Ranks beyond `top_k` are none. Where no gold section is known, parent and
+    neighbour ranks are that of the section.
+    """
+    top = predicted.where(F.col("rank") <= top_k)
+    doc = first_hits(top, gold.where("doc_id IS NOT NULL"), ["doc_id"], "doc_rank")
+    section = first_hits(top, gold.where("section_id IS NOT NULL"), ["section_id"], "section_rank")
+    counts = predicted.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    owned = predicted.select("query_id", "section_id").join(sections.select("section_id", "doc_id"), "section_id").join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    same = owned.select("query_id").distinct().withColumn("same_doc", F.lit(True))
+    out = queries.select("query_id", F.coalesce("question_type", F.lit("unknown")).alias("question_type"))
+    for part in (doc, section, _related(top, gold, sections, radius), counts, same):
+        out = out.join(part, "query_id", "left")
+    for c in ("parent_rank", "neighbor_rank"):
+        out = out.withColumn(c, F.when(F.col("located"), F.col(c)).otherwise(F.col("section_rank")))
+    category = miss_category(F.col("doc_rank"), F.col("parent_rank"), F.col("neighbor_rank"), F.coalesce("same_doc", F.lit(False)))
+    return out.select(
+        "query_id", "question_type", "doc_rank", "section_rank", "parent_rank", "neighbor_rank", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("section_rank").isNull(), category).alias("miss_category"),
+    )
+
+
+def retrieval_report(details: DataFrame, top_k: int, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """Rates over all queries (question_type null) and by question type: hits at the cuts, reciprocal ranks, candidates, and a count per category of miss."""
+    kinds = ("doc", "section", "parent", "neighbor")
+    rates = [F.round(F.avg(F.coalesce((F.col(f"{x}_rank") <= k).cast("int"), F.lit(0))), 6).alias(f"{x}_hit_{k}") for x in kinds for k in cuts if k <= top_k]
+    mrr = [F.round(F.avg(F.coalesce(1 / F.col(f"{x}_rank"), F.lit(0.0))), 6).alias(f"{x}_mrr") for x in kinds]
+    of = [F.min("candidates").alias("candidates_min"), F.round(F.avg("candidates"), 6).alias("candidates_avg"), F.max("candidates").alias("candidates_max")]
+    missed = [F.count_if(F.col("miss_category") == c).alias(c) for c in ("doc_miss", "same_parent_neighbor", "same_parent_non_neighbor", "same_doc_other_section", "section_miss_other")]
+    return details.groupingSets([[], ["question_type"]], "question_type").agg(F.count(F.lit(1)).alias("queries"), *mrr, *rates, *of, *missed)

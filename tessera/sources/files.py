@@ -48,9 +48,74 @@ def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return folded.select(key, F.posexplode("done").alias("order_index", "s")).select(key, "order_index", "s.toc_path", "s.level", T.strip(F.array_join("s.body", "\n")).alias("section_text"))
 
 
+# Which suffixes a folder of private documents is searched for; images may be .webp, there is no .xls.
+DISCOVERED = {
+    "pdf": "pdf", "md": "markdown", "markdown": "markdown", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "txt": "plain_text",
+}
+
+
+def declared_type(location: Column, declared: Column) -> Column:
+    """The type by suffix; an error where another is declared."""
+    found = source_type(location)
+    wrong = declared.isNotNull() & found.isNotNull() & (declared != found)
+    message = F.concat(F.lit("declared as "), declared, F.lit(" but "), location, F.lit(" is "), found)
+    return F.when(wrong, F.raise_error(message).cast("string")).otherwise(F.coalesce(found, declared))
+
+
+def requests(paths: DataFrame, owner: str) -> DataFrame:
+    """Ingest requests for the paths (path) that have a known suffix and no leading dot, in order: location, source_type, owner, title, file_name."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    known = F.create_map(*(F.lit(x) for kv in DISCOVERED.items() for x in kv))
+    rows = paths.select(F.col("path").alias("location"), F.try_element_at(known, suffix).alias("source_type"), F.lit(owner).alias("owner"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), name.alias("file_name"))
+    return rows.where(F.col("source_type").isNotNull() & ~F.startswith("file_name", F.lit("."))).orderBy("location")
+
+
+def discover(spark: SparkSession, folder: str, owner: str, recursive: bool = True) -> DataFrame:
+    """The requests for the files of a folder; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    return requests(files.select("path"), owner)
+
+
+def with_defaults(documents: DataFrame) -> DataFrame:
+    """Prepared documents (doc_id, title, text, metadata) as requests: the id is the default title, the title the default text, the id goes into the metadata unless it is there."""
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("doc_id").cast("string"))
+    key = F.lit("benchmark_doc_id")
+    meta = F.coalesce("metadata", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    own = F.when(F.map_contains_key(meta, key), meta).otherwise(F.map_concat(meta, F.create_map(key, F.col("doc_id").cast("string"))))
+    return documents.select("doc_id", title.alias("title"), F.coalesce(F.nullif(F.trim("text"), F.lit("")), title).alias("text"), own.alias("metadata"))
+
+
+def export_sections(documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """What is exported of sections (with section_text) and the titles of their documents; to be written as JSON lines."""
+    cols = ["section_id", "parent_section_id", "order_index", "toc_path", "char_range_start", "char_range_end", "window_index", "window_count"]
+    joined = sections.join(documents.select("doc_id", "source_id", "title"), "doc_id")
+    return joined.select("doc_id", "source_id", "title", *cols, F.col("section_text").alias("text")).orderBy("doc_id", "order_index", "section_id")
+
+
+def _qrels(rows: DataFrame, query: list[str], doc: list[str], relevance: list[str]) -> DataFrame:
+    have = lambda names: [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in names if n in rows.columns]
+    score = [F.nullif(c.try_cast("int"), F.lit(0)) for c in have(relevance)]
+    ids = [F.coalesce(*have(names)) if have(names) else F.lit(None).cast("string") for names in (query, doc)]
+    needed = [F.coalesce(c, F.raise_error(F.lit(f"a judgment has no {n}")).cast("string")).alias(n) for c, n in zip(ids, ("query_id", "doc_id"))]
+    return rows.select(*needed, F.coalesce(*score, F.lit(0)).alias("relevance"))
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, doc_id, relevance of a tab-separated file with a header."""
-    return spark.read.schema("query_id string, doc_id string, relevance int").option("sep", "\t").option("header", True).csv(path)
+    """query_id, doc_id, relevance of a tab-separated file with a header (query-id, corpus-id, score, or the plain names)."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return _qrels(rows, ["query-id", "query_id"], ["corpus-id", "doc_id"], ["score", "relevance"])
+
+
+def read_qrels_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, doc_id, relevance of JSON lines (qid, pid, score, or the plain names)."""
+    rows = spark.read.schema("qid string, query_id string, pid string, doc_id string, score string, relevance string").json(path)
+    return _qrels(rows, ["qid", "query_id"], ["pid", "doc_id"], ["score", "relevance"])
+
+
+def append_rows(history: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """A history with rows added; columns that either side lacks are null there, the history's come first."""
+    return rows if history is None else history.unionByName(rows, allowMissingColumns=True)
 
 
 def prepared(queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,4 +134,4 @@ def mini_subset(docs: DataFrame, queries: DataFrame, qrels: DataFrame, n_queries
     wanted = positive.join(q, "query_id", "left_semi").select("doc_id").distinct()
     gold = docs.join(wanted, "doc_id", "left_semi")
     fill = docs.join(wanted, "doc_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max(n_docs - gold.count(), 0))
-    return q, gold.unionByName(fill)
+    return q, gold.unionByName(fill).orderBy("doc_id")

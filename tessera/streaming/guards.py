@@ -13,6 +13,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.runtime import ship
 
@@ -100,15 +101,37 @@ def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[Iterator
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def limit_rate(events: DataFrame, window: float = 60.0, most: int = 60) -> DataFrame:
-    """user_id, event_id, allowed of events (user_id, event_id, at in seconds), per user."""
+def limit_rate(events: DataFrame, window: float = 60.0, most: int = 60, everybody: int | None = None) -> DataFrame:
+    """user_id, event_id, allowed of events (user_id, event_id, at in seconds), per user.
+
+    With `everybody` no more than so many requests of all users together are allowed in a window. That
+    rule depends on every request before it, so it is one fold over all events in one task; its state
+    is `everybody` times and what each user has in the window.
+    """
+    arrow = pa.schema([("user_id", pa.int64()), ("event_id", pa.int64()), ("allowed", pa.bool_())])
+    if everybody is not None:
+
+        def all_in_order(rows):
+            own, every = {}, Limiter(window, everybody)
+            for r in rows:
+                while every.allowed and every.allowed[0] < r["at"] - window:
+                    every.allowed.popleft()
+                limiter = own.setdefault(r["user_id"], Limiter(window, most))
+                allowed = len(every.allowed) < everybody and limiter.allow(r["at"])
+                if allowed:
+                    every.allowed.append(r["at"])
+                yield {"user_id": r["user_id"], "event_id": r["event_id"], "allowed": allowed}
+                if len(own) > 4 * everybody:  # users without a request in the window have no state
+                    own = {u: x for u, x in own.items() if x.allowed and x.allowed[-1] >= r["at"] - window}
+
+        one = events.select("user_id", "event_id", "at").withColumn("__all", F.lit(0))
+        return in_order(one, "__all", ["at", "event_id"], all_in_order, "user_id long, event_id long, allowed boolean", arrow)
 
     def fold(rows):
         limiter = Limiter(window, most)
         for r in rows:
             yield {"user_id": r["user_id"], "event_id": r["event_id"], "allowed": limiter.allow(r["at"])}
 
-    arrow = pa.schema([("user_id", pa.int64()), ("event_id", pa.int64()), ("allowed", pa.bool_())])
     return in_order(events.select("user_id", "event_id", "at"), "user_id", ["at", "event_id"], fold, "user_id long, event_id long, allowed boolean", arrow)
 
 

@@ -220,3 +220,66 @@ def test_term_search_matches_brute_force(spark):
     q = spark.createDataFrame(queries, "query_id long, text string")
     assert {(r.query_id, r["rank"]): r.doc_id for r in search.bm25(d, q, 7).collect()} == want
     assert search.bm25(d, q.limit(0), 7).count() == 0 and search.bm25(d.limit(0), q, 7).count() == 0
+
+
+def test_global_rate_limit_matches_a_plain_loop(spark):
+    from tessera.streaming import guards
+
+    rng = np.random.default_rng(6)
+    rows = sorted((float(rng.integers(0, 400)), int(rng.integers(0, 6)), i) for i in range(600))
+    want, own, every = {}, {}, []
+    for at, user, i in sorted(rows, key=lambda r: (r[0], r[2])):
+        every = [t for t in every if t >= at - 60]
+        own[user] = [t for t in own.get(user, []) if t >= at - 60]
+        want[i] = len(every) < 40 and len(own[user]) < 9
+        if want[i]:
+            every.append(at)
+            own[user].append(at)
+    events = spark.createDataFrame([(u, i, at) for at, u, i in rows], "user_id long, event_id long, at double").repartition(4)
+    assert {r.event_id: r.allowed for r in guards.limit_rate(events, 60.0, 9, everybody=40).collect()} == want
+
+
+def test_retrieval_report_matches_a_plain_loop(spark):
+    import collections
+
+    from tessera.operators import evaluation as E
+
+    rng = np.random.default_rng(8)
+    sections = [(s, s // 10, 1, ["a", str(s // 5)], None if s % 7 == 0 else s // 5, s % 5) for s in range(60)]
+    by = {s[0]: s for s in sections}
+    queries = [(q, [None, "fact", "rule"][q % 3]) for q in range(60)]
+    gold = [(q, int(s) // 10, int(s)) for q in range(60) for s in rng.choice(70, 2, replace=False)]
+    predicted = [(q, r, int(s) // 10, int(s)) for q in range(55) for r, s in enumerate(rng.choice(65, int(rng.integers(1, 13)), replace=False), 1)]
+    want = {}
+    for q, kind in queries:
+        mine, docs, secs = [p for p in predicted if p[0] == q], {d for x, d, _ in gold if x == q}, {s for x, _, s in gold if x == q}
+        group = lambda s: (s[1], s[2], tuple(s[3]), s[4])
+
+        def first(ok):
+            return min((r for _, r, d, s in mine if r <= 10 and ok(d, s)), default=None)  # noqa: B023
+
+        def related(s, near):
+            if s not in by:
+                return False
+            return any(s == g or (by[s][4] is not None and group(by[s]) == group(by[g]) and (not near or abs(by[s][5] - by[g][5]) <= 1)) for g in secs if g in by)  # noqa: B023
+
+        doc, sec = first(lambda d, s: d in docs), first(lambda d, s: s in secs)
+        known = any(g in by for g in secs)
+        par, nei = (first(lambda d, s: related(s, False)), first(lambda d, s: related(s, True))) if known else (sec, sec)
+        same = any(s in by and by[s][1] in docs for _, _, _, s in mine)
+        miss = "doc_miss" if doc is None else "same_parent_neighbor" if nei else "same_parent_non_neighbor" if par else "same_doc_other_section" if same else "section_miss_other"
+        want[q] = (kind or "unknown", doc, sec, par, nei, len(mine), None if sec else miss)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    details = E.retrieval_details(
+        frame(queries, "query_id int, question_type string"), frame(predicted, "query_id int, rank int, doc_id int, section_id int"), frame(gold, "query_id int, doc_id int, section_id int"),
+        frame(sections, "section_id int, doc_id int, source_id int, toc_path array<string>, parent_section_id int, window_index int"), 10,
+    )
+    assert {r.query_id: tuple(r)[1:] for r in details.collect()} == want
+    report = {r.question_type: r for r in E.retrieval_report(details, 10).collect()}
+    assert report.keys() == {None, "fact", "rule", "unknown"} and "doc_hit_20" not in report[None].asDict()
+    for kind, r in report.items():
+        own = [w for w in want.values() if kind in (None, w[0])]
+        share = lambda i, k: sum(w[i] is not None and w[i] <= k for w in own) / len(own)  # noqa: B023, E731
+        assert r.queries == len(own) and abs(r.section_hit_5 - share(2, 5)) < 1e-5 and abs(r.neighbor_hit_10 - share(4, 10)) < 1e-5
+        assert abs(r.doc_mrr - sum(1 / w[1] for w in own if w[1]) / len(own)) < 1e-5 and (r.candidates_min, r.candidates_max) == (min(w[5] for w in own), max(w[5] for w in own))
+        assert collections.Counter(w[6] for w in own if w[6]) == {c: n for c in ("doc_miss", "same_parent_neighbor", "same_parent_non_neighbor", "same_doc_other_section", "section_miss_other") if (n := r[c])}

@@ -131,3 +131,68 @@ def test_sandbox_results_and_time_limit(spark):
     with pytest.raises(sandbox.SqlTimeout):
         sandbox.compute(big, "SELECT count(DISTINCT repeat(CAST(s.x AS STRING), 9)) FROM sheet s JOIN sheet t ON s.x = t.x + 1", seconds=0.5)
     assert sandbox.compute(spark.range(2).toDF("x"), "SELECT sum(x) AS s FROM sheet", seconds=60).rows == [["1"]]
+
+
+class Speaker:
+    def generate_text(self, prompt):
+        if prompt == "fail":
+            raise KeyError("tired")
+        return f'Sure: {{"n": {len(prompt)}}} bye'
+
+    def extract(self, image):
+        return image.decode()
+
+
+def test_reasons_structure_and_images(spark):
+    df = spark.createDataFrame([(1, "ab", bytearray(b"x")), (2, "fail", None)], "k int, t string, b binary")
+    got = df.select("k", hooks.told(Speaker)("t").alias("g"), hooks.structured_generator(Speaker, "n int", ("n",))("t").alias("s"), hooks.described(Speaker)("b").alias("o")).orderBy("k").collect()
+    assert got[0].g.text.startswith("Sure") and got[0].s.n == 2 and got[0].o == "x" and got[1].g.text is None and got[1].g.error == "KeyError: 'tired'" and got[1].s is None and got[1].o is None
+    assert hooks.picked("chat", None, {}, {"chat": "c"}, {"PROVIDER_CHAT": "e"}) == "c" and hooks.picked("chat", None, {}, {}, {"PROVIDER_CHAT": "e"}) == "e" and hooks.picked("x", None, {}, {}, {}, "d") == "d"
+
+
+def test_compute_loop_and_written_attempts(spark, tmp_path):
+    sheet = spark.range(4).toDF("x")
+    said = iter(['<compute_request>{"asset_id": 7, "sql": "SELECT sum(x) AS s FROM sheet"}</compute_request>', "it is 6", "plain", '<compute_request>{"asset_id": 9, "sql": "DROP x"}</compute_request>', "no"])
+    prompts = []
+
+    def model(prompt):
+        prompts.append(prompt)
+        return next(said)
+
+    assert loops.answered({"a": "A", "b": "B", "c": "C"}, model, lambda name: sheet) == {"a": "it is 6", "b": "plain", "c": "no"}
+    assert "| s |\n|---|\n| 6 |" in prompts[1] and "SqlRejected" in prompts[4]
+    out = loops.results([("a", "SELECT nope FROM sheet"), ("b", "SELECT 1 AS k"), ("c", "SELECT 1")], lambda n: None if n == "c" else sheet)
+    assert out["a"][0] is None and "AnalysisException" in out["a"][1] and out["b"][0].rows == [["1"]] and out["c"] == (None, "no such asset")
+    calls = spark.sparkContext.accumulator(0)
+
+    def attempt(tasks, n):
+        def count(batches):
+            for b in batches:
+                calls.add(b.num_rows)
+                yield b
+
+        return tasks.mapInArrow(count, tasks.schema).select("task_id", (F.col("task_id") <= n).alias("accepted"), F.lit(n).alias("result"))
+
+    done = loops.retried(spark.createDataFrame([(1,), (2,), (3,)], "task_id int"), attempt, 4, str(tmp_path))
+    assert sorted((r.task_id, r.attempts) for r in done.collect()) == [(1, 1), (2, 2), (3, 3)] and done.count() == 3 and calls.value == 6
+
+
+def test_files_and_records(spark, tmp_path):
+    for name in ("b.MD", "a.txt", ".hidden.txt", "c.xls", "d.webp", "sub/e.pdf"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    found = [(r.file_name, r.source_type, r.title) for r in files.discover(spark, str(tmp_path / "in"), "me").collect()]
+    assert found == [("a.txt", "plain_text", "a"), ("b.MD", "markdown", "b"), ("d.webp", "image", "d"), ("e.pdf", "pdf", "e")]
+    assert len(files.discover(spark, str(tmp_path / "in"), "me", recursive=False).collect()) == 3
+    types = spark.createDataFrame([("x.md", "markdown"), ("x.bin", "web"), ("x.pdf", None)], "l string, d string").select(files.declared_type(F.col("l"), F.col("d")).alias("t")).collect()
+    assert [r.t for r in types] == ["markdown", "web", "pdf"]
+    with pytest.raises(Exception, match="declared as web"):
+        spark.createDataFrame([("x.md", "web")], "l string, d string").select(files.declared_type(F.col("l"), F.col("d"))).collect()
+    (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\n1\td1\t2\n2\td2\t\n")
+    (tmp_path / "q.jsonl").write_text('{"qid": "1", "pid": "p", "score": 1}\n{"query_id": "2", "doc_id": "d", "relevance": 3}\n')
+    assert [tuple(r) for r in files.read_qrels(spark, str(tmp_path / "q.tsv")).orderBy("query_id").collect()] == [("1", "d1", 2), ("2", "d2", 0)]
+    assert [tuple(r) for r in files.read_qrels_jsonl(spark, str(tmp_path / "q.jsonl")).orderBy("query_id").collect()] == [("1", "p", 1), ("2", "d", 3)]
+    docs = spark.createDataFrame([(1, None, "t", None), (2, "T", " ", {"benchmark_doc_id": "x"})], "doc_id long, title string, text string, metadata map<string,string>")
+    assert [(r.title, r.text, r.metadata) for r in files.with_defaults(docs).orderBy("doc_id").collect()] == [("1", "t", {"benchmark_doc_id": "1"}), ("T", "T", {"benchmark_doc_id": "x"})]
+    old = spark.createDataFrame([(1, "a")], "run int, note string")
+    assert files.append_rows(old, spark.createDataFrame([(2, 0.5)], "run int, ndcg double")).columns == ["run", "note", "ndcg"]
