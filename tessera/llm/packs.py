@@ -19,8 +19,8 @@ from tessera.llm.common import blocks
 PACK = 1 << 22
 LAST = np.iinfo(np.int64).max
 #: A bucket gets the messages of so many packs' worth of entries, so it doesn't grow with the corpus.
-PACKS_PER_BUCKET = 6
-FEW_PACKS = 48
+PACKS_PER_BUCKET = 4
+FEW_PACKS = 8
 
 
 def bucket_count(packs: DataFrame) -> int:
