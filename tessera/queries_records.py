@@ -10,6 +10,7 @@ from tessera.functions import spans
 from tessera.functions import text as T
 from tessera.functions import structured
 from tessera.operators import context
+from tessera.operators.order import numbered
 from tessera.queries_text import windows_sql
 from tessera.runtime import ship
 
@@ -80,7 +81,7 @@ def upsert_natural_key(spark, sf):
     old = c.where("c_custkey % 3 > 0").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("old_v"))
     new = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), (F.col("c_acctbal") + 1).alias("new_v"))
     known = old.join(new, "name", "left").select("id", "name", F.coalesce("new_v", "old_v").alias("v"))
-    fresh = new.join(old, "name", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("name"))).crossJoin(F.broadcast(old.agg(F.max("id").alias("top"))))
+    fresh = numbered(new.join(old, "name", "left_anti"), "n", [F.col("name")]).crossJoin(F.broadcast(old.agg(F.max("id").alias("top"))))
     return known.union(fresh.select(F.col("top") + F.col("n"), "name", "new_v")).select("id", "name", F.round("v", 2).alias("v"))
 
 

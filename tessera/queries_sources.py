@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,16 +9,10 @@ from pyspark.sql.window import Window
 from tessera.catalog import query, table
 from tessera.functions import text as T
 from tessera.operators import tables
-from tessera.runtime import ship
+from tessera.runtime import shared_path, ship
 from tessera.sources import files, web
 
 
-def scratch(spark, tag: str) -> str:
-    """A new folder below the one that the session names for checkpoints, so driver and executors share it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
-
-
 # --- tables ------------------------------------------------------------------------------------
 
 
@@ -126,14 +118,14 @@ def object_store_keys(spark, sf):
 
 @query("parquet_roundtrip", "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY p_brand")
 def parquet_roundtrip(spark, sf):
-    path = scratch(spark, "asset")
+    path = shared_path(spark, "asset")
     table(spark, sf, "part").write.partitionBy("p_brand").parquet(path)
     return spark.read.parquet(path).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
 @query("jsonl_export", "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents")
 def jsonl_export(spark, sf):
-    path = scratch(spark, "jsonl")
+    path = shared_path(spark, "jsonl")
     table(spark, sf, "documents").select("doc_id", "lang", "text").write.json(path)
     return spark.read.schema("doc_id long, lang string, text string").json(path).select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -141,7 +133,7 @@ def jsonl_export(spark, sf):
 @query("csv_history", "SELECT user_id AS run, count(*) AS n, CASE WHEN user_id % 2 = 0 THEN round(avg(value), 6) END AS extra FROM events GROUP BY 1")
 def csv_history(spark, sf):
     """Runs appended to a history whose later rows have one column more."""
-    path = scratch(spark, "history")
+    path = shared_path(spark, "history")
     g = table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("extra"))
     g.where("run % 2 = 1").select("run", "n").write.option("header", True).csv(f"{path}/width=2")
     g.where("run % 2 = 0").select("run", "n", "extra").write.option("header", True).csv(f"{path}/width=3")
@@ -151,7 +143,7 @@ def csv_history(spark, sf):
 
 @query("orc_roundtrip", "SELECT c_mktsegment, count(*) AS n, round(min(c_acctbal), 2) AS low FROM customer GROUP BY 1")
 def orc_roundtrip(spark, sf):
-    path = scratch(spark, "orc")
+    path = shared_path(spark, "orc")
     table(spark, sf, "customer").write.orc(path)
     return spark.read.orc(path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("c_acctbal"), 2).alias("low"))
 
@@ -159,7 +151,7 @@ def orc_roundtrip(spark, sf):
 @query("binary_objects", "SELECT n_nationkey, sha256(n_name || chr(10)) AS object_hash FROM nation")
 def binary_objects(spark, sf):
     """Objects written to the store and read back as bytes, by partition folder."""
-    path = scratch(spark, "objects")
+    path = shared_path(spark, "objects")
     table(spark, sf, "nation").select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     return f.select(F.regexp_extract("path", "n_nationkey=(\\d+)", 1).cast("int").alias("n_nationkey"), F.sha2("content", 256).alias("object_hash"))
@@ -175,7 +167,7 @@ def qrels(spark, sf):
 @query("qrels_prepare", f"WITH {_QRELS} SELECT q.query_id, q.doc_id, q.relevance FROM qrels q JOIN benchmark b ON b.item_id = q.query_id WHERE q.relevance > 0")
 def qrels_prepare(spark, sf):
     """Judgments through a tab-separated file; queries without a positive one go."""
-    path = scratch(spark, "qrels")
+    path = shared_path(spark, "qrels")
     qrels(spark, sf).write.option("sep", "\t").option("header", True).csv(path)
     queries = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"))
     kept, positive = files.prepared(queries, files.read_qrels(spark, path))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.catalog import query, table
+from tessera.operators.order import numbered
 from tessera.streaming import events as E
 from tessera.streaming import guards
 
@@ -37,8 +37,10 @@ def _priority():
 
 @query("claim_order", f"SELECT user_id AS queue, event_id, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_PRIORITY}, ts, event_id) AS r FROM events)")
 def claim_order(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(_priority(), "ts", "event_id")
-    return table(spark, sf, "events").select(F.col("user_id").alias("queue"), "event_id", F.row_number().over(w).alias("place"))
+    """The place of every task in its queue; a long queue is dealt over many tasks."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("queue"), "event_id", "ts", _priority().alias("priority"))
+    placed = numbered(e, "place", [F.col("priority"), F.col("ts"), F.col("event_id")], ["queue"])
+    return placed.select("queue", "event_id", F.col("place").cast("int").alias("place"))
 
 
 @query(
@@ -54,9 +56,8 @@ def lease_claim(spark, sf):
     e = e.crossJoin(F.broadcast(now))
     pending = F.col("event_type").isin("error", "purchase", "view") & (F.col("at") + F.least(5 * F.greatest("attempts", F.lit(1)), F.lit(300)) <= F.col("now"))
     expired = (F.col("event_type") == "click") & (F.col("at") + 600 <= F.col("now"))
-    order = Window.partitionBy("user_id").orderBy(_priority(), "ts", "event_id")
-    free = e.where(pending | expired).withColumn("r", F.row_number().over(order)).where("r = 1")
-    return free.select(F.col("user_id").alias("queue"), "event_id", (F.col("attempts") + 1).alias("attempts"))
+    free = e.where(pending | expired).groupBy(F.col("user_id").alias("queue")).agg(F.min(F.struct(_priority().alias("priority"), "ts", "event_id", "attempts")).alias("first"))
+    return free.select("queue", "first.event_id", (F.col("first.attempts") + 1).alias("attempts"))
 
 
 @query(

@@ -1,9 +1,10 @@
-"""Makes the package importable on executors."""
+"""Makes the package importable on executors, and names folders that they share with the driver."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder below the one that the session names for checkpoints. Where none is named, local mode
+    gets a folder of this machine; a cluster gets an error, as its executors could not see that."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share with the driver")
+        root = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out if the scan has fewer tasks than there are cores, as with a small file of one row
     group; a large table has more tasks than that and is left as it is."""
