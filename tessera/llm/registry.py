@@ -19,6 +19,8 @@ _ENTRIES = (
     ("quality_classifier", "op8_quality_classifier", None),
     ("lm_scoring", "op9_lm_scoring", None),
     ("repeats", "op10_suffix_dedup", None),
+    ("divergence", "op11_source_divergence", "OP11_SQL"),
+    ("importance", "op12_importance_resampling", "OP12_SQL"),
 )
 
 
