@@ -21,6 +21,7 @@ _ENTRIES = (
     ("repeats", "op10_suffix_dedup", None),
     ("divergence", "op11_source_divergence", "OP11_SQL"),
     ("importance", "op12_importance_resampling", "OP12_SQL"),
+    ("main_text", "op13_html_extraction", "OP13_SQL"),
 )
 
 
