@@ -1,9 +1,10 @@
 """Guarded SQL over one table: the text must be a single SELECT over the view `sheet`.
 
-The statement is read token by token before Spark sees it. It may name no relation but `sheet`,
-its own common table expressions and subqueries, and call no function but those listed here, so
-neither files, tables, other views, table functions, user-defined functions nor reflection are in
-reach. What it then runs in has no path relations.
+Spark parses the statement, and its plan is walked before it is analysed: every node and expression
+must be of a listed class, every relation the sheet or a common table expression that is in scope
+there, every function a listed one. What the analyser makes of it is walked again: all leaves must be
+the sheet's, and no user-defined function, reflection, session variable or name of the session may
+have taken the place of a column or of a listed function.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import threading
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words that a statement may not hold, in upper or lower case, literals included.
@@ -31,7 +34,7 @@ FUNCTIONS = frozenset(
     "listagg max max_by mean median min min_by mode nth_value ntile percent_rank percentile percentile_approx percentile_cont percentile_disc quantile rank regr_intercept regr_slope row_number skewness some "
     "std stddev stddev_pop stddev_samp string_agg sum try_avg try_sum var_pop var_samp variance "
     # numbers
-    "abs acos asin atan atan2 cbrt ceil ceiling cos degrees exp floor greatest hypot least ln log log10 log2 mod negative pi pmod positive pow power radians round bround sign signum sin sqrt tan trunc try_add "
+    "between abs acos asin atan atan2 cbrt ceil ceiling cos degrees exp floor greatest hypot least ln log log10 log2 mod negative pi pmod positive pow power radians round bround sign signum sin sqrt tan trunc try_add "
     "try_divide try_multiply try_subtract width_bucket "
     # texts
     "ascii btrim char char_length character_length chr concat concat_ws contains endswith initcap instr left length levenshtein like locate lower lcase lpad ltrim octet_length overlay position printf "
@@ -44,15 +47,33 @@ FUNCTIONS = frozenset(
     "array array_agg array_contains array_distinct array_join array_max array_min array_size array_sort bigint boolean cast char coalesce collect_list collect_set decimal double element_at float if "
     "ifnull int isnan isnotnull isnull nanvl nullif nvl nvl2 size smallint sort_array string tinyint try_cast to_number try_to_number typeof varchar zeroifnull".split()
 )
-#: Words that may stand before a parenthesis without being a function.
-_OPENERS = frozenset(
-    "exists select all distinct from join on where and or not in by having when then else case end between as over union intersect except any some filter group sets cube rollup grouping limit offset "
-    "within order using inner left right full outer cross semi anti like rlike regexp ilike is null rows range window qualify lateral partition with recursive sheet interval numeric dec".split()
+#: Classes of the parser's plans that a statement may consist of.
+_NODES = frozenset(
+    "Aggregate Distinct Except Filter GlobalLimit Intersect Join LimitAll LocalLimit LocalRelation Offset OneRowRelation Project Sort SubqueryAlias Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation "
+    "UnresolvedSubqueryColumnAliases UnresolvedWith WithWindowDefinition".split()
 )
-#: Functions whose arguments may be parted by FROM.
-_FROM_INSIDE = frozenset("extract trim substring substr overlay position".split())
-_BARRED = {"table", "values", "lateral", "tablesample", "current_user", "session_user", "current_catalog", "current_database", "current_schema", "identifier"}
-_TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|(?P<text>[rR]?'(?:[^'\\]|\\.|'')*'|[rR]?\"(?:[^\"\\]|\\.|\"\")*\")|`(?P<quoted>(?:[^`]|``)*)`|(?P<word>[^\W\d]\w*)|(?P<number>\d+(?:\.\d*)?(?:[eE][-+]?\d+)?\w*|\.\d+)|(?P<sign>\|>|[^\s'\"`])", re.S)
+#: Classes of the parser's expressions that a statement may consist of.
+_EXPRESSIONS = frozenset(
+    # names and values
+    "Alias AttributeReference Cast CreateNamedStruct Literal UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedOrdinal UnresolvedStar UnresolvedStarExceptOrReplace "
+    # numbers, comparisons and texts
+    "Add And BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Concat Divide EqualNullSafe EqualTo GreaterThan GreaterThanOrEqual ILike If In IntegralDivide IsNotNull IsNull LessThan LessThanOrEqual Like "
+    "LikeAll LikeAny Multiply Not NotLikeAll NotLikeAny Or Overlay RLike Remainder StringLocate StringTrim StringTrimBoth StringTrimLeft StringTrimRight Substring Subtract TimestampAdd TimestampDiff UnaryMinus UnaryPositive "
+    # groups, orders and windows
+    "Cube CurrentRow GroupingSets Rollup SortOrder SpecifiedWindowFrame UnboundedFollowing UnboundedPreceding UnresolvedWindowExpression UnspecifiedFrame WindowExpression WindowSpecDefinition "
+    # subqueries
+    "Exists InSubquery ListQuery ScalarSubquery".split()
+)
+#: Leaves of an analysed plan that hold nothing from outside of the statement.
+_LEAVES = frozenset(("CTERelationRef", "LocalRelation", "OneRowRelation", "UnionLoopRef"))
+#: Names that are values of the session where no column has them.
+_SESSION = frozenset("current_user session_user current_catalog current_database current_schema current_path".split())
+#: Analysed expressions that reach beyond the sheet.
+_OUTSIDE = frozenset(
+    "CallMethodViaReflection TryReflect CurrentCatalog CurrentDatabase CurrentUser InputFileBlockLength InputFileBlockStart InputFileName PythonUDAF PythonUDF PythonUDTF ScalaAggregator ScalaUDAF ScalaUDF "
+    "SparkVersion SQLFunctionExpression SQLScalarFunction UserDefinedExpression VariableReference".split()
+)
+_TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|[rR]?'(?:[^'\\]|\\.|'')*'|[rR]?\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|(?P<sign>\|>|;)|.", re.S)
 
 
 class SqlRejected(ValueError):
@@ -63,80 +84,77 @@ class SqlTimeout(RuntimeError):
     pass
 
 
-@dataclass
-class _Scope:
-    """What stands between a pair of parentheses: whether a relation has to come, and whether commas part relations."""
-
-    expects: bool = False
-    listing: bool = False
-    call: str = ""
-    names: set[str] = field(default_factory=set)
-
-
-def _tokens(text: str) -> Iterator[tuple[str, str]]:
-    at = 0
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise SqlRejected(f"unreadable at {text[at:at + 10]!r}")
-        at = m.end()
-        if m.lastgroup:
-            yield m.lastgroup, m[m.lastgroup]
-
-
-def _checked(tokens: list[tuple[str, str]]) -> None:
-    """Raises SqlRejected where a token reaches beyond `sheet` and the listed functions."""
-    scopes, known = [_Scope()], {"sheet"}
-    words = [x.lower() if k == "word" else x for k, x in tokens]
-    if "window" not in words:  # whose names are no relations
-        known |= {w for v, w, x, y in zip(words, words[1:], words[2:], words[3:]) if v in ("with", "recursive", ",") and x == "as" and y == "("}
-    for i, (kind, token) in enumerate(tokens):
-        low, scope = token.lower() if kind == "word" else token, scopes[-1]
-        before = tokens[i - 1] if i else ("", "")
-        after = tokens[i + 1] if i + 1 < len(tokens) else ("", "")
-        if kind == "sign" and token in ("|>", ";", "$", "{", "}", ":", "?", "@"):
-            raise SqlRejected(f"{token} is not allowed")
-        if kind == "word" and low in _BARRED and before[1] != ".":
-            raise SqlRejected(f"{token} is not allowed")
-        if kind == "word" and low == "using" and after[0] == "text":
-            raise SqlRejected("scripts are not allowed")
-        if scope.expects and token != "(":
-            if kind not in ("word", "quoted") or token.lower() not in known and low != "select" and low != "with" or after[1] in (".", "("):
-                raise SqlRejected(f"{token} is not the sheet")
-            scope.expects = False
-            if low in ("select", "with"):
-                scope.listing = False
-            continue
-        if kind in ("word", "quoted") and after[1] == "(":
-            name = token.lower()
-            if before[1] == "." or kind == "quoted" or name not in FUNCTIONS and name not in _OPENERS and name not in known and before[1].lower() not in ("as", "with", ",", ")"):
-                raise SqlRejected(f"{token} is not a function here")
-            if name not in FUNCTIONS and name not in _OPENERS and not (after[1] == "(" and name in known):
-                raise SqlRejected(f"{token} is not a function here")
-        if token == "(" and kind == "sign":
-            inner = _Scope(call=before[1].lower() if before[1].lower() in _FROM_INSIDE else "")
-            if scope.expects:  # a subquery or relations in parentheses
-                scope.expects, inner.expects, inner.listing = False, True, True
-            scopes.append(inner)
-        elif token == ")" and kind == "sign":
-            if len(scopes) == 1:
-                raise SqlRejected("a parenthesis is missing")
-            scopes.pop()
-        elif token == "," and scope.listing:
-            scope.expects = True
-        elif kind == "word" and low == "from" and not scope.call and before[1].lower() != "distinct":
-            scope.expects = scope.listing = True
-        elif kind == "word" and low == "join":
-            scope.expects = True
-        elif kind == "word" and low in ("where", "group", "having", "order", "limit", "union", "intersect", "except", "select", "window", "qualify"):
-            scope.listing = False
-            scope.call = ""
-    if len(scopes) > 1:
-        raise SqlRejected("a parenthesis is missing")
-
-
-def validate(sql: str) -> str:
-    """The statement without white space and semicolon at its end, or SqlRejected."""
+def _items(found: JavaObject) -> Iterator[JavaObject]:
+    for i in range(found.size()):
+        yield found.apply(i)
+
+
+def _class(found: JavaObject) -> str:
+    return found.getClass().getSimpleName().rstrip("$")
+
+
+def _check_parsed(node: JavaObject, known: frozenset[str]) -> None:
+    """Raises SqlRejected where an unresolved plan reaches beyond `known`, the relations in scope, and the listed functions."""
+    kind = _class(node)
+    if kind not in _NODES:
+        raise SqlRejected(f"{kind} is not allowed")
+    if kind == "UnresolvedRelation":
+        name = [str(x).lower() for x in _items(node.multipartIdentifier())]
+        if len(name) != 1 or name[0] not in known:
+            raise SqlRejected(f"{'.'.join(name)} is not the sheet")
+    if kind == "UnresolvedWith":  # a common table expression sees those before it, and itself where it is recursive
+        for own in _items(node.innerChildren()):
+            name = str(own.alias()).lower()
+            _check_parsed(own, known | {name} if node.allowRecursion() else known)
+            known = known | {name}
+    if kind == "WithWindowDefinition":
+        for e in _items(node.windowDefinitions().values().toSeq()):
+            _check_expression(e, known)
+    for e in _items(node.expressions()):
+        _check_expression(e, known)
+    for child in _items(node.children()):
+        _check_parsed(child, known)
+
+
+def _check_expression(found: JavaObject, known: frozenset[str]) -> None:
+    kind = _class(found)
+    if kind not in _EXPRESSIONS:
+        raise SqlRejected(f"{kind} is not allowed")
+    if kind == "UnresolvedFunction":
+        name = [str(x).lower() for x in _items(found.nameParts())]
+        if len(name) != 1 or name[0] not in FUNCTIONS:
+            raise SqlRejected(f"{'.'.join(name)} is not a function here")
+    if kind == "UnresolvedAttribute":
+        name = [str(x).lower() for x in _items(found.nameParts())]
+        if "_metadata" in name or len(name) == 1 and name[0] in _SESSION:
+            raise SqlRejected(f"{'.'.join(name)} is not a column")
+    if kind in ("Exists", "ListQuery", "ScalarSubquery"):
+        _check_parsed(found.plan(), known)
+    for child in _items(found.children()):
+        _check_expression(child, known)
+
+
+def _check_analysed(node: JavaObject, sheet: str) -> None:
+    """Raises SqlRejected where an analysed plan has a leaf or an expression that isn't the sheet's or the statement's own."""
+    kind = _class(node)
+    if kind == "SubqueryAlias" and str(node.alias()).lower() == sheet:
+        return
+    if node.children().isEmpty() and kind not in _LEAVES:
+        raise SqlRejected(f"{kind} is not the sheet")
+    stack = list(_items(node.expressions()))
+    while stack:
+        found = stack.pop()
+        if _class(found) in _OUTSIDE:
+            raise SqlRejected(f"{_class(found)} is not allowed")
+        if _class(found) in ("Exists", "ListQuery", "ScalarSubquery", "LateralSubquery"):
+            _check_analysed(found.plan(), sheet)
+        stack.extend(_items(found.children()))
+    for child in _items(node.children()):
+        _check_analysed(child, sheet)
+
+
+def validate(sql: str, spark: SparkSession | None = None) -> str:
+    """The statement without white space and semicolon at its end, or SqlRejected. Spark's parser reads it."""
     text = (sql or "").strip()
     if not text:
         raise SqlRejected("empty statement")
@@ -147,19 +165,28 @@ def validate(sql: str) -> str:
     if "${" in text:
         raise SqlRejected("variables are not allowed")
     text = text.removesuffix(";").rstrip()
-    _checked(list(_tokens(text)))
+    if any(m.lastgroup for m in _TOKEN.finditer(text)):
+        raise SqlRejected("only one statement without pipes is allowed")
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except ParseException as error:
+        raise SqlRejected(f"unreadable: {str(error).splitlines()[0]}") from error
+    _check_parsed(plan, frozenset(("sheet",)))
     return text
 
 
 def select(sheet: DataFrame, sql: str) -> DataFrame:
     """The result of a guarded statement over `sheet`."""
-    text = validate(sql)
     spark, name = sheet.sparkSession, f"sheet_{uuid.uuid4().hex}"
+    text = validate(sql, spark)
     on_files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     sheet.createOrReplaceTempView(name)
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(f"WITH sheet AS (SELECT * FROM {name}) {text}")
+        out = spark.sql(f"WITH sheet AS (SELECT * FROM {name}) {text}")
+        _check_analysed(out._jdf.queryExecution().analyzed(), name)
+        return out
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", on_files)
         spark.catalog.dropTempView(name)

@@ -196,3 +196,22 @@ def test_files_and_records(spark, tmp_path):
     assert [(r.title, r.text, r.metadata) for r in files.with_defaults(docs).orderBy("doc_id").collect()] == [("1", "t", {"benchmark_doc_id": "1"}), ("T", "T", {"benchmark_doc_id": "x"})]
     old = spark.createDataFrame([(1, "a")], "run int, note string")
     assert files.append_rows(old, spark.createDataFrame([(2, 0.5)], "run int, ndcg double")).columns == ["run", "note", "ndcg"]
+
+
+def test_sandbox_reads_nothing_of_the_session(spark):
+    """What passes the parser is held against the analysed plan too: views, functions and variables of the session."""
+    from tessera.plans.sandbox import SqlRejected, select
+
+    spark = spark.newSession()  # whose functions and variables are its own
+    sheet = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    spark.createDataFrame([(7, "hidden")], "id long, name string").createOrReplaceTempView("secret")
+    spark.udf.register("abs", lambda x: "from a function of the session")
+    spark.sql("DECLARE OR REPLACE VARIABLE inner_value STRING DEFAULT 'hidden'")
+    for bad in ("SELECT inner_value FROM sheet", "SELECT abs(id) FROM sheet", "SELECT user FROM sheet", "SELECT id FROM sheet WHERE id = (SELECT max(abs(id)) FROM sheet)", "SELECT * FROM secret"):
+        with pytest.raises(SqlRejected):
+            select(sheet, bad)
+    good = "SELECT s.id, t.n FROM (WITH secret AS (SELECT id FROM sheet) SELECT * FROM secret) s JOIN (SELECT id, count(*) AS n FROM sheet GROUP BY ALL) t USING (id) ORDER BY 1"
+    assert [tuple(r) for r in select(sheet, good).collect()] == [(1, 1), (2, 1)]
+    assert select(sheet.withColumnRenamed("name", "user"), "SELECT user FROM sheet ORDER BY 1").collect()[0][0] == "a"
+    loop = "SELECT * FROM (WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r)"
+    assert sorted(r[0] for r in select(sheet, loop).collect()) == [1, 2, 3]
