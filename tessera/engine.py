@@ -1,7 +1,8 @@
 """The engine as one object: documents in, ranked evidence and answers out, over tables in one folder.
 
-Tables are of the store (documents, sections), so each change is one commit. Every method takes and
-returns DataFrames and works on all rows at once.
+Tables are of the store (documents, sections), so each change is one commit. Texts are cut, tokenised and
+embedded when they come in: sections hold their vectors, the index of terms what can be found. Every
+method takes and returns DataFrames and works on all rows at once.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import answers, evaluation, fusion, search, sections
+from tessera.operators.postings import Postings
 from tessera.plans import policy
 from tessera.runtime import ship
 from tessera.sources import files
@@ -60,6 +62,7 @@ class Engine:
         self.spark, self.config = spark, config
         self.documents = Store(spark, f"{root}/documents", ["doc_id"], "shard")
         self.sections = Store(spark, f"{root}/sections", ["section_id"], "shard")
+        self.postings = Postings(spark, f"{root}/postings")  # of the sections that are shown
         ship(spark)
 
     # --- in ------------------------------------------------------------------------------------
@@ -68,9 +71,27 @@ class Engine:
         parts = sections.refine(documents, "doc_id", "text", self.config.window_tokens, self.config.overlap_tokens)
         return parts.where(F.trim("section_text") != "").select(
             F.concat_ws(":", F.col("doc_id").cast("string"), F.col("window_index").cast("string")).alias("section_id"), "doc_id", F.col("window_index").alias("order_index"),
-            "window_count", "char_start", "char_end", "section_text", F.pmod("doc_id", F.lit(64)).alias("shard"),
+            "window_count", "char_start", "char_end", "section_text", self._vector("section_text"), F.pmod("doc_id", F.lit(64)).alias("shard"),
         )
 
+    def _vector(self, text: str) -> Column:
+        found = self.config.embed(text).cast("array<double>") if self.config.embed else F.lit(None).cast("array<double>")
+        return found.alias("vector")
+
+    def _changed(self):
+        return transaction(self.documents, self.sections, self.postings.log)
+
+    def _show(self, doc_ids: DataFrame) -> None:
+        """Puts the stored sections of documents into the index of terms."""
+        own = self.sections.read().join(doc_ids, "doc_id", "left_semi")
+        self.postings.put(own.select(F.col("section_id").alias("doc_id"), F.col("section_text").alias("text")))
+
+    def _unlist(self, doc_ids: DataFrame) -> None:
+        """Takes the sections of documents out of the index of terms."""
+        stored = self.sections.read()
+        if stored is not None:
+            self.postings.remove(stored.join(doc_ids, "doc_id", "left_semi").select(F.col("section_id").alias("doc_id")))
+
     def ingest(self, documents: DataFrame) -> dict[str, int]:
         """Takes documents in (location, title, text, source_type); returns how many were processed, new, unchanged and empty.
 
@@ -92,12 +113,15 @@ class Engine:
             group = F.abs(F.xxhash64("location")) % (1 << 52)
             shard = F.pmod("doc_id", F.lit(64))
             added = fresh.select("*", group.alias("version_group_id"), F.lit(True).alias("is_active"), F.lit(True).alias("index_ready"), F.lit("published").alias("status"), shard.alias("shard"))
-            changed = added
+            changed, replaced = added, None
             if old is not None:
                 replaced = old.where("is_active").join(added.select("version_group_id").distinct(), "version_group_id", "left_semi")
                 changed = added.unionByName(replaced.withColumn("is_active", F.lit(False)).withColumn("index_ready", F.lit(False)))
-            with transaction(self.documents, self.sections):
+            with self._changed():
                 self.sections.replace_documents(self._sections_of(added))
+                if replaced is not None:
+                    self._unlist(replaced.select("doc_id"))
+                self._show(added.select("doc_id"))
                 self.documents.upsert(changed)  # seen last, when the sections are there
         return {"processed": n, "new": new, "unchanged": rows.count() - new, "empty": n - usable}
 
@@ -117,9 +141,11 @@ class Engine:
         """Hides documents and removes their sections; returns how many documents there were."""
         if not doc_ids or self.documents.read() is None:
             return 0
-        with transaction(self.documents, self.sections):
+        gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id long")
+        with self._changed():
             n = self._hide(doc_ids)
-            self.sections.delete(self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id long"))
+            self._unlist(gone)
+            self.sections.delete(gone)
         return n
 
     def rebuild(self, doc_ids: list[int]) -> int:
@@ -128,8 +154,9 @@ class Engine:
         own = stored.where(F.col("doc_id").isin(*doc_ids)) if stored is not None and doc_ids else None
         n = own.count() if own is not None else 0
         if n:
-            with transaction(self.documents, self.sections):
+            with self._changed():
                 self.sections.replace_documents(self._sections_of(own))
+                self._show(own.select("doc_id"))
                 self.documents.update(F.col("doc_id").isin(*doc_ids), {"is_active": F.lit(True), "index_ready": F.lit(True)})
         return n
 
@@ -138,20 +165,28 @@ class Engine:
     def visible_sections(self) -> DataFrame:
         docs, parts = self.documents.read(), self.sections.read()
         if docs is None or parts is None:
-            return self.spark.createDataFrame([], "section_id string, doc_id long, order_index int, section_text string, title string")
-        shown = docs.where(policy.visible(F.col("is_active"), F.col("index_ready"), F.col("status"))).select("doc_id", "title")
-        return parts.select("section_id", "doc_id", "order_index", "section_text").join(shown, "doc_id")
+            return self.spark.createDataFrame([], "section_id string, doc_id long, order_index int, section_text string, vector array<double>, title string, location string, source_type string")
+        shown = docs.where(policy.visible(F.col("is_active"), F.col("index_ready"), F.col("status"))).select("doc_id", "title", "location", "source_type")
+        vector = F.col("vector") if "vector" in parts.columns else self._vector("section_text")
+        return parts.select("section_id", "doc_id", "order_index", "section_text", vector.alias("vector")).join(shown, "doc_id")
+
+    def retrieve(self, queries: DataFrame, k: int | None = None, where: Column | None = None) -> DataFrame:
+        """query_id, section_id, doc_id, score, rank, branches, section_text: the k best sections of each query (query_id, text).
 
-    def retrieve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """query_id, section_id, doc_id, score, rank, branches, section_text: the k best sections of each query (query_id, text)."""
+        `where` is a condition on doc_id, title, location, source_type, section_id or order_index; what
+        doesn't meet it isn't searched. Neither stored texts nor their vectors are made anew.
+        """
         k = k or self.config.top_k
         parts = self.visible_sections()
-        as_docs = parts.select(F.col("section_id").alias("doc_id"), F.col("section_text").alias("text"))
+        if where is not None:
+            parts = parts.where(where)
+        narrowed = where is not None or self.postings.statistics()[0] != parts.count()
         cols = ["query_id", "item_id", "score", "rank"]
-        hits = search.bm25(as_docs, queries, 2 * k).withColumnRenamed("doc_id", "item_id").select(*cols).withColumn("branch", F.lit("section"))
+        found = self.postings.search(queries, 2 * k, parts.select(F.col("section_id").alias("doc_id")) if narrowed else None)
+        hits = found.withColumnRenamed("doc_id", "item_id").select(*cols).withColumn("branch", F.lit("section"))
         if self.config.embed:
-            items = as_docs.select(F.col("doc_id").alias("item_id"), self.config.embed("text").cast("array<double>").alias("vector"))
-            asked = queries.select("query_id", self.config.embed("text").cast("array<double>").alias("vector"))
+            items = parts.select(F.col("section_id").alias("item_id"), "vector")
+            asked = queries.select("query_id", self._vector("text"))
             hits = hits.unionByName(search.knn(items, asked, 2 * k).select(*cols).withColumn("branch", F.lit("vector")))
         fused = fusion.reciprocal_rank(hits, fusion.branch_weights(hits, self.config.alpha)).where(F.col("unified_rank") <= k)
         named = fused.select("query_id", F.col("item_id").alias("section_id"), F.col("fused_score").alias("score"), F.col("unified_rank").alias("rank"), F.array_sort(F.map_keys("branch_scores")).alias("branches"))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from tessera.catalog import query, table
 from tessera.functions import text as T
 from tessera.operators import fusion, search
+from tessera.operators.postings import Postings
+from tessera.runtime import shared_path
 
 
 def _knn_sql(items: str, queries: str, k: int) -> str:
@@ -100,6 +102,18 @@ def bm25_topk(spark, sf):
     return search.bm25(table(spark, sf, "documents"), _items(spark, sf), 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
+@query("postings_topk", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM bmr WHERE rank <= 10")
+def postings_topk(spark, sf):
+    """The same from a stored index of terms, after a third of the documents came in again with their changed texts and passing ones left."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index, again = Postings(spark, shared_path(spark, "postings")), docs.where("doc_id % 3 = 0")
+    passing = again.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index.put(docs.where("doc_id % 3 <> 0").unionByName(again.withColumn("text", F.reverse("text"))).unionByName(passing))
+    index.put(again)
+    index.remove(passing)
+    return index.search(_items(spark, sf), 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
 _HASHED = "list_transform(range(16), lambda k: ('0x' || substr(sha256(coalesce(text, '')), 2 * k + 1, 2))::INT / 255.0::DOUBLE)"
 _HASH_SEARCH = f"hd AS (SELECT doc_id AS id, {_HASHED} AS v, false AS z FROM documents), hq AS (SELECT item_id AS id, {_HASHED} AS v, false AS z FROM benchmark), hk AS ({_knn_sql('hd', 'hq', 20)})"
 

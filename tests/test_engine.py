@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.__main__ import main
 from tessera.engine import Engine, configured
+from tessera.functions import text as T
 
 
 def test_ingest_query_delete_rebuild(spark, tmp_path):
@@ -31,6 +33,31 @@ def test_ingest_query_delete_rebuild(spark, tmp_path):
     assert {r.query_id: r.hit for r in e.evaluate(asked, qrels, 1).collect()}[2] == 1
 
 
+def test_stored_texts_are_neither_embedded_nor_cut_again(spark, tmp_path):
+    from dataclasses import replace
+
+    calls = []
+
+    def embed(column):
+        calls.append(column)
+        return T.hash_embedding(column, 16)
+
+    e = Engine(spark, f"{tmp_path}/e", replace(configured(), embed=embed))
+    rows = [(f"p/{i}.md", f"T{i}", f"paper {i} tells of w{i % 7} and of w{i % 3}", "markdown" if i % 2 else "plain_text") for i in range(40)]
+    e.ingest(spark.createDataFrame(rows, "location string, title string, text string, source_type string"))
+    asked = spark.createDataFrame([(1, "w3 w1"), (2, "w6")], "query_id long, text string")
+    calls.clear()
+    whole = e.retrieve(asked, 5)
+    assert len(calls) == 1 and whole.count() == 10  # the queries' texts only
+    odd = {r.title for r in e.retrieve(asked, 5, F.col("source_type") == "markdown").collect()}
+    assert odd and all(int(t[1:]) % 2 for t in odd)
+    lexical = [r.title for r in e.retrieve(asked, 20, F.col("order_index") == 0).where("query_id = 2 and array_contains(branches, 'section')").collect()]
+    assert sorted(lexical) == sorted(f"T{i}" for i in range(40) if i % 7 == 6)
+    e.documents.update(F.col("location") == "p/6.md", {"is_active": F.lit(False)})  # hidden behind the index's back
+    lexical = [r.title for r in e.retrieve(asked, 20).where("query_id = 2 and array_contains(branches, 'section')").collect()]
+    assert sorted(lexical) == sorted(f"T{i}" for i in range(40) if i % 7 == 6 and i != 6)
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.md").write_text("# Title\n\nThe moon is made of rock.")
