@@ -80,8 +80,14 @@ def fragment(text: Column) -> Column:
     return F.trim(F.regexp_replace(flat, "[。！？.!?]$", ""))
 
 
+def _first_with_text(evidence: DataFrame, hits: int) -> DataFrame:
+    """The first `hits` items of each query that have text."""
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    return evidence.where(F.trim("text") != "").withColumn("__n", nth).where(F.col("__n") <= hits).drop("__n")
+
+
 def best_sentences(queries: DataFrame, evidence: DataFrame, hits: int = 6) -> DataFrame:
-    """query_id, answer: of the first `hits` items' sentences the one that has the query, most of its focus terms and of its terms.
+    """query_id, answer: of the sentences of the first `hits` items with text the one that has the query, most of its focus terms and of its terms.
 
     Commands aren't answers unless there is nothing else. queries: query_id, query, focus (terms; those
     of the query where empty or null), needs_structure. Evidence without a sentence answers with its first text.
@@ -90,7 +96,7 @@ def best_sentences(queries: DataFrame, evidence: DataFrame, hits: int = 6) -> Da
         "query_id", F.lower(T.strip("query")).alias("q"), T.search_terms("query").alias("terms"), "needs_structure",
         F.when(F.size(F.coalesce("focus", F.array().cast("array<string>"))) > 0, F.col("focus")).otherwise(focus_terms("query", GENERIC_ANSWER, 2)).alias("focus"),
     )
-    e = evidence.where((F.trim("text") != "") & (F.col("place") <= hits)).join(asked, "query_id")
+    e = _first_with_text(evidence, hits).join(asked, "query_id")
     s = e.select("*", F.posexplode(T.sentences("text")).alias("n", "sentence"))
     focus, plain = T.keyword_overlap(F.col("focus"), "sentence"), ~T.looks_command_like("sentence")
     exact = (F.col("q") != "") & F.contains(F.lower("sentence"), F.col("q"))
@@ -102,7 +108,7 @@ def best_sentences(queries: DataFrame, evidence: DataFrame, hits: int = 6) -> Da
 
 def structure_leads(queries: DataFrame, evidence: DataFrame, hits: int = 8) -> DataFrame:
     """query_id, answer: the lead of the item whose anchor, then text, has most of the focus terms; its first sentence with one of them, else its first that is no command."""
-    e = evidence.where((F.trim("text") != "") & (F.col("place") <= hits)).join(queries.select("query_id", "focus"), "query_id")
+    e = _first_with_text(evidence, hits).join(queries.select("query_id", "focus"), "query_id")
     s = e.select("*", T.sentences("text").alias("ss"))
     usable = F.filter("ss", lambda x: ~T.looks_command_like(x))
     named = F.filter(usable, lambda x: T.keyword_overlap(F.col("focus"), x) > 0)
@@ -114,7 +120,7 @@ def structure_leads(queries: DataFrame, evidence: DataFrame, hits: int = 8) -> D
 
 def special_leads(queries: DataFrame, evidence: DataFrame, hits: int = 8) -> DataFrame:
     """query_id, answer: the text of the best item whose record type is a target of the query."""
-    e = evidence.where((F.trim("text") != "") & (F.col("place") <= hits)).join(queries.select("query_id", "targets"), "query_id").where(F.array_contains("targets", F.col("record_type")))
+    e = _first_with_text(evidence, hits).join(queries.select("query_id", "targets"), "query_id").where(F.array_contains("targets", F.col("record_type")))
     return e.groupBy("query_id").agg(F.max_by(T.strip("text"), F.struct("score", (-F.col("place")).alias("p"))).alias("answer"))
 
 

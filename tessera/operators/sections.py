@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ ANCHOR = r"\[ASSET_ANCHOR:([^\]]+)\]"
 WINDOW_TOKENS, WINDOW_OVERLAP = 220, 30
 MOST_WINDOWS, MOST_SECTIONS, MOST_ASSETS = 6, 2, 2
 MOST_BYTES = 4096
+# Items of a query that are read, and tokens that they may give together.
+MOST_TARGETS, OUTPUT_TOKENS = 3, 8000
 
 
 # --- refining ----------------------------------------------------------------------------------
@@ -136,81 +139,166 @@ def compute_block(asset_id: Column, sheet: Column, rows: Column, columns: Column
 
 
 def with_assets(sections: DataFrame, assets: DataFrame) -> DataFrame:
-    """sections (section_id, section_text, ...) whose anchors are replaced by the texts of their assets (section_id, asset_id, anchor, asset_text)."""
+    """sections (section_id, section_text, ...) whose anchors are replaced by the texts of their assets (section_id, asset_id, anchor, asset_text).
+
+    An asset with an `anchor_text`, where there is such a column, is replaced by that: so tables stand as their compute block, not as their rows.
+    """
+    if "anchor_text" in assets.columns:
+        assets = assets.withColumn("asset_text", F.coalesce("anchor_text", "asset_text"))
     own = assets.where(F.length("anchor") > 0).groupBy("section_id").agg(F.sort_array(F.collect_list(F.struct("asset_id", "anchor", F.coalesce("asset_text", F.lit("")).alias("t")))).alias("__assets"))
     filled = F.aggregate(F.coalesce("__assets", F.array().cast(own.schema["__assets"].dataType)), F.col("section_text"), lambda t, a: F.replace(t, a["anchor"], a["t"]))
     return sections.join(own, "section_id", "left").withColumn("section_text", filled).drop("__assets")
 
 
 def neighbours(sections: DataFrame, radius: int = 1, most: int = MOST_SECTIONS) -> DataFrame:
-    """section_id, neighbour_id, place: up to `most` sections of the same document within `radius` places, nearest first.
+    """section_id, neighbour_id, place: up to `most` sections within `radius` places of the same group.
 
-    A band join by its offsets: each section meets `2 * radius` places and no more.
+    A group is what shares doc_id, source_id, toc_path and parent_section_id, of those that sections
+    have as columns; a section whose parent is null has no neighbours. A section with a window_index
+    meets those whose windows are near, nearest first, then by window, order_index and id; others meet those
+    near by order_index and id, in that order. Band joins by offsets: no pairs of a group are formed.
     """
-    at = sections.select("doc_id", "order_index", F.col("section_id").alias("neighbour_id"))
-    steps = F.array(*(F.lit(d) for d in range(-radius, radius + 1) if d))
-    asked = sections.select("section_id", "doc_id", F.explode(steps).alias("step"), "order_index").withColumn("order_index", F.col("order_index") + F.col("step"))
-    found = asked.join(at, ["doc_id", "order_index"])
-    place = F.row_number().over(Window.partitionBy("section_id").orderBy(F.abs("step"), "order_index", "neighbour_id"))
-    return found.withColumn("place", place).where(F.col("place") <= most).select("section_id", "neighbour_id", "place")
+    for name in ("parent_section_id", "window_index"):
+        if name not in sections.columns:
+            sections = sections.withColumn(name, F.lit(0 if name == "parent_section_id" else None).cast("long"))
+    keys = ["doc_id", *(c for c in ("source_id", "toc_path", "parent_section_id") if c in sections.columns)]
+    own = sections.where(F.col("parent_section_id").isNotNull())
+    group = F.xxhash64(*keys)  # nulls are values here, so groups are compared by what they hold
+    at = own.select(*keys, group.alias("__group"), "order_index", "window_index", "section_id")
+    row = Window.partitionBy("__group", *keys).orderBy("order_index", "section_id")
+    steps = [d for d in range(-radius, radius + 1) if d]
+    beside = F.array(*(F.struct(F.lag("section_id", -d).over(row).alias("neighbour_id"), F.lit(i).alias("n")) for i, d in enumerate(steps)))
+    plain = at.withColumn("beside", beside).where("window_index IS NULL").select("section_id", F.inline("beside")).where("neighbour_id IS NOT NULL")
+    plain = plain.select("section_id", "neighbour_id", F.struct(F.col("n").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("by"))
+    windows = at.where("window_index IS NOT NULL")
+    other = windows.select(F.col("__group"), *(F.col(k).alias(f"__{k}") for k in keys), F.col("window_index").alias("__at"), F.col("order_index").alias("__order"), F.col("section_id").alias("neighbour_id"))
+    asked = windows.withColumn("step", F.explode(F.array(*(F.lit(d) for d in range(-radius, radius + 1))))).withColumn("__at", F.col("window_index") + F.col("step"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    near = asked.join(other, ["__group", "__at"]).where(same & (F.col("section_id") != F.col("neighbour_id")))
+    near = near.select("section_id", "neighbour_id", F.struct(F.abs("step").cast("long").alias("a"), F.col("__at").cast("long").alias("b"), F.col("__order").cast("long").alias("c")).alias("by"))
+    place = F.row_number().over(Window.partitionBy("section_id").orderBy("by", "neighbour_id"))
+    return plain.unionByName(near).withColumn("place", place).where(F.col("place") <= most).select("section_id", "neighbour_id", "place")
 
 
 # --- grounding ---------------------------------------------------------------------------------
 
 
+def _placed(items: DataFrame, target: str) -> DataFrame:
+    """items with place (by score and target where they have none), evidence_id and text of their own (null where they have none)."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(target).cast("string"))
+    out = items if "place" in items.columns else items.withColumn("place", F.row_number().over(order))
+    for name in ("evidence_id", "text"):
+        out = out if name in out.columns else out.withColumn(name, F.lit(None).cast("string"))
+    return out.withColumn("terms", T.search_terms("query"))
+
+
 def _section_windows(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Windows of the sections that are wanted (query_id, terms, score, section_id, source), each section being cut once."""
+    """Windows of the sections that are wanted (query_id, place, terms, score, section_id, source), each section being cut once."""
     w = spans.windows(texts.join(wanted.select("section_id").distinct(), "section_id", "left_semi"), "section_id", "section_text", WINDOW_TOKENS, WINDOW_OVERLAP)
     bare = texts.where((F.size(T.terms("section_text")) == 0) & (F.trim("section_text") != "")).select("section_id", F.lit(0).alias("window_index"), F.col("section_text").alias("window_text"))
     parts = w.select("section_id", "window_index", "window_text").unionByName(bare)
     text = F.rtrim(F.trim("window_text"), F.lit("."))
     name = F.concat(F.lit("grounded:section:"), F.col("section_id").cast("string"), F.lit(":"), (F.col("window_index") + 1).cast("string"))
-    return wanted.join(parts, "section_id").select("query_id", "terms", "score", name.alias("evidence_id"), F.lit("section").alias("record_type"), text.alias("text"), "source").where("text <> ''")
+    return wanted.join(parts, "section_id").select("query_id", "place", "terms", "score", name.alias("evidence_id"), F.lit("section").alias("record_type"), text.alias("text"), "source").where("text <> ''")
+
+
+def _locally_ranked(found: DataFrame, most: int) -> DataFrame:
+    """The `most` best pieces of each item."""
+    score = context.local_score(F.col("score"), T.keyword_overlap(F.col("terms"), "text"), F.lit(None).cast("int"), F.lit(1))
+    item = ["query_id", "place"]
+    best = found.withColumn("local_score", score).withColumn("__n", F.row_number().over(Window.partitionBy(*item, "evidence_id").orderBy(F.desc("local_score"), "source"))).where("__n = 1")
+    order = Window.partitionBy(*item).orderBy(F.desc("local_score"), "evidence_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "place", "evidence_id", "record_type", "text", "source", "local_score", "rank")
+
+
+def _missing(items: DataFrame, known: DataFrame, target: str) -> DataFrame:
+    """What stands for items whose target isn't known: their own text."""
+    left = items.join(known.select(target).distinct(), target, "left_anti")
+    name = F.coalesce("evidence_id", F.concat(F.lit(f"{target.removesuffix('_id')}:"), F.col(target).cast("string")))
+    return left.select("query_id", "place", name.alias("evidence_id"), F.lit("item").alias("record_type"), F.coalesce("text", F.lit("")).alias("text"), F.lit("item").alias("source"), F.round("score", 6).alias("local_score"), F.lit(1).alias("rank"))
 
 
-def ground_sections(items: DataFrame, sections: DataFrame, texts: DataFrame, assets: DataFrame, most: int = MOST_WINDOWS + MOST_SECTIONS + MOST_ASSETS) -> DataFrame:
-    """Evidence for hits on sections: items (query_id, query, section_id, score).
+def within_budget(pieces: DataFrame, tokens: int = OUTPUT_TOKENS) -> DataFrame:
+    """Pieces (query_id, place, rank, evidence_id, text) in the order of place and rank until `tokens` are used up, with n_tokens of what is left of each.
 
-    Sections are (section_id, doc_id, order_index), texts (section_id, section_text) with anchors
-    filled in, assets (section_id, asset_id, asset_text). Returns query_id, evidence_id, record_type,
-    text, source, local_score, rank: windows of the section, of its neighbours, and its first two
-    assets, ranked by score and terms in common, `most` an item's query. What several items lead to
-    counts once.
+    A piece that an earlier item of the query has too counts once. The piece that crosses the budget
+    is clipped. Pieces without tokens go; of a query that has no others the items themselves stay.
     """
-    asked = items.select("query_id", T.search_terms("query").alias("terms"), "score", "section_id")
-    near = asked.join(neighbours(sections), "section_id").select("query_id", "terms", "score", F.col("neighbour_id").alias("section_id"), F.lit("neighbour").alias("source"))
-    windows = _section_windows(asked.withColumn("source", F.lit("hit")).unionByName(near), texts)
-    first = assets.where(F.length(F.trim("asset_text")) > 0).withColumn("n", F.row_number().over(Window.partitionBy("section_id").orderBy("asset_id"))).where(F.col("n") <= MOST_ASSETS)
-    own = asked.join(first, "section_id").select("query_id", "terms", "score", F.concat(F.lit("grounded:asset:"), F.col("asset_id").cast("string")).alias("evidence_id"), F.lit("asset").alias("record_type"), F.rtrim(F.trim("asset_text"), F.lit(".")).alias("text"), F.lit("asset").alias("source"))
+    first = Window.partitionBy("query_id", "evidence_id").orderBy("place", "rank")
+    once = pieces.withColumn("__n", F.row_number().over(first)).where("__n = 1").withColumn("n_tokens", T.text_unit_count("text").cast("long"))
+    any_ = F.max("n_tokens").over(Window.partitionBy("query_id")) > 0
+    some = once.withColumn("__any", any_).where((F.col("n_tokens") > 0) | ((F.col("record_type") == "item") & ~F.col("__any"))).drop("__any")
+    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("query_id").orderBy("place", "rank", "evidence_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = some.withColumn("__left", tokens - before).where(F.col("__left") > 0)
+    short = F.col("n_tokens") > F.col("__left")
+    clipped = F.when(short, _clipped("text", "__left")).otherwise(F.col("text"))
+    return kept.withColumn("text", clipped).withColumn("n_tokens", F.least("n_tokens", "__left")).drop("__left", "__n")
+
+
+def _clipped(text: str, tokens: str) -> Column:
+    @F.pandas_udf("string")
+    def clip(texts: pd.Series, room: pd.Series) -> pd.Series:
+        return pd.Series([spans.clip(t, int(n), True) for t, n in zip(texts, room)], dtype=object)
+
+    return clip(F.col(text), F.col(tokens))
+
+
+def _grounded_sections(asked: DataFrame, sections: DataFrame, texts: DataFrame, assets: DataFrame, most: int) -> DataFrame:
+    cols = ["query_id", "place", "terms", "score", "section_id"]
+    near = asked.join(neighbours(sections).drop("place"), "section_id").select("query_id", "place", "terms", "score", F.col("neighbour_id").alias("section_id"), F.lit("neighbour").alias("source"))
+    windows = _section_windows(asked.select(*cols, F.lit("hit").alias("source")).unionByName(near), texts)
+    first = assets.withColumn("n", F.row_number().over(Window.partitionBy("section_id").orderBy("asset_id"))).where((F.col("n") <= MOST_ASSETS) & (F.length(F.trim("asset_text")) > 0))
+    name = F.concat(F.lit("grounded:asset:"), F.col("asset_id").cast("string"))
+    own = asked.select(*cols).join(first, "section_id").select("query_id", "place", "terms", "score", name.alias("evidence_id"), F.lit("asset").alias("record_type"), F.rtrim(F.trim("asset_text"), F.lit(".")).alias("text"), F.lit("asset").alias("source"))
     return _locally_ranked(windows.unionByName(own), most)
 
 
-def _locally_ranked(found: DataFrame, most: int) -> DataFrame:
-    score = context.local_score(F.col("score"), T.keyword_overlap(F.col("terms"), "text"), F.lit(None).cast("int"), F.lit(1))
-    scored = found.withColumn("local_score", score)
-    best = scored.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "evidence_id").orderBy(F.desc("local_score"), "source"))).where("__n = 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc("local_score"), "evidence_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "evidence_id", "record_type", "text", "source", "local_score", "rank")
+_MOST = MOST_WINDOWS + MOST_SECTIONS + MOST_ASSETS
+
+
+def ground_sections(items: DataFrame, sections: DataFrame, texts: DataFrame, assets: DataFrame, most: int = _MOST, targets: int = MOST_TARGETS, tokens: int = OUTPUT_TOKENS) -> DataFrame:
+    """Evidence for hits on sections: items (query_id, query, section_id, score; place, evidence_id and text where they have them).
+
+    Sections as `neighbours` takes them, texts (section_id, section_text) with anchors filled in,
+    assets (section_id, asset_id, asset_text). Of each query the first `targets` items by place are
+    read. Each gives up to `most` pieces: windows of its section, of its neighbours, and its first two
+    assets, by score and terms in common; an item whose section isn't there stands by its own text.
+    Pieces follow by item and rank until `tokens` are used up. Returns query_id, place, evidence_id,
+    record_type, text, source, local_score, rank, n_tokens.
+    """
+    ship(items.sparkSession)
+    asked = _placed(items, "section_id").where(F.col("place") <= targets)
+    return within_budget(_grounded_sections(asked, sections, texts, assets, most).unionByName(_missing(asked, sections, "section_id")), tokens)
 
 
 def best_sections(items: DataFrame, sections: DataFrame, texts: DataFrame, most: int = MOST_SECTIONS) -> DataFrame:
-    """Hits on documents (query_id, query, doc_id, score) become hits on their `most` sections that share most terms with the query."""
-    asked = items.select("query_id", "query", T.search_terms("query").alias("terms"), "doc_id", "score")
+    """Hits on documents (query_id, query, doc_id, score) become hits on their `most` sections that share most terms with the query; n is a section's place among them."""
+    asked = items.withColumn("terms", T.search_terms("query")).drop("section_id")
     own = sections.join(texts.select("section_id", "section_text"), "section_id").select("section_id", "doc_id", "order_index", T.search_terms("section_text").alias("own"))
     overlap = F.size(F.array_intersect("terms", "own"))
     order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("overlap"), "order_index", "section_id")
-    return asked.join(own, "doc_id").withColumn("overlap", overlap).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("query_id", "query", "section_id", "score")
-
-
-def ground_documents(items: DataFrame, sections: DataFrame, texts: DataFrame, assets: DataFrame) -> DataFrame:
-    """Evidence for hits on documents: their best sections, grounded as such."""
-    return ground_sections(best_sections(items, sections, texts), sections, texts, assets)
-
-
-def ground_assets(items: DataFrame, assets: DataFrame) -> DataFrame:
-    """Evidence for hits on assets (query_id, query, asset_id, score): the text of each that has one."""
-    own = items.join(assets.where(F.length(F.trim("asset_text")) > 0), "asset_id")
-    return _locally_ranked(
-        own.select("query_id", T.search_terms("query").alias("terms"), "score", F.concat(F.lit("grounded:asset:"), F.col("asset_id").cast("string")).alias("evidence_id"), F.lit("asset").alias("record_type"), F.trim("asset_text").alias("text"), F.lit("asset").alias("source")),
-        MOST_WINDOWS + MOST_SECTIONS + MOST_ASSETS,
-    )
+    best = asked.join(own, "doc_id").withColumn("overlap", overlap).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return best.select(*items.columns, "section_id", "n")
+
+
+def ground_documents(items: DataFrame, sections: DataFrame, texts: DataFrame, assets: DataFrame, targets: int = MOST_TARGETS, tokens: int = OUTPUT_TOKENS) -> DataFrame:
+    """Evidence for hits on documents (query_id, query, doc_id, score): their best sections, each grounded as such; a document without sections stands by the hit's own text."""
+    ship(items.sparkSession)
+    asked = _placed(items, "doc_id").where(F.col("place") <= targets)
+    best = best_sections(asked.drop("terms"), sections, texts).withColumn("terms", T.search_terms("query"))
+    each = _grounded_sections(best.withColumn("place", F.col("place") * MOST_SECTIONS + F.col("n")), sections, texts, assets, _MOST)
+    whole = each.withColumn("rank", F.col("rank") + (F.col("place") - 1) % MOST_SECTIONS * _MOST).withColumn("place", F.floor((F.col("place") - 1) / MOST_SECTIONS).cast("int"))
+    return within_budget(whole.unionByName(_missing(asked, sections, "doc_id")), tokens)
+
+
+def ground_assets(items: DataFrame, assets: DataFrame, targets: int = MOST_TARGETS, tokens: int = OUTPUT_TOKENS) -> DataFrame:
+    """Evidence for hits on assets (query_id, query, asset_id, score): the text of each; a hit whose asset is missing or blank stands by its own text."""
+    ship(items.sparkSession)
+    asked = _placed(items, "asset_id").where(F.col("place") <= targets)
+    some = assets.where(F.length(F.trim("asset_text")) > 0).dropDuplicates(["asset_id"])
+    own = asked.drop("text", "evidence_id").join(some, "asset_id")
+    name = F.concat(F.lit("grounded:asset:"), F.col("asset_id").cast("string"))
+    found = _locally_ranked(own.select("query_id", "place", "terms", "score", name.alias("evidence_id"), F.lit("asset").alias("record_type"), F.trim("asset_text").alias("text"), F.lit("asset").alias("source")), 1)
+    return within_budget(found.unionByName(_missing(asked, some, "asset_id")), tokens)

@@ -9,7 +9,7 @@ from tessera.catalog import query, table
 from tessera.functions import spans
 from tessera.functions import text as T
 from tessera.functions import structured
-from tessera.operators import context
+from tessera.operators import context, sections
 from tessera.operators.order import numbered
 from tessera.queries_text import windows_sql
 from tessera.runtime import ship
@@ -297,6 +297,36 @@ def ground_asset(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("asset_id"), F.coalesce(F.when(s % 3 == 0, F.col("p_name")), F.when(s % 3 == 1, F.col("p_type")), F.left(F.concat("p_brand", F.lit(" bytes")), F.lit(4096))).alias("asset_text"))
 
 
+_PARTS = f"""{windows_sql(120, 20)}, parts AS (SELECT w.doc_id, w.window_index, w.doc_id * 1000 + w.window_index AS section_id, w.token_end - w.token_start AS tokens,
+  list_distinct(regexp_extract_all(lower(substr(d.text, w.char_start + 1, w.char_end - w.char_start)), '[a-z0-9]+')) AS terms FROM windows w JOIN documents d USING (doc_id)),
+asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM benchmark)"""
+
+
+@query(
+    "ground_hits",
+    f"""WITH {_PARTS}, hits AS (SELECT query_id, terms, CAST(p AS INT) AS place, (query_id * 7 + p * 13) % 200 AS doc_id, (query_id * 7 + p * 13) % 200 * 1000 + (query_id + p) % 4 AS section_id, 1 - p / 10.0::DOUBLE AS score FROM asked, range(1, 5) r(p)),
+wanted AS (SELECT query_id, terms, place, score, section_id, 'hit' AS source FROM hits JOIN (SELECT section_id FROM parts) USING (section_id)
+  UNION ALL SELECT h.query_id, h.terms, h.place, h.score, n.section_id, 'neighbour' FROM hits h JOIN parts s USING (section_id) JOIN parts n ON n.doc_id = s.doc_id AND abs(n.window_index - s.window_index) = 1),
+found_pieces AS (SELECT query_id, place, 'grounded:section:' || section_id || ':1' AS evidence_id, source, round(score + 0.05 * len(list_intersect(wanted.terms, parts.terms)), 6) AS local_score, tokens FROM wanted JOIN parts USING (section_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, place ORDER BY local_score DESC, evidence_id) AS rank FROM found_pieces WHERE place <= 3),
+every AS (SELECT * FROM ranked UNION ALL SELECT query_id, place, 'hit-' || place, 'item', round(score, 6), 2, 1 FROM hits WHERE place <= 3 AND section_id NOT IN (SELECT section_id FROM parts)),
+once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, evidence_id ORDER BY place, rank) = 1),
+room AS (SELECT *, 500 - coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY place, rank, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM once)
+SELECT query_id, place, evidence_id, source, local_score, CAST(rank AS INT) AS rank, CAST(least(tokens, room) AS BIGINT) AS n_tokens FROM room WHERE room > 0""",
+)
+def ground_hits(spark, sf):
+    """Four hits of every benchmark item on windows of documents as sections, some of which aren't there: three are read, with their neighbours, up to 500 tokens."""
+    ship(spark)
+    w = spans.windows(table(spark, sf, "documents"), "doc_id", "text", 120, 20)
+    parts = w.select((F.col("doc_id") * 1000 + F.col("window_index")).alias("section_id"), "doc_id", F.col("doc_id").alias("parent_section_id"), "window_index", F.col("window_index").alias("order_index"), F.col("window_text").alias("section_text"))
+    hits = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("place"))
+    section = (F.col("query_id") * 7 + F.col("place") * 13) % 200 * 1000 + (F.col("query_id") + F.col("place")) % 4
+    hits = hits.withColumn("section_id", section).withColumn("score", 1 - F.col("place") / 10).withColumn("evidence_id", F.concat(F.lit("hit-"), F.col("place"))).withColumn("text", F.concat(F.lit("own "), F.col("place")))
+    none = spark.createDataFrame([], "section_id long, asset_id long, asset_text string")
+    found = sections.ground_sections(hits, parts.drop("section_text"), parts.select("section_id", "section_text"), none, tokens=500)
+    return found.select("query_id", "place", "evidence_id", "source", "local_score", "rank", "n_tokens")
+
+
 @query(
     "fallback_branches",
     """WITH a AS (SELECT l_partkey AS query_id, l_orderkey * 10 + l_linenumber AS item_id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40), b AS (SELECT l_partkey AS query_id, l_orderkey * 10 + l_linenumber AS item_id FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)

@@ -96,3 +96,13 @@ def test_priorities_and_numbering(spark):
         assert got == {q: plain_priority([r for r in rows if r["query_id"] == q], most, coverage, order) for q in {r["query_id"] for r in rows}}
     n = context.numbered(spark.createDataFrame([(1, 1, 50), (1, 2, 0), (1, 3, 900), (2, 1, 0)], "query_id long, place int, tokens int"), 100)
     assert sorted((r.query_id, r.label, r.selected_tokens, r.truncated, r.n_clipped, r.n_skipped) for r in n.collect()) == [(1, "E1", 50, False, 1, 1), (1, "E2", 100, True, 1, 1)]
+
+
+def test_blank_evidence_takes_no_place(spark):
+    blank = [(1, f"b{k}", " ", "", None, 1.0, k, "section") for k in range(1, 9)]
+    told = [(1, "x", "zzz", "", None, 1.0, 9, "section"), (1, "y", "nothing here", "", None, 1.0, 10, "section"), (1, "z", "alpha beta is the right answer.", "", None, 1.0, 11, "section")]
+    evidence = spark.createDataFrame(blank + told, "query_id long, evidence_id string, text string, anchor string, path array<string>, score double, place int, record_type string")
+    asked = spark.createDataFrame([(1, "alpha beta", None, True, ["section"])], "query_id long, query string, focus array<string>, needs_structure boolean, targets array<string>")
+    assert A.best_sentences(asked, evidence).first().answer.startswith("alpha beta")
+    assert A.structure_leads(asked.withColumn("focus", F.array(F.lit("alpha"))), evidence).first().answer == "alpha beta is the right answer"
+    assert A.special_leads(asked, evidence).count() == 1

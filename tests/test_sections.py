@@ -94,3 +94,42 @@ def test_compute_block_and_asset_text(spark):
     rows = [(" p ", "c", b"x"), (" ", "c ", b"x"), (None, None, b"y" * 5000), (None, "", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "p string, c string, b binary").select(S.asset_text(F.col("p"), F.col("c"), F.col("b"))).collect()]
     assert got[:2] == ["p", "c"] and len(got[2]) == 4096 and got[3] is None
+
+
+def test_every_hit_keeps_its_evidence(spark):
+    """Four hits of one query, one on a section that isn't there: caps are each item's own, then the budget cuts."""
+    bodies, sections, objects, assets = world(spark)
+    texts = S.with_assets(S.section_texts(sections, objects), assets).select("section_id", "section_text")
+    hits = [(1, "topic1 word2x1", k, 1.0 - k / 10, k + 1, f"e{k}", f"own text {k}") for k in (0, 4, 77, 2)]
+    items = spark.createDataFrame([(q, a, s, x, p, e, t) for p, (q, a, s, x, _, e, t) in enumerate(hits, 1)], "query_id long, query string, section_id long, score double, place int, evidence_id string, text string")
+    three = S.ground_sections(items, sections, texts, assets).collect()
+    assert {r.place for r in three} == {1, 2, 3} and [r.text for r in three if r.place == 3] == ["own text 77"] and [r.evidence_id for r in three if r.place == 3] == ["e77"]
+    every = S.ground_sections(items, sections, texts, assets, targets=9).collect()
+    assert {r.place for r in every} == {1, 2, 3, 4} and len({r.evidence_id for r in every}) == len(every)
+    assert {f"grounded:section:{k}:1" for k in (0, 4, 2, 5)} <= {r.evidence_id for r in every}
+    some = sorted(S.ground_sections(items, sections, texts, assets, targets=9, tokens=20).collect(), key=lambda r: (r.place, r["rank"]))
+    assert sum(r.n_tokens for r in some) == 20 and some[-1].text.endswith(" ...") and [r.evidence_id for r in some] == [r.evidence_id for r in sorted(every, key=lambda r: (r.place, r["rank"]))][: len(some)]
+    docs = spark.createDataFrame([(5, "topic4", 7, 0.9), (5, "topic4", 99, 0.8)], "query_id long, query string, doc_id long, score double").withColumn("text", F.lit("hit"))
+    found = {r.evidence_id: r for r in S.ground_documents(docs, sections, texts, assets).collect()}
+    assert found["doc:99"].text == "hit" and found["grounded:section:4:1"].place == 1 and len(found) > 2
+    lost = spark.createDataFrame([(9, "x", 53, 0.3), (9, "x", 500, 0.2)], "query_id long, query string, asset_id long, score double").withColumn("text", F.lit("hit"))
+    assert sorted(r.text for r in S.ground_assets(lost, assets).collect()) == ["hit", "hit"]
+
+
+def test_neighbours_share_parent_path_and_windows(spark):
+    rows = [
+        (1, 7, 3, 100, ["a"], 0, None), (2, 7, 3, 100, ["a"], 5, None), (3, 7, 3, 100, ["a"], 9, None), (4, 7, 3, 100, ["b"], 6, None), (5, 7, 3, None, ["a"], 1, None), (6, 7, 4, 100, ["a"], 2, None),
+        (10, 8, 3, 200, None, 4, 0), (11, 8, 3, 200, None, 3, 1), (12, 8, 3, 200, None, 2, 2), (13, 8, 3, 200, None, 1, 5), (14, 8, 3, 201, None, 0, 1),
+    ]
+    sections = spark.createDataFrame(rows, "section_id long, doc_id long, source_id long, parent_section_id long, toc_path array<string>, order_index int, window_index int")
+    got = {}
+    for r in sorted(S.neighbours(sections).collect(), key=lambda r: r.place):
+        got.setdefault(r.section_id, []).append(r.neighbour_id)
+    assert got == {1: [2], 2: [1, 3], 3: [2], 10: [11], 11: [10, 12], 12: [11]}
+    assert sorted(r.neighbour_id for r in S.neighbours(sections, 4, 9).where("section_id = 11").collect()) == [10, 12, 13]
+
+
+def test_tables_stand_as_their_blocks(spark):
+    sections = spark.createDataFrame([(1, f"See {ANCHOR}.")], "section_id long, section_text string")
+    assets = spark.createDataFrame([(1, 50, ANCHOR, "rows of it", "[TABLE_COMPUTE_ONLY:asset_id=50]")], "section_id long, asset_id long, anchor string, asset_text string, anchor_text string")
+    assert S.with_assets(sections, assets).first().section_text == "See [TABLE_COMPUTE_ONLY:asset_id=50]."
