@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import structured
+from tessera.runtime import ship
 
 
 class WrongCount(ValueError):
@@ -28,6 +29,17 @@ def _same_count(found: Sequence, wanted: int) -> list:
     return found
 
 
+def _shipped(function: Callable[..., Column]) -> Callable[..., Column]:
+    """The column function, which sends the package to executors when it is first used."""
+
+    def apply(*columns: Column | str) -> Column:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            ship(spark)
+        return function(*columns)
+
+    return apply
+
+
 def embedder(factory: Callable[[], Any]) -> Callable[[Column], Column]:
     """A column function: texts to vectors, by model.embed(texts)."""
 
@@ -37,7 +49,7 @@ def embedder(factory: Callable[[], Any]) -> Callable[[Column], Column]:
         for texts in batches:
             yield pd.Series([list(map(float, v)) for v in _same_count(model.embed([t or "" for t in texts]), len(texts))])
 
-    return embed
+    return _shipped(embed)
 
 
 def generator(factory: Callable[[], Any]) -> Callable[[Column], Column]:
@@ -66,7 +78,7 @@ def told(factory: Callable[[], Any]) -> Callable[[Column], Column]:
         for prompts in batches:
             yield pd.DataFrame([one(p) for p in prompts], columns=["text", "error"])
 
-    return generate
+    return _shipped(generate)
 
 
 def structured_generator(factory: Callable[[], Any], schema: str, required: tuple[str, ...] = ()) -> Callable[[Column], Column]:
@@ -84,7 +96,7 @@ def described(factory: Callable[[], Any]) -> Callable[[Column], Column]:
         for images in batches:
             yield images.map(lambda b: None if b is None else str(model.extract(bytes(b))))
 
-    return describe
+    return _shipped(describe)
 
 
 def rerank(candidates: DataFrame, factory: Callable[[], Any], pool: int = 50, batch: int = 16) -> DataFrame:
@@ -104,6 +116,7 @@ def rerank(candidates: DataFrame, factory: Callable[[], Any], pool: int = 50, ba
                     out.loc[part.index] = _same_count(model.rerank(query, [t or "" for t in part]), len(part))
             yield out.astype(float)
 
+    ship(candidates.sparkSession)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")
     placed = candidates.withColumn("__place", F.row_number().over(order))
     inside = placed.where(F.col("__place") <= pool).withColumn("rerank_score", score("query_text", "text"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import ship
+
 PROFILE_ROWS = 50
 SAMPLE_ROWS = 3
 # Fixed values of header detection.
@@ -117,6 +119,7 @@ def header_columns(rows: list[list[str]]) -> list[str]:
 
 def detect_headers(sheets: DataFrame) -> DataFrame:
     """sheet_id, header_rows, columns of sheets (sheet_id, rows: array of arrays of strings)."""
+    ship(sheets.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.catalog import query, table
-from tessera.functions import spans
+from tessera.functions import hooks, spans
 from tessera.functions import text as T
 from tessera.functions import structured
-from tessera.operators import context, sections
+from tessera.operators import context, layout, sections, telemetry
 from tessera.operators.order import numbered
 from tessera.queries_text import windows_sql
 from tessera.runtime import ship
@@ -327,6 +327,57 @@ def ground_hits(spark, sf):
     return found.select("query_id", "place", "evidence_id", "source", "local_score", "rank", "n_tokens")
 
 
+@query(
+    "section_layout_assets",
+    """WITH e AS (SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 3 = 0 THEN 'Table ' WHEN l_linenumber % 3 = 1 THEN 'paragraph' END AS kind, l_linestatus AS path, CAST(1 + l_partkey % 6 AS INT) AS page,
+  CASE WHEN l_discount < 0.09 THEN l_quantity * 20 + l_tax * 100 END AS top, CASE WHEN l_discount < 0.09 THEN l_quantity * 20 + l_tax * 100 + 15 END AS bottom FROM lineitem),
+a AS (SELECT * FROM e WHERE lower(trim(kind)) = 'table' AND id % 4 <> 0),
+s AS (SELECT s_suppkey * 4 + k AS section_id, s_suppkey AS doc_id, CASE k % 2 WHEN 0 THEN 'F' ELSE 'O' END AS path, CASE WHEN k = 3 THEN NULL ELSE 1 + k END AS p1, 2 + k AS p2 FROM supplier, range(4) r(k)),
+x AS (SELECT section_id, a.id, s.path, a.path AS own, page, top, s.doc_id, coalesce(p1, p2) AS p1, p2 FROM s JOIN a ON a.doc_id = s.doc_id AND (a.path = s.path OR a.page BETWEEN coalesce(p1, p2) AND p2)),
+g AS (SELECT x.section_id, x.id, x.page, x.top, min(abs(x.top - t.bottom)) AS gap FROM x JOIN e t ON t.doc_id = x.doc_id AND t.path = x.path AND t.page = x.page AND x.page BETWEEN x.p1 AND x.p2 AND coalesce(trim(t.kind), '') <> 'Table' GROUP BY ALL),
+best AS (SELECT section_id, id, min((CASE WHEN own = path THEN 0 ELSE 1 END, coalesce(gap, 'infinity'::DOUBLE), abs(page - p1))) AS near FROM x LEFT JOIN g USING (section_id, id, page, top) GROUP BY ALL)
+SELECT section_id, id AS asset_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY near, id) AS INT) AS place FROM best QUALIFY place <= 6""",
+)
+def section_layout_assets(spark, sf):
+    """The six nearest assets of each section over pages laid out from lineitem: some elements without a box, some assets without a record."""
+    li, q = table(spark, sf, "lineitem"), F.col("l_quantity") * 20 + F.col("l_tax") * 100
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "Table ").when(F.col("l_linenumber") % 3 == 1, "paragraph")
+    box = F.when(F.col("l_discount") < 0.09, F.array(F.lit(0.0), q, F.lit(1.0), q + 15))
+    e = li.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("element_id"), kind.alias("kind"), F.array("l_linestatus", F.lit(" ")).alias("toc_path"), (1 + F.col("l_partkey") % 6).cast("int").alias("page_no"), box.alias("bbox"))
+    a = e.where("kind = 'Table ' AND element_id % 4 <> 0").select("doc_id", F.col("element_id").alias("asset_id"), F.col("element_id").alias("element_ref"))
+    k = F.col("k")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    s = s.select((F.col("doc_id") * 4 + k).alias("section_id"), "doc_id", F.array(F.when(k % 2 == 0, "F").otherwise("O")).alias("toc_path"), F.when(k != 3, k + 1).alias("page_start"), (k + 2).alias("page_end"))
+    return layout.section_assets(s, e, a, 6)
+
+
+class _Stub:
+    """A model that fails on every eleventh length of a text."""
+
+    def generate_text(self, prompt):
+        if len(prompt) % 11 == 0:
+            raise ValueError("no")
+        return prompt[:10]
+
+    def embed(self, texts):
+        return [[float(len(t))] for t in texts]
+
+
+@query(
+    "provider_telemetry",
+    """SELECT 'chat' AS capability, 'stub' AS provider, count(*) AS texts, count(*) FILTER (WHERE length(text) % 11 = 0) AS errors, count(*) AS stage_rows FROM documents
+UNION ALL SELECT 'embedding', 'stub', count(*), 0, count(*) FROM documents""",
+)
+def provider_telemetry(spark, sf):
+    """Texts and errors of a model that is told to fail on some, and of one that embeds; rows that went by."""
+    seen = telemetry.Telemetry(spark)
+    say, embed = hooks.told(seen.watched(_Stub, "chat", "stub")), hooks.embedder(seen.watched(_Stub, "embedding", "stub"))
+    docs = seen.stage(table(spark, sf, "documents").select("text"), "documents")
+    docs.select(say("text").alias("said"), embed("text").alias("vector")).write.format("noop").mode("overwrite").save()
+    rows = seen.stages()[0]["rows"]
+    return seen.report().select("capability", "provider", "texts", "errors", F.lit(rows).cast("long").alias("stage_rows"))
+
+
 @query(
     "fallback_branches",
     """WITH a AS (SELECT l_partkey AS query_id, l_orderkey * 10 + l_linenumber AS item_id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40), b AS (SELECT l_partkey AS query_id, l_orderkey * 10 + l_linenumber AS item_id FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)
