@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import answers, evaluation, fusion, search, sections
 from tessera.operators.postings import Postings
-from tessera.plans import policy
+from tessera.plans import interpreter, policy
 from tessera.runtime import ship
 from tessera.sources import files
 from tessera.sources.store import Store, transaction
@@ -170,24 +170,34 @@ class Engine:
         vector = F.col("vector") if "vector" in parts.columns else self._vector("section_text")
         return parts.select("section_id", "doc_id", "order_index", "section_text", vector.alias("vector")).join(shown, "doc_id")
 
+    def _retrievers(self, parts: DataFrame, narrowed: bool) -> dict[str, interpreter.Retriever]:
+        """What serves the branches of a plan here, over the sections `parts`."""
+        ids = parts.select(F.col("section_id").alias("doc_id")) if narrowed else None
+        cols = ["query_id", "item_id", "score", "rank"]
+        out = {"section": lambda q, n: self.postings.search(q, n, ids).withColumnRenamed("doc_id", "item_id").select(*cols)}
+        if self.config.embed:
+            items = parts.select(F.col("section_id").alias("item_id"), "vector")
+            out["vector"] = lambda q, n: search.knn(items, q.select("query_id", self._vector("text")), n).select(*cols)
+        return out
+
     def retrieve(self, queries: DataFrame, k: int | None = None, where: Column | None = None) -> DataFrame:
         """query_id, section_id, doc_id, score, rank, branches, section_text: the k best sections of each query (query_id, text).
 
         `where` is a condition on doc_id, title, location, source_type, section_id or order_index; what
-        doesn't meet it isn't searched. Neither stored texts nor their vectors are made anew.
+        doesn't meet it isn't searched. Queries may have plans (paths, fallback, sparse_text, as `interpreter.run_plans`
+        takes them); without, all branches run. Neither stored texts nor their vectors are made anew.
         """
         k = k or self.config.top_k
         parts = self.visible_sections()
         if where is not None:
             parts = parts.where(where)
         narrowed = where is not None or self.postings.statistics()[0] != parts.count()
-        cols = ["query_id", "item_id", "score", "rank"]
-        found = self.postings.search(queries, 2 * k, parts.select(F.col("section_id").alias("doc_id")) if narrowed else None)
-        hits = found.withColumnRenamed("doc_id", "item_id").select(*cols).withColumn("branch", F.lit("section"))
-        if self.config.embed:
-            items = parts.select(F.col("section_id").alias("item_id"), "vector")
-            asked = queries.select("query_id", self._vector("text"))
-            hits = hits.unionByName(search.knn(items, asked, 2 * k).select(*cols).withColumn("branch", F.lit("vector")))
+        retrievers = self._retrievers(parts, narrowed)
+        if "paths" not in queries.columns:
+            variants = {"section": "sparse", "vector": "dense"}
+            every = F.array(*(F.struct(F.lit(b).alias("branch"), F.lit(2 * k).alias("limit"), F.lit(variants[b]).alias("variant")) for b in retrievers))
+            queries = queries.withColumn("paths", every)
+        hits = interpreter.run_plans(queries, retrievers, interpreter.too_few(1))
         fused = fusion.reciprocal_rank(hits, fusion.branch_weights(hits, self.config.alpha)).where(F.col("unified_rank") <= k)
         named = fused.select("query_id", F.col("item_id").alias("section_id"), F.col("fused_score").alias("score"), F.col("unified_rank").alias("rank"), F.array_sort(F.map_keys("branch_scores")).alias("branches"))
         return named.join(parts, "section_id").select("query_id", "section_id", "doc_id", "title", "score", "rank", "branches", "section_text")
