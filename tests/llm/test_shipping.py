@@ -42,13 +42,22 @@ elif which == "classifiers":
 elif which == "lm_scoring":
     from tessera.llm.lm_scoring import score_texts
     out = score_texts(docs)
+elif which == "divergence":
+    from tessera.llm.divergence import divergences
+    out = divergences(docs.selectExpr("text", "'en' AS lang", "concat('s', doc_id % 2) AS source")).where("part = 'pair'")
+elif which == "importance":
+    from tessera.llm.importance import resample
+    out = resample(docs, bench)
+elif which == "main_text":
+    from tessera.llm.main_text import main_texts
+    out = main_texts(pages)
 else:
     from tessera.llm.warc import read_warc, write_warc
     write_warc(pages, sys.argv[2] + "/w")
     out = read_warc(spark, "file://" + sys.argv[2] + "/w")
 print("ROWS", len(out.collect()))
 """
-EXPECTED = {"quality_rules": 8, "near_dups": 8, "repeats": 8, "decontamination": 8, "chat": 1, "classifiers": 8, "lm_scoring": 8, "warc": 2}
+EXPECTED = {"quality_rules": 8, "near_dups": 8, "repeats": 8, "decontamination": 8, "chat": 1, "classifiers": 8, "lm_scoring": 8, "divergence": 2, "importance": 8, "main_text": 2, "warc": 2}
 
 
 def test_each_operator_from_another_folder(tmp_path):
