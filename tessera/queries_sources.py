@@ -10,7 +10,7 @@ from tessera.catalog import query, table
 from tessera.functions import text as T
 from tessera.operators import tables
 from tessera.runtime import shared_path, ship
-from tessera.sources import files, web
+from tessera.sources import files, split, web
 
 
 # --- tables ------------------------------------------------------------------------------------
@@ -226,3 +226,25 @@ def heading_stack(spark, sf):
 def asset_anchors(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", T.asset_anchor(F.concat_ws(":", "p_type", "p_brand")).alias("anchor"))
     return p.select("p_partkey", "anchor", T.asset_references(F.concat(F.lit("aa"), "anchor", F.lit("bb")))[0].alias("reference"))
+
+
+@query(
+    "failed_rows",
+    """WITH t AS (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN left(props, 5) WHEN event_id % 11 = 5 THEN '{"other": 1}' WHEN event_id % 13 = 6 THEN NULL WHEN event_id % 17 = 2 AND event_id % 2 = 0 THEN 'later ' || props ELSE props END AS text FROM events),
+r AS (SELECT CASE WHEN text IS NULL THEN 'no text' WHEN event_id % 7 = 3 THEN 'not such an object' WHEN event_id % 11 = 5 THEN 'no k' END AS error FROM t)
+SELECT coalesce(error, 'good') AS result, count(*) AS n FROM r GROUP BY ALL""",
+)
+def failed_rows(spark, sf):
+    """Properties of events, some of them spoilt, as good and failed rows; half of them in a batch that comes twice, and a retry mends one kind."""
+    e = table(spark, sf, "events").select("event_id", "props")
+    i = F.col("event_id")
+    text = F.when(i % 7 == 3, F.left("props", F.lit(5))).when(i % 11 == 5, '{"other": 1}').when(i % 13 == 6, F.lit(None).cast("string")).when((i % 17 == 2) & (i % 2 == 0), F.concat(F.lit("later "), "props")).otherwise(F.col("props"))
+    rows = e.select("event_id", text.alias("text"))
+    out = split.Split(spark, shared_path(spark, "split"), "event_id")
+    check = lambda df: split.checked(df, "text", "k long", ["k"])
+    half = check(rows.where("event_id % 2 = 0"))
+    out.put("even", half)
+    out.put("even", half)
+    out.put("rest", check(out.remaining(rows)))
+    out.retry("again", lambda df: check(df.withColumn("text", F.regexp_replace("text", "^later ", ""))))
+    return out.failed().groupBy(F.col("error").alias("result")).agg(F.count(F.lit(1)).alias("n")).unionByName(out.good().agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("result"), "n"))
