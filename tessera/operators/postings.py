@@ -99,7 +99,7 @@ class Postings:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"data/{uuid.uuid4().hex}"
-        rows.write.option("parquet.block.size", 16 << 20).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.path}/{folder}")
+        rows.write.option("parquet.block.size", 16 << 20).option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.expected.ndv#term", "30000").parquet(f"{self.path}/{folder}")
         return folder
 
     def _live(self) -> DataFrame:
@@ -128,8 +128,10 @@ class Postings:
             dead = self._write(out.groupBy("segment").agg(F.sort_array(F.collect_list("no")).alias("docs"), F.sum("length").alias("length")))  # a segment's documents at most
             now = self.spark.read.schema("segment string, docs array<int>, length long").parquet(f"{self.path}/{dead}")
             if not now.isEmpty():
-                hit = self._read("segments").where("term <> ''").join(now.select("segment", F.col("docs").alias("left")), "segment")
-                terms = hit.select("term", F.size(F.array_intersect("docs", "left")).alias("n")).where("n > 0").groupBy("term").agg(F.sum("n").cast("long").alias("n"))
+                # A flag for each number of a segment: rows of terms look theirs up, whatever the number of those that leave.
+                flags = F.transform(F.sequence(F.lit(0), F.array_max("docs")), lambda i: F.array_contains("docs", i))
+                hit = self._read("segments").where("term <> ''").select("segment", "term", "docs").join(now.select("segment", flags.alias("left")), "segment")
+                terms = hit.select("term", F.size(F.filter("docs", lambda d: F.get("left", d))).alias("n")).where("n > 0").groupBy("term").agg(F.sum("n").cast("long").alias("n"))
                 files["dead"] = [*files.get("dead", ()), dead]
                 files["gone"] = [*files.get("gone", ()), self._write(terms)]
         if added is not None:
