@@ -10,7 +10,7 @@ from tessera.catalog import query, table
 from tessera.functions import text as T
 from tessera.operators import tables
 from tessera.runtime import shared_path, ship
-from tessera.sources import files, split, web
+from tessera.sources import files, markdown, split, web
 
 
 # --- tables ------------------------------------------------------------------------------------
@@ -187,6 +187,74 @@ def metadata_latest(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("latest_doc"), F.count(F.lit(1)).alias("versions"))
 
 
+# --- blocks of markdown ------------------------------------------------------------------------
+
+_REPORTS = r"""d AS (SELECT doc_id AS i, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, coalesce(n_chars, 0) % 1000 AS n, 'Report ' || doc_id AS r, 'report-' || doc_id AS a,
+  array_to_string(list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM documents),
+e AS (SELECT i, 0 AS place, 'text' AS kind, 'code' AS label, t AS text, [r] AS path, a AS anchor FROM d WHERE t <> ''
+UNION ALL SELECT i, 1, 'section_header', NULL, 'Data', [r, 'Data'], a || '-data' FROM d WHERE i % 2 = 0
+UNION ALL SELECT i, 2, 'table', NULL, '| key | value |' || chr(10) || '|---|---|' || chr(10) || '| source | ' || source || ' |' || chr(10) || '| chars | ' || n || ' |', [r, 'Data'], a || '-data' FROM d WHERE i % 2 = 0
+UNION ALL SELECT i, 3, 'caption', NULL, 'Table 1: counts of ' || i, [r, 'Data'], a || '-data' FROM d WHERE i % 2 = 0
+UNION ALL SELECT i, p.place, p.kind, p.label, p.text, list_concat(CASE WHEN i % 2 = 0 THEN [r, 'Data'] ELSE [r] END, ['Plot of ' || lang]), a || CASE WHEN i % 2 = 0 THEN '-data' ELSE '' END || '-plot-of-' || lang
+  FROM d, unnest([{'place': 4, 'kind': 'section_header', 'label': NULL, 'text': 'Plot of ' || lang}, {'place': 5, 'kind': 'text', 'label': 'paragraph', 'text': 'See this:'}, {'place': 6, 'kind': 'figure', 'label': NULL, 'text': 'Figure of ' || lang}]) AS u(p) WHERE i % 3 = 0
+UNION ALL SELECT i, p.place, p.kind, p.label, p.text, [r, 'Items'], a || '-items'
+  FROM d, unnest([{'place': 7, 'kind': 'section_header', 'label': NULL, 'text': 'Items'}, {'place': 8, 'kind': 'text', 'label': 'list_item', 'text': 'one ' || i}, {'place': 9, 'kind': 'text', 'label': 'list_item', 'text': 'two' || chr(10) || 'more'}]) AS u(p) WHERE i % 5 = 0),
+f AS (SELECT *, anchor || '-' || kind || '-' || row_number() OVER (PARTITION BY i, kind ORDER BY place) AS element_id FROM e)"""
+
+
+def reports(spark, sf):
+    """Whole documents as markdown reports: the text as code, a table, a figure and a list for some of them."""
+    d = table(spark, sf, "documents").select("doc_id", T.text_of("text").alias("text"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), (F.coalesce("n_chars", F.lit(0)) % 1000).cast("string").alias("n"))
+    i = F.col("doc_id").cast("string")
+    every = lambda k, *parts: F.when(F.col("doc_id") % k == 0, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise("")
+    fence = "~" * 12
+    return d.select(
+        "doc_id",
+        F.concat(
+            F.lit("# Report "), i, F.lit(f"\n\n{fence}\n"), "text", F.lit(f"\n{fence}\n\n"),
+            every(2, "## Data\n\n| key | value |\n|:---|---:|\n| source | ", F.col("source"), " |\n| chars | ", F.col("n"), " |\n\nTable 1: counts of ", i, "\n\n"),
+            every(3, "### Plot of ", F.col("lang"), "\n\nSee **this**: ![alt](p.png \"Figure of ", F.col("lang"), "\")\n\n"),
+            every(5, "Items\n-----\n\n* one ", i, "\n* two\n  more\n"),
+        ).alias("text"),
+        F.lit("untitled").alias("title"),
+    )
+
+
+@query("markdown_elements", f"WITH {_REPORTS} SELECT i AS doc_id, CAST(row_number() OVER (PARTITION BY i ORDER BY place) - 1 AS INT) AS order_index, element_id, kind, label, path AS toc_path, md5(text) AS text_md5 FROM f")
+def markdown_elements(spark, sf):
+    """Elements of reports, in order, with their paths and ids."""
+    found = markdown.elements(markdown.parse(reports(spark, sf), "doc_id", "text", "title"), "doc_id")
+    return found.select("doc_id", "order_index", "element_id", "kind", "label", "toc_path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    "markdown_block_sections",
+    f"""WITH {_REPORTS}, p AS (SELECT i, path, min(place) AS place, string_agg(CASE WHEN kind = 'table' THEN '[ASSET_ANCHOR:' || element_id || ']' ELSE text END, chr(10) || chr(10) ORDER BY place) AS body, count(*) FILTER (kind = 'table') AS tables FROM f WHERE kind NOT IN ('section_header', 'caption') GROUP BY i, path),
+all_p AS (SELECT * FROM p UNION ALL SELECT i, [r], 0, r, 0 FROM d WHERE i NOT IN (SELECT i FROM p)),
+o AS (SELECT *, sum(length(body) + 2) OVER w - 2 AS char_end, sum(strlen(body) + 2) OVER w - 2 AS byte_end, row_number() OVER w - 1 AS order_index FROM all_p WINDOW w AS (PARTITION BY i ORDER BY place))
+SELECT i AS doc_id, CAST(order_index AS INT) AS order_index, path AS toc_path, CAST(char_end - length(body) AS INT) AS char_start, CAST(char_end AS INT) AS char_end, CAST(byte_end - strlen(body) AS INT) AS byte_start, CAST(byte_end AS INT) AS byte_end, tables, md5(body) AS text_md5 FROM o""",
+)
+def markdown_block_sections(spark, sf):
+    """Sections of reports with their ranges in the visible text; tables stand there by their anchors."""
+    found = markdown.sections(markdown.parse(reports(spark, sf), "doc_id", "text", "title"), "doc_id")
+    return found.select("doc_id", "order_index", "toc_path", "char_start", "char_end", "byte_start", "byte_end", F.col("tables").cast("long").alias("tables"), F.md5(F.col("section_text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    "markdown_assets",
+    f"""WITH {_REPORTS}, x AS (SELECT f.*, d.t, d.n, d.source, len(regexp_extract_all(f.text, '[A-Za-z0-9]+')) AS tokens FROM f JOIN d USING (i) WHERE kind IN ('table', 'figure', 'caption'))
+SELECT i AS doc_id, element_id, kind AS asset_type, CASE kind WHEN 'table' THEN 'table_of' WHEN 'figure' THEN 'figure_of' ELSE 'caption_of' END AS relation_type, sha256(text) AS content_hash,
+  CAST(CASE WHEN t <> '' THEN 1 ELSE 0 END + CASE WHEN kind = 'figure' AND i % 2 = 0 THEN 1 ELSE 0 END AS INT) AS section_index, CASE WHEN kind = 'table' THEN 'Table 1: counts of ' || i WHEN kind = 'figure' THEN text END AS caption,
+  CASE WHEN kind = 'table' THEN ['enum(source, chars)', 'number(min=' || n || ', max=' || n || ')'] END AS types,
+  CASE WHEN kind <> 'table' THEN text ELSE concat_ws(chr(10), 'Table policy: compute_only', 'Table shape: rows=2, columns=2, estimated_tokens=' || tokens, 'Table columns: key | value', 'Field types: key=enum(source, chars); value=number(min=' || n || ', max=' || n || ')', 'Sample rows:', text) END AS preview FROM x""",
+)
+def markdown_assets(spark, sf):
+    """Assets of reports: relation, hash, section, and for tables a profile with its summary."""
+    rows = markdown.parse(reports(spark, sf), "doc_id", "text", "title")
+    found = markdown.asset_records(markdown.elements(rows, "doc_id"), markdown.sections(rows, "doc_id"), "doc_id")
+    return found.select("doc_id", "element_id", "asset_type", "relation_type", "content_hash", "section_index", "caption", "types", "preview")
+
+
 # --- web ---------------------------------------------------------------------------------------
 
 
