@@ -10,7 +10,7 @@ from tessera.catalog import query, table
 from tessera.functions import text as T
 from tessera.operators import tables
 from tessera.runtime import shared_path, ship
-from tessera.sources import files, markdown, split, web
+from tessera.sources import datasources, files, markdown, parsers, split, web
 
 
 # --- tables ------------------------------------------------------------------------------------
@@ -220,7 +220,10 @@ def reports(spark, sf):
     )
 
 
-@query("markdown_elements", f"WITH {_REPORTS} SELECT i AS doc_id, CAST(row_number() OVER (PARTITION BY i ORDER BY place) - 1 AS INT) AS order_index, element_id, kind, label, path AS toc_path, md5(text) AS text_md5 FROM f")
+_ELEMENTS = f"WITH {_REPORTS} SELECT i AS doc_id, CAST(row_number() OVER (PARTITION BY i ORDER BY place) - 1 AS INT) AS order_index, element_id, kind, label, path AS toc_path, md5(text) AS text_md5 FROM f"
+
+
+@query("markdown_elements", _ELEMENTS)
 def markdown_elements(spark, sf):
     """Elements of reports, in order, with their paths and ids."""
     found = markdown.elements(markdown.parse(reports(spark, sf), "doc_id", "text", "title"), "doc_id")
@@ -255,6 +258,39 @@ def markdown_assets(spark, sf):
     return found.select("doc_id", "element_id", "asset_type", "relation_type", "content_hash", "section_index", "caption", "types", "preview")
 
 
+# --- data sources and table functions ----------------------------------------------------------
+
+
+@query("markdown_table_function", _ELEMENTS)
+def markdown_table_function(spark, sf):
+    """Elements of reports by the parser as a table function of SQL."""
+    parsers.register(spark)
+    sql = "SELECT doc_id, e.order_index, e.element_id, e.kind, e.label, e.toc_path, md5(CAST(e.text AS BINARY)) AS text_md5 FROM {r} r, LATERAL markdown_blocks(r.text, r.title) e WHERE e.record = 'element'"
+    return spark.sql(sql, r=reports(spark, sf))
+
+
+@query("archive_roundtrip", "SELECT doc_id, strlen(coalesce(text, '')) AS bytes, sha256(coalesce(text, '')) AS content_sha256 FROM documents")
+def archive_roundtrip(spark, sf):
+    """Whole texts written as members of zip archives and read back by the data source."""
+    datasources.register(spark)
+    path = shared_path(spark, "archives")
+    d = table(spark, sf, "documents")
+    d.select(F.format_string("texts/%d.txt", "doc_id").alias("member"), T.text_of("text").cast("binary").alias("content")).write.format("tessera_archive").mode("append").save(path)
+    back = spark.read.format("tessera_archive").load(path).where(F.startswith("member", F.lit("texts/")))
+    return back.select(F.regexp_extract("member", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), F.col("size").alias("bytes"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("judgment_source", f"WITH {_QRELS} SELECT query_id, doc_id, relevance FROM qrels WHERE relevance > 0")
+def judgment_source(spark, sf):
+    """Judgments written as JSON lines and read by the data source, which drops those without relevance as it reads."""
+    datasources.register(spark)
+    path = shared_path(spark, "judgments")
+    q = qrels(spark, sf)
+    q.select(F.col("query_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("pid"), F.col("relevance").alias("score")).write.json(path)
+    back = spark.read.format("tessera_judgments").load(path).where("relevance > 0")
+    return back.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), "relevance")
+
+
 # --- web ---------------------------------------------------------------------------------------
 
 
