@@ -252,8 +252,10 @@ SELECT i AS doc_id, element_id, kind AS asset_type, CASE kind WHEN 'table' THEN
   CASE WHEN kind <> 'table' THEN text ELSE concat_ws(chr(10), 'Table policy: compute_only', 'Table shape: rows=2, columns=2, estimated_tokens=' || tokens, 'Table columns: key | value', 'Field types: key=enum(source, chars); value=number(min=' || n || ', max=' || n || ')', 'Sample rows:', text) END AS preview FROM x""",
 )
 def markdown_assets(spark, sf):
-    """Assets of reports: relation, hash, section, and for tables a profile with its summary."""
-    rows = markdown.parse(reports(spark, sf), "doc_id", "text", "title")
+    """Assets of reports: relation, hash, section, and for tables a profile with its summary. Reports are parsed once, into a table."""
+    path = shared_path(spark, "blocks")
+    markdown.parse(reports(spark, sf), "doc_id", "text", "title").write.parquet(path)
+    rows = spark.read.parquet(path)
     found = markdown.asset_records(markdown.elements(rows, "doc_id"), markdown.sections(rows, "doc_id"), "doc_id")
     return found.select("doc_id", "element_id", "asset_type", "relation_type", "content_hash", "section_index", "caption", "types", "preview")
 

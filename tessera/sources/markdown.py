@@ -187,6 +187,7 @@ def parsed(text: str, title: str) -> Iterator[dict]:
     name = next((b.text for b in found if b.kind == "heading" and b.level == 1), "") or _squeeze(title) or "document"
     path, stack, level, anchor = [name], [], 1, _slug(name)
     parts: list[str] = []
+    tables = 0
     counts: dict[str, int] = {}
     chars = size = order = place = 0
 
@@ -197,14 +198,14 @@ def parsed(text: str, title: str) -> Iterator[dict]:
         return {"record": "element", "order_index": place - 1, "element_id": f"{anchor}-{kind}-{counts[kind]}", "kind": kind, "text": text, "toc_path": list(path), **more}
 
     def section() -> Iterator[dict]:
-        nonlocal chars, size, order
+        nonlocal chars, size, order, tables
         if not (text := "\n\n".join(parts)):
             return
         parts.clear()
         gap = 2 if order else 0
         a, b = chars + gap, size + gap
-        chars, size, order = a + len(text), b + len(text.encode()), order + 1
-        yield {"record": "section", "order_index": order - 1, "text": text, "toc_path": list(path), "level": level, "anchor": anchor, "char_start": a, "char_end": chars, "byte_start": b, "byte_end": size}
+        chars, size, order, held, tables = a + len(text), b + len(text.encode()), order + 1, tables, 0
+        yield {"record": "section", "order_index": order - 1, "text": text, "toc_path": list(path), "level": level, "anchor": anchor, "char_start": a, "char_end": chars, "byte_start": b, "byte_end": size, "tables": held}
 
     for b in found:
         if b.kind == "heading" and b.level == 1:
@@ -218,6 +219,7 @@ def parsed(text: str, title: str) -> Iterator[dict]:
             yield element("section_header", b.text, level=level)
         elif b.kind == "table":
             row = element("table", b.text, caption=b.caption or None)
+            tables += 1
             parts.append(f"[ASSET_ANCHOR:{quote(row['element_id'], safe='-_.:')}]")
             yield row
         elif b.kind == "figure":
@@ -237,7 +239,7 @@ def parsed(text: str, title: str) -> Iterator[dict]:
         yield from section()
 
 
-_COLUMNS = "record string, order_index int, element_id string, kind string, label string, text string, toc_path array<string>, level int, anchor string, caption string, char_start int, char_end int, byte_start int, byte_end int"
+_COLUMNS = "record string, order_index int, element_id string, kind string, label string, text string, toc_path array<string>, level int, anchor string, caption string, char_start int, char_end int, byte_start int, byte_end int, tables int"
 _FIELDS = [pa.field(n, {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (x.split() for x in _COLUMNS.split(", "))]
 
 
@@ -273,14 +275,10 @@ def elements(rows: DataFrame, key: str) -> DataFrame:
 
 
 def sections(rows: DataFrame, key: str) -> DataFrame:
-    """Sections with the references that stand in them (asset_refs), and how many of those are tables of the document (tables)."""
-    own = rows.where("record = 'section'").select(key, "order_index", "toc_path", "level", "anchor", "char_start", "char_end", "byte_start", "byte_end", F.col("text").alias("section_text"))
+    """Sections with the references that stand in them (asset_refs), a text's own words in that form too, and the number of tables that the parser put there."""
+    own = rows.where("record = 'section'").select(key, "order_index", "toc_path", "level", "anchor", "char_start", "char_end", "byte_start", "byte_end", "tables", F.col("text").alias("section_text"))
     refs = F.array_distinct(T.asset_references("section_text"))
-    # A text's own words may have the form of an anchor, so references are held against the elements.
-    known = rows.where("record = 'element' AND kind = 'table'").select(key, "element_id").distinct()
-    found = own.withColumn("asset_refs", refs)
-    held = found.select(key, "order_index", F.explode("asset_refs").alias("element_id")).join(known, [key, "element_id"]).groupBy(key, "order_index").agg(F.count(F.lit(1)).alias("tables"))
-    return found.join(held, [key, "order_index"], "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
+    return own.withColumn("asset_refs", refs)
 
 
 # --- assets ------------------------------------------------------------------------------------
