@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.tiles import block_count, blocks, deal
+
 
 def ranking_metrics(predicted: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """hit, recall, mrr and ndcg at k of each query that has gold.
@@ -20,7 +22,10 @@ def ranking_metrics(predicted: DataFrame, gold: DataFrame, k: int = 10) -> DataF
     ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), F.sum(F.when(F.col("i") <= k, gain("i"))).alias("ideal"))
     hits = predicted.where(F.col("rank") <= k).join(gold, ["query_id", "doc_id"])
     found = hits.groupBy("query_id").agg(F.min("rank").alias("first"), F.count_distinct("doc_id").alias("n_found"), F.sum(gain("rank")).alias("dcg"))
-    both = ideal.join(found, "query_id", "left")
+    return _metrics(ideal.join(found, "query_id", "left"))
+
+
+def _metrics(both: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return both.select(
         "query_id",
@@ -43,6 +48,71 @@ def grouped_report(ranks: DataFrame, by: str, cuts: tuple[int, ...] = (1, 3, 5,
     return out
 
 
+# --- gold by topic -----------------------------------------------------------------------------
+#
+# Where a whole topic of documents is gold to every query of that topic, the pairs grow with the product
+# of both. They are given as topics (query_id, topic), shared (topic, doc_id, relevance) and own
+# (query_id, doc_id, relevance, for single queries), and nothing below but `gold_ranks` makes the pairs.
+
+
+def _most(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.max("relevance").alias("relevance"))
+
+
+def judged(pairs: DataFrame, topics: DataFrame, shared: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (query_id, doc_id, ...) that are gold, with their greatest relevance, and `shared`: that of the topic, null if only an own one."""
+    t = topics.distinct()
+    s, o = _most(shared, "topic", "doc_id").withColumnRenamed("relevance", "shared"), _most(own, "query_id", "doc_id").withColumnRenamed("relevance", "own")
+    both = pairs.join(t, "query_id", "left").join(s, ["topic", "doc_id"], "left").join(o, ["query_id", "doc_id"], "left")
+    return both.where("shared IS NOT NULL OR own IS NOT NULL").withColumn("relevance", F.greatest("shared", "own")).drop("own")
+
+
+def topic_hits(predicted: DataFrame, topics: DataFrame, shared: DataFrame, own: DataFrame, name: str) -> DataFrame:
+    """`first_hits` by document, with gold by topic."""
+    return judged(predicted, topics, shared, own).groupBy("query_id").agg(F.min("rank").alias(name))
+
+
+def topic_metrics(predicted: DataFrame, topics: DataFrame, shared: DataFrame, own: DataFrame, k: int = 10) -> DataFrame:
+    """`ranking_metrics` with gold by topic. The ideal list needs the number of documents per relevance only: the topic's, changed by the query's own."""
+    shared, own = shared.where("relevance > 0"), own.where("relevance > 0")
+    s, t = _most(shared, "topic", "doc_id"), topics.where("query_id IS NOT NULL").distinct()
+    counts = t.join(s.groupBy("topic", "relevance").agg(F.count(F.lit(1)).alias("n")), "topic").select("query_id", "relevance", "n")
+    o = _most(own, "query_id", "doc_id").join(t, "query_id", "left").join(s.withColumnRenamed("relevance", "was"), ["topic", "doc_id"], "left").where("was IS NULL OR relevance > was")
+    change = F.array(F.struct("relevance", F.lit(1).cast("long").alias("n")), F.struct(F.col("was").alias("relevance"), F.lit(-1).cast("long").alias("n")))
+    counts = counts.unionByName(o.select("query_id", F.inline(change)).where("relevance IS NOT NULL")).groupBy("query_id", "relevance").agg(F.sum("n").alias("n")).where("n > 0")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("relevance")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = F.when(F.col("before") < k, F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k).cast("long"))))
+    discounts = F.aggregate(places, F.lit(0.0), lambda x, i: x + 1 / F.log2(i + 1))
+    gained = F.pow(F.lit(2.0), "relevance") - 1
+    ideal = counts.withColumn("before", before).groupBy("query_id").agg(F.sum("n").alias("n_gold"), F.sum(gained * F.coalesce(discounts, F.lit(0.0))).alias("ideal"))
+    hits = judged(predicted.where(F.col("rank") <= k), topics, shared, own)
+    found = hits.groupBy("query_id").agg(F.min("rank").alias("first"), F.count_distinct("doc_id").alias("n_found"), F.sum(gained / F.log2(F.col("rank") + 1)).alias("dcg"))
+    return _metrics(ideal.join(found, "query_id", "left"))
+
+
+def gold_ranks(predicted: DataFrame, topics: DataFrame, shared: DataFrame, own: DataFrame, size: int = 512) -> DataFrame:
+    """query_id, doc_id, rank: every gold pair once, with the least rank it was predicted at, or null.
+
+    The result is as large as the pairs are many. Each task has some queries and some blocks of their
+    topics' documents, writes what was not predicted, and no pair is shuffled but those predicted and the own ones.
+    """
+    shared, own = shared.where("relevance > 0"), own.where("relevance > 0")
+    s, t = shared.select("topic", "doc_id").distinct(), topics.where("query_id IS NOT NULL AND topic IS NOT NULL").distinct()
+    apart = own.select("query_id", "doc_id").withColumn("own", F.lit(True))
+    given = predicted.select("query_id", "doc_id", "rank")
+    named = given.unionByName(apart.select("query_id", "doc_id", F.lit(None).cast("long").alias("rank"))).groupBy("query_id", "doc_id").agg(F.min("rank").cast("long").alias("rank"))
+    told = judged(named, topics, shared, own)  # what was predicted or is an own one, in the topic or not
+    n = block_count(s, "topic", size)
+    held = told.where("shared IS NOT NULL").select("query_id", "topic", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("__j"))
+    held = held.groupBy("query_id", "topic", "__j").agg(F.collect_list("doc_id").alias("__held"))
+    asked = t.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(held, ["query_id", "topic", "__j"], "left")
+    rows = deal(asked, "topic", "__j").join(blocks(s, "topic", "doc_id", n, "__docs", "__j"), ["topic", "__j"])
+    docs = F.col("__docs.doc_id")
+    rest = rows.select("query_id", F.explode(F.when(F.col("__held").isNull(), docs).otherwise(F.array_except(docs, "__held"))).alias("doc_id"))
+    unknown = apart.where("query_id IS NULL OR doc_id IS NULL").select("query_id", "doc_id").distinct()  # joins leave these out
+    return told.select("query_id", "doc_id", "rank").unionByName(rest.unionByName(unknown).withColumn("rank", F.lit(None).cast("long")))
+
+
 # --- the retrieval report ----------------------------------------------------------------------
 
 CUTS = (1, 3, 5, 10, 20)
