@@ -52,6 +52,11 @@ def search_terms(c: Column | str) -> Column:
     return F.array_distinct(terms(c))
 
 
+def plain_terms(c: Column | str) -> Column:
+    """Distinct runs of letters and digits, without CJK terms."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_of(c)), F.lit(ALNUM), F.lit(0)))
+
+
 def keyword_overlap(terms: Column, text: Column | str) -> Column:
     """How many distinct terms of the text are among `terms`."""
     return F.size(F.array_intersect(search_terms(text), terms))
