@@ -78,9 +78,9 @@ def sentences(c: Column | str) -> Column:
 
 
 def slug(c: Column | str) -> Column:
-    dashed = F.regexp_replace(F.lower(normalize_whitespace(c)), r"[^a-z0-9一-鿿]+", "-")
-    trimmed = F.regexp_replace(dashed, "^-+|-+$", "")
-    return F.when(trimmed == "", F.lit("section")).otherwise(trimmed)
+    """Runs of letters, digits and CJK characters, joined by dashes. They are extracted: replacing what is between them takes several times as long."""
+    joined = F.array_join(F.regexp_extract_all(F.lower(text_of(c)), F.lit("[a-z0-9一-鿿]+"), F.lit(0)), "-")
+    return F.when(joined == "", F.lit("section")).otherwise(joined)
 
 
 def mask_phones(c: Column | str) -> Column:

@@ -3,6 +3,7 @@
 import duckdb
 
 from tessera import registry
+from tessera.functions import text as T
 
 
 def both(spark, tmp_path, name, **tables):
@@ -45,3 +46,14 @@ def test_term_queries_count_in_tiles(spark, tmp_path):
         assert got == want and got, name
         plan = registry.queries()[name](spark, str(tmp_path / name))._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode" not in plan, name
+
+
+def test_slug_extracts_and_words_are_trimmed(spark, tmp_path):
+    rows = ["  --Ab c石膏!x--  ", "...", None, "(A1),, [b].x; 、c。 ..,", "É9 é", "a", "x Y, (Z)"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got, want = both(spark, tmp_path / "text_slug", "text_slug", documents=df)
+    assert got == want
+    words = [r[0] for r in df.orderBy("doc_id").select(T._words("text")).collect()]
+    assert words == [["--Ab", "c石膏!x--"], [], [], ["A1", "b].x", "c"], ["É9", "é"], ["a"], ["x", "Y", "Z"]]
+    plan = registry.queries()["text_slug"](spark, str(tmp_path / "text_slug"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
