@@ -112,10 +112,9 @@ def semantic_core(c: Column | str) -> Column:
 
 
 def _words(c: Column | str) -> Column:
-    """White-space tokens without brackets and punctuation at their ends, which go in one pass over the text."""
-    inside = "".join("\\" + x if x in "[]().^-" else x for x in STRIPPED if x != " ")
-    bare = F.regexp_replace(normalize_whitespace(c), f"(?<![^ ])[{inside}]+|[{inside}]+(?![^ ])", "")
-    return F.filter(F.split(bare, " "), lambda t: t != "")
+    """White-space tokens without brackets and punctuation at their ends."""
+    tokens = F.split(normalize_whitespace(c), " ")
+    return F.filter(F.transform(tokens, lambda t: F.btrim(t, F.lit(STRIPPED))), lambda t: t != "")
 
 
 def fact_anchors(c: Column | str, most: int = 24) -> Column:
