@@ -29,54 +29,79 @@ from tessera.sources.store import Store
 SEGMENT, BLOCK = 8192, 128
 #: Tokens after which a segment is closed, however few documents it has.
 SEGMENT_TOKENS = 1 << 22
+#: Tokens that are counted at a time, and rows of a segment that are sent at a time.
+TOKENS, SENT = 1 << 18, 4096
 #: Terms up to which a search names them to the scan; more of them come by a join.
 NAMED_TERMS = 1000
 _ROW = "segment string, term string, block int, n int, max_tf int, min_length int, docs array<int>, tf array<int>, length array<int>"
 
 
-def _segment(ids: pa.Array, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Rows of one segment: first its documents, with '' as a term and all their tokens as greatest count, then its terms in order."""
+def _counted(ids: pa.Array, tokens: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Some documents without their tokens: ids, lengths, distinct terms, and document, term and count of each pair."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int32)
+    coded = tokens.flatten().dictionary_encode()
+    doc, width = np.repeat(np.arange(len(ids), dtype=np.int64), lengths), max(1, len(coded.dictionary))
+    key, tf = np.unique(doc * width + np.asarray(coded.indices), return_counts=True) if len(doc) else (np.zeros(0, np.int64),) * 2
+    return ids, lengths, coded.dictionary, *(v.astype(np.int32) for v in (key // width, key % width, tf))
+
+
+def _segment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of one segment of counted documents: first its documents, with '' as a term and all their tokens as greatest count, then its terms in order."""
     name = uuid.uuid4().hex
+    ids = pa.concat_arrays([p[0] for p in parts])
     order = np.array(sorted(range(len(ids)), key=list(map(str, ids.to_pylist())).__getitem__), np.int64)
-    ids, tokens = ids.take(pa.array(order)), tokens.take(pa.array(order))
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
-    coded = tokens.flatten().dictionary_encode()
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.arange(len(ids))
+    ids, lengths = ids.take(pa.array(order)), np.concatenate([p[1] for p in parts])[order]
+    coded = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()
     by_term = np.asarray(pc.sort_indices(coded.dictionary), np.int64)
     place = np.empty(len(by_term), np.int64)
     place[by_term] = np.arange(len(by_term))
-    doc = np.repeat(np.arange(len(ids)), lengths)
-    key, tf = np.unique(place[np.asarray(coded.indices, np.int64)] * len(ids) + doc, return_counts=True) if len(doc) else (np.zeros(0, np.int64),) * 2
-    term, doc = key // max(1, len(ids)), key % max(1, len(ids))
+    place = place[np.asarray(coded.indices)]
+    first_doc, first_term = (np.cumsum([0, *(len(p[k]) for p in parts)]) for k in (0, 2))
+    key = np.concatenate([place[p[4] + t] * len(ids) + number[p[3] + d] for p, d, t in zip(parts, first_doc, first_term)])
+    tf = np.concatenate([p[5] for p in parts])
+    parts.clear()
+    sort = np.argsort(key)  # pairs don't repeat
+    key, tf = key[sort], tf[sort]
+    del sort
+    term, doc = (key // max(1, len(ids))).astype(np.int32), (key % max(1, len(ids))).astype(np.int32)
+    del key
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-    at = np.arange(len(term)) - np.repeat(first, np.diff(np.r_[first, len(term)]))
+    at = np.arange(len(term), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(np.r_[first, len(term)]))
     starts = np.flatnonzero(at % BLOCK == 0)
-    edges = np.r_[starts, len(term)].astype(np.int32)
-    lists = lambda values: pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.int32)))
-    length = lengths[doc]
-    many = [pa.array([name] * len(starts), pa.string()), coded.dictionary.take(pa.array(by_term[term[starts]])), pa.array((at[starts] // BLOCK).astype(np.int32)), pa.array(np.diff(edges))]
-    many += [pa.array((f.reduceat(v, starts) if len(starts) else np.zeros(0)).astype(np.int32)) for f, v in ((np.maximum, tf), (np.minimum, length))]
-    many += [lists(doc), lists(tf), lists(length), pa.nulls(len(starts), pa.list_(ids.type))]
     one = lambda v: pa.array([v], pa.int32())
-    numbers, whole = pa.array([np.arange(len(ids), dtype=np.int32)], pa.list_(pa.int32())), pa.array([lengths.astype(np.int32)], pa.list_(pa.int32()))
-    head = [pa.array([name]), pa.array([""]), one(0), one(len(ids)), one(int(lengths.sum())), one(0), numbers, pa.nulls(1, pa.list_(pa.int32())), whole, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+    numbers, whole = pa.array([np.arange(len(ids), dtype=np.int32)], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32()))
+    head = [pa.array([name]), pa.array([""]), one(0), one(len(ids)), one(int(lengths.sum(dtype=np.int64))), one(0), numbers, pa.nulls(1, pa.list_(pa.int32())), whole, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
     names = [*(x.split()[0] for x in _ROW.split(", ")), "ids"]
     yield pa.RecordBatch.from_arrays(head, names=names)
-    if len(starts):
-        yield pa.RecordBatch.from_arrays(many, names=names)
+    for lo in range(0, len(starts), SENT):
+        own, end = starts[lo : lo + SENT], starts[lo + SENT] if lo + SENT < len(starts) else len(term)
+        d, n = doc[own[0] : end], tf[own[0] : end]
+        length, cuts = lengths[d], own - own[0]
+        edges = np.r_[cuts, len(d)].astype(np.int32)
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(edges), pa.array(values))  # noqa: B023, E731
+        many = [pa.array([name] * len(own), pa.string()), coded.dictionary.take(pa.array(by_term[term[own]])), pa.array(at[own] // BLOCK), pa.array(np.diff(edges))]
+        many += [pa.array(f.reduceat(v, cuts)) for f, v in ((np.maximum, n), (np.minimum, length))]
+        yield pa.RecordBatch.from_arrays([*many, lists(d), lists(n), lists(length), pa.nulls(len(own), pa.list_(ids.type))], names=names)
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of documents (id, tokens). What is held of a segment are its pairs of document and term, four bytes a number, not its tokens."""
     held, n, size = [], 0, 0
     for b in batches:
-        for lo in range(0, b.num_rows, SEGMENT):
-            part = b.slice(lo, SEGMENT)
-            held.append(part)
-            n, size = n + part.num_rows, size + len(part.column(1).flatten())
+        at = 0
+        while at < b.num_rows:
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(b.column(1).slice(at, SEGMENT - n)), 0), np.int64))
+            # As many as fit; a document is whole, so the last may pass the number of tokens.
+            part = b.slice(at, min(len(ends), 1 + int(np.searchsorted(ends, min(TOKENS, SEGMENT_TOKENS - size)))))
+            held.append(_counted(part.column(0), part.column(1)))
+            at, n, size = at + part.num_rows, n + part.num_rows, size + int(held[-1][1].sum(dtype=np.int64))
             if n >= SEGMENT or size >= SEGMENT_TOKENS:
-                yield from _segment(*(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1)))
+                yield from _segment(held)
                 held, n, size = [], 0, 0
     if n:
-        yield from _segment(*(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1)))
+        yield from _segment(held)
 
 
 class Postings:

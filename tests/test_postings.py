@@ -98,3 +98,18 @@ def test_two_writers_at_once(spark, tmp_path):
     with pytest.raises(Conflict):
         other.put(spark.createDataFrame([(3, "a d")], DOCS))
     assert index.statistics() == (2, 4)
+
+
+def test_segments_close_within_a_batch_and_are_sent_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "SEGMENT_TOKENS", 100)
+    monkeypatch.setattr(postings, "SENT", 16, raising=False)
+    tokens = [[f"w{(i * j) % 37}" for j in range(10)] if i % 9 else None for i in range(60)]
+    ids = list(range(60, 0, -1))
+    made = list(postings._segments([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens, pa.list_(pa.string()))], names=["doc_id", "tokens"])]))
+    heads = {r["segment"]: r for b in made for r in b.to_pylist() if r["term"] == ""}
+    assert all(r["max_tf"] < 110 for r in heads.values()) and max(b.num_rows for b in made) <= 16
+    found = {(heads[r["segment"]]["ids"][d], r["term"], n) for b in made for r in b.to_pylist() if r["term"] for d, n in zip(r["docs"], r["tf"])}
+    assert found == {(i, t, own.count(t)) for i, own in zip(ids, tokens) if own for t in own}
+    assert sorted(i for r in heads.values() for i in r["ids"]) == sorted(ids) and sum(r["max_tf"] for r in heads.values()) == sum(len(t or ()) for t in tokens)
