@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +203,7 @@ class _Bounded:
 
 
 def _along(items: DataFrame, width: int, steps: int, seed: int) -> DataFrame:
-    """src, dst, score of items that follow each other by a random projection."""
+    """src, dst, score of items that follow each other by a random projection, `steps` apart at most; `far` tells those that are next to each other."""
     axis = np.random.default_rng(seed).standard_normal(width)
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +221,27 @@ def _along(items: DataFrame, width: int, steps: int, seed: int) -> DataFrame:
             i = np.concatenate([np.arange(max(0, skip - d), max(max(0, skip - d), n - d)) for d in range(1, steps + 1)])
             j = i + np.concatenate([np.full(max(0, n - d - max(0, skip - d)), d) for d in range(1, steps + 1)])
             score = np.einsum("ij,ij->i", x[i], x[j]).round(12)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.r_[i, j])), ids.take(pa.array(np.r_[j, i])), pa.array(np.r_[score, score])], names=["src", "dst", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.r_[i, j])), ids.take(pa.array(np.r_[j, i])), pa.array(np.r_[score, score]), pa.array(np.r_[j - i, j - i] == 1)], names=["src", "dst", "score", "far"])
             before = rows.slice(max(0, n - steps)).to_batches()[0] if n else None
 
     kind, vector = (items.schema[c].dataType.simpleString() for c in ("item_id", "vector"))
     laid = items.mapInArrow(project, f"item_id {kind}, vector {vector}, at double")
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = laid.repartitionByRange(parts, "at", "item_id").sortWithinPartitions("at", "item_id").select("item_id", "vector")
-    return laid.mapInArrow(link, f"src {kind}, dst {kind}, score double")
+    return laid.mapInArrow(link, f"src {kind}, dst {kind}, score double, far boolean")
 
 
 def _nearest(edges: DataFrame, degree: int, by: str = "src") -> DataFrame:
-    """The `degree` best distinct edges of each node."""
+    """The `degree` best of distinct edges of each node."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), F.col("dst" if by == "src" else "src").cast("string"))
     return edges.withColumn("n", F.row_number().over(order)).where(F.col("n") <= degree).drop("n")
 
 
+def _distinct(edges: DataFrame) -> DataFrame:
+    """Distinct edges, dealt out by src alone, so that what follows by src shuffles nothing again."""
+    return edges.select("src", "dst", "score").repartition("src").groupBy("src", "dst").agg(F.max("score").alias("score"))
+
+
 def neighbour_graph(items: DataFrame, degree: int = 16, rounds: int = 3, projections: int = 4, seed: int = 5) -> DataFrame:
     """src, dst, score, near: about the `degree` nearest items of each item (item_id, vector), every item being in it.
 
@@ -252,46 +256,59 @@ def neighbour_graph(items: DataFrame, degree: int = 16, rounds: int = 3, project
     items = items.select("item_id", "vector")
     width = search._query_vectors(items.where("vector IS NOT NULL").limit(1000).collect()).shape[1]
     kind, vector = (items.schema[c].dataType.simpleString() for c in ("item_id", "vector"))
-    edges = far = None
+    paths = None
     for p in range(projections):
-        part, next_ = _along(items, width, max(2, degree // 4), seed + p), _along(items, width, 1, seed + p)
-        edges, far = (part, next_) if edges is None else (edges.union(part), far.union(next_))
+        part = _along(items, width, max(2, degree // 4), seed + p)
+        paths = part if paths is None else paths.union(part)
+    edges = paths = _stored(paths, "paths")
+
+    def groups(rows: pa.Table, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Edges among the rows of each group, in tiles of groups: of each row the best, down to what it has."""
+        ids, floor = rows.column("item_id").combine_chunks(), np.asarray(rows.column("floor").combine_chunks())
+        vector, m = rows.column("vector").combine_chunks(), int(size.max())
+        step = max(1, search.TILE // (m * max(m, width)))
+        for lo in range(0, len(start), step):
+            first, own = int(start[lo]), size[lo : lo + step]
+            n = int(own.sum())
+            group, at = np.repeat(np.arange(len(own)), own), np.arange(n) - np.repeat(np.cumsum(own) - own, own)
+            x = np.zeros((len(own), m, width))
+            x[group, at] = _unit(vector.slice(first, n), width)
+            score = (x @ x.transpose(0, 2, 1)).round(12)
+            score[np.broadcast_to(np.arange(m) >= own[:, None, None], score.shape)] = -np.inf
+            score[:, np.arange(m), np.arange(m)] = -np.inf
+            score = score[group, at]
+            near = np.argsort(-score, axis=1, kind="stable")[:, :degree]
+            value = np.take_along_axis(score, near, axis=1)
+            i, j = np.nonzero(np.isfinite(value) & (value >= floor[first : first + n, None]))
+            other = first + i - at[i] + near[i, j]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + i)), ids.take(pa.array(other)), pa.array(value[i, j])], names=["src", "dst", "score"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                x = _unit(b.column("vector"), width)
-                yield from zip(b.column("mid").to_pylist(), b.column("item_id").to_pylist(), x)
-
-        held: list[list] = [[], [], []]
-        for _, own in groupby(rows(), lambda r: r[0]):
-            _, ids, x = zip(*own)
-            score = (np.stack(x) @ np.stack(x).T).round(12)
-            near = np.argsort(-score, axis=1, kind="stable")[:, : degree + 1]
-            for i, row in enumerate(near):
-                others = [j for j in row if ids[j] != ids[i]]
-                held[0] += [ids[i]] * len(others)
-                held[1] += [ids[j] for j in others]
-                held[2] += score[i, others].tolist()
-            if len(held[0]) > 50_000:
-                yield _edge_batch(held, kind)
-                held = [[], [], []]
-        if held[0]:
-            yield _edge_batch(held, kind)
+        held = None  # the last group, which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            mid = np.asarray(rows.column("mid").combine_chunks().dictionary_encode().indices)
+            start = np.flatnonzero(np.r_[True, mid[1:] != mid[:-1]])
+            if len(start) > 1:
+                yield from groups(rows, start[:-1], np.diff(start))
+            held = rows.slice(int(start[-1]))
+        if held is not None:
+            yield from groups(held, np.zeros(1, np.int64), np.array([held.num_rows]))
 
     for _ in range(rounds):
-        edges = _stored(_nearest(edges.dropDuplicates(["src", "dst"]), degree), "graph")
+        edges = _stored(_nearest(_distinct(edges), degree), "graph")
+        # An edge below an item's `degree` best so far is never among them again, so it isn't sent.
+        floor = edges.groupBy(F.col("src").alias("item_id")).agg(F.when(F.count(F.lit(1)) >= degree, F.min("score")).alias("floor"))
+        known = items.join(floor, "item_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
         back = _nearest(edges, degree, "dst").select(F.col("dst").alias("mid"), F.col("src").alias("item_id"))
         around = edges.select(F.col("src").alias("mid"), F.col("dst").alias("item_id")).union(back).union(items.select(F.col("item_id").alias("mid"), "item_id")).distinct()
-        met = around.join(items, "item_id").select("mid", "item_id", "vector").repartition("mid").sortWithinPartitions("mid")
+        met = around.join(known, "item_id").select("mid", "item_id", "vector", "floor").repartition("mid").sortWithinPartitions("mid")
         edges = edges.union(met.mapInArrow(meet, f"src {kind}, dst {kind}, score double"))
-    near = _nearest(edges.dropDuplicates(["src", "dst"]), degree).withColumn("near", F.lit(True))
-    return _stored(near.unionByName(far.withColumn("near", F.lit(False))).groupBy("src", "dst").agg(F.max("score").alias("score"), F.max("near").alias("near")), "graph")
-
-
-def _edge_batch(held: list[list], kind: str) -> pa.RecordBatch:
-    id_type = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
-    return pa.RecordBatch.from_arrays([pa.array(held[0], id_type), pa.array(held[1], id_type), pa.array(held[2], pa.float64())], names=["src", "dst", "score"])
+    near = _nearest(_distinct(edges), degree).withColumn("near", F.lit(True))
+    far = paths.where("far").select("src", "dst", "score").withColumn("near", F.lit(False))
+    return _stored(near.unionByName(far).groupBy("src", "dst").agg(F.max("score").alias("score"), F.max("near").alias("near")), "graph")
 
 
 def graph_search(edges: DataFrame, items: DataFrame, queries: DataFrame, k: int, beam: int = 64, width: int = 16, rounds: int = 8, entries: int = 64) -> DataFrame:
@@ -299,7 +316,8 @@ def graph_search(edges: DataFrame, items: DataFrame, queries: DataFrame, k: int,
 
     Walks begin at `entries` items, those with the least hashes. A round opens the `width` best of the `beam` best
     candidates that aren't opened, along edges in both directions; it ends after `rounds` rounds, or when no query
-    has any to open. A candidate is scored once.
+    has any to open. What is kept of a query are its `beam` best (k at least): a candidate that isn't among them
+    never is again, and is scored again where it is met again.
     """
     spark = items.sparkSession
     ship(spark)
@@ -325,17 +343,21 @@ def graph_search(edges: DataFrame, items: DataFrame, queries: DataFrame, k: int,
         return pairs.select("query_id", "item_id", "asked", "vector").mapInArrow(run, kinds)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("item_id").cast("string"))
+    kept = max(beam, k)
+
+    def held(candidates: DataFrame) -> DataFrame:
+        return _stored(candidates.withColumn("n", F.row_number().over(best)).where(F.col("n") <= kept), "walk")
+
     # Entry items are `entries` rows at most.
-    seen = _stored(scored(q.join(F.broadcast(start))).withColumn("opened", F.lit(False)), "walk")
+    seen = held(scored(q.join(F.broadcast(start))).withColumn("opened", F.lit(False)))
     for _ in range(rounds):
-        ranked = seen.withColumn("n", F.row_number().over(best))
-        ahead = ranked.where((F.col("n") <= beam) & ~F.col("opened")).withColumn("m", F.row_number().over(best)).where(F.col("m") <= width).select("query_id", "item_id")
-        ahead = _stored(ahead, "ahead")
+        closed = seen.where((F.col("n") <= beam) & ~F.col("opened"))
+        ahead = _stored(closed.withColumn("m", F.row_number().over(best)).where(F.col("m") <= width).select("query_id", "item_id"), "ahead")
         if ahead.isEmpty():
             break
         reached = ahead.join(both.withColumnRenamed("src", "item_id"), "item_id").select("query_id", F.col("dst").alias("item_id")).distinct()
         new = reached.join(seen, ["query_id", "item_id"], "left_anti")
         found = scored(new.join(items, "item_id").join(q, "query_id")).withColumn("opened", F.lit(False))
         now = seen.join(ahead.withColumn("now", F.lit(True)), ["query_id", "item_id"], "left").select("query_id", "item_id", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        seen = _stored(now.unionByName(found), "walk")
-    return search._ranked(seen.drop("opened"), k)
+        seen = held(now.unionByName(found))
+    return search._ranked(seen.drop("opened", "n"), k)

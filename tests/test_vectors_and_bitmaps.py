@@ -61,3 +61,20 @@ def test_bitmaps_are_the_plain_conditions(spark, monkeypatch):
     none = bitmaps.among(index, "kind", ["nothing"])
     assert bitmaps.chosen(placed, bitmaps.all_of(none, met)).count() == bitmaps.how_many(none) == 0
     assert bitmaps.how_many(bitmaps.none_of(index, none)) == 70_000
+
+
+def test_walks_keep_a_beam_and_rounds_send_what_may_enter(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{i}", v) for i, v in grouped(600)], "item_id string, vector array<double>").repartition(4)
+    kept, stored = [], vectors._stored
+    monkeypatch.setattr(vectors, "_stored", lambda df, tag: kept.append((tag, out := stored(df, tag))) or out)
+    sent, distinct = [], vectors._nearest
+    monkeypatch.setattr(vectors, "_nearest", lambda edges, degree, by="src": (sent.append(edges) if by == "src" else None) or distinct(edges, degree, by))
+    edges = vectors.neighbour_graph(items, degree=6, rounds=3)
+    best = {s: v for s, v in edges.where("near").groupBy("src").agg(F.min("score")).collect()}
+    last = sent[-1].collect()
+    assert len(last) < 600 * 2 * 6 and {(r.src, r.dst) for r in last if r.score > best[r.src]} <= {(r.src, r.dst) for r in edges.collect()}
+    q = items.where("item_id like '%0'").withColumnRenamed("item_id", "query_id")
+    found = vectors.graph_search(edges, items, q, 20, beam=15, width=4, rounds=6)
+    walks = [df for tag, df in kept if tag == "walk"]
+    assert len(walks) > 3 and all(w.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 20 for w in walks)
+    assert found.groupBy("query_id").count().agg(F.min("count")).first()[0] == 20 and found.dropDuplicates(["query_id", "item_id"]).count() == found.count()
