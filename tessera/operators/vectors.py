@@ -38,6 +38,13 @@ def _stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_lists(index: DataFrame) -> DataFrame:
+    """An inverted-file index (as `search.ivf_index` gives it) written to the shared folder by lists, and read back."""
+    path = shared_path(index.sparkSession, "lists")
+    index.write.partitionBy("list_id").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 # --- codes -------------------------------------------------------------------------------------
 
 

@@ -78,3 +78,23 @@ def test_walks_keep_a_beam_and_rounds_send_what_may_enter(spark, monkeypatch):
     walks = [df for tag, df in kept if tag == "walk"]
     assert len(walks) > 3 and all(w.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 20 for w in walks)
     assert found.groupBy("query_id").count().agg(F.min("count")).first()[0] == 20 and found.dropDuplicates(["query_id", "item_id"]).count() == found.count()
+
+
+def test_an_inverted_file_is_assigned_once(spark):
+    from tessera import queries_search
+
+    plan = queries_search.ivf_exact(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "list_id" in plan
+
+
+def test_best_with_high_floors_is_the_plain_best():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    score = rng.integers(0, 40, (7, 900)) / 40
+    best = search._Best(7, 5)
+    for lo in range(0, 900, 60):
+        best.add(score[:, lo : lo + 60], pa.array(np.arange(lo, lo + 60)))
+    out = best.batch(pa.array(np.arange(7))).to_pylist()
+    want = [(q, i, score[q, i]) for q in range(7) for i in sorted(range(900), key=lambda i: (-score[q, i], str(i)))[:5]]
+    assert [(r["query_id"], r["item_id"], r["score"]) for r in out] == want
