@@ -42,3 +42,28 @@ def test_pairs_of_one_key_are_many_tasks(spark):
     got = tiles.pairs(left, right, "key", "a", "b", size=20)
     assert rows(got) == rows(left.join(right, "key").select("key", "a", "b"))
     assert len({r[0] for r in got.selectExpr("spark_partition_id()").collect()}) > 8
+
+
+def made(plan):
+    """Rows that joins and generators of a plan have made, the most of any."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return made(plan.executedPlan())
+    inner = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if kind in ("GenerateExec", "SortMergeJoinExec") else 0
+    return max([own, *map(made, inner)])
+
+
+def test_first_pairs_come_before_the_rest_of_their_tile_is_made(spark):
+    left, right = spark.range(1500).selectExpr("7 AS key", "id AS a"), spark.range(1000).selectExpr("7 AS key", "id AS b")
+    first = tiles.pairs(left, right, "key", "a", "b", size=2000).limit(5)
+    assert first.count() == 5
+    first.collect()
+    assert made(first._jdf.queryExecution().executedPlan()) <= 20_000  # one tile has 1,500,000
+
+
+def test_tasks_grow_with_the_pairs(spark):
+    left, right = spark.range(300).selectExpr("id % 3 AS key", "id AS a"), spark.range(200).selectExpr("id % 3 AS key", "id AS b")
+    got = tiles.pairs(left, right, "key", "a", "b", size=10, task=500)
+    assert rows(got) == rows(left.join(right, "key").select("key", "a", "b"))
+    assert got.rdd.getNumPartitions() == -(-tiles.extent(left, right, "key")[2] // 500) == 40
